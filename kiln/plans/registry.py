@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import profile
+from kiln.plans import profile, star
 
-_MODULES = [profile]
+_MODULES = [profile, star]
 
 
 def queries() -> dict:
