@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import profile, star
+from kiln.plans import profile, star, vault
 
-_MODULES = [profile, star]
+_MODULES = [profile, star, vault]
 
 
 def queries() -> dict:
