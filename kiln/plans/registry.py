@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import profile, star, vault
+from kiln.plans import design, profile, star, vault
 
-_MODULES = [profile, star, vault]
+_MODULES = [profile, star, vault, design]
 
 
 def queries() -> dict:
