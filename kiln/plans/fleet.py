@@ -86,7 +86,9 @@ SELECT project_id, batch_id, seq, table_name, 1,
             ELSE 'DIM_' || upper(core) || '.' || adj || '_id' END
 FROM ({base}) b
 UNION ALL
-SELECT project_id, batch_id, seq, table_name, 2, lower(p_type) || '_amount',
+SELECT project_id, batch_id, seq, table_name, 2,
+       CASE WHEN p_size <= 3 THEN 'customer_email' WHEN p_size <= 6 THEN 'contact_phone'
+            ELSE lower(p_type) || '_amount' END,
        CASE WHEN p_size > 25 THEN 'NUMBER(12,2)' ELSE 'Double Precision' END, false, false,
        CAST(NULL AS STRING)
 FROM ({base}) b"""
@@ -112,8 +114,12 @@ FROM ({base}) b"""
 SELECT c_custkey AS project_id, m.ordinal, m.layer_name
 FROM {{customer}} JOIN (VALUES {_layers_values()}) AS m(segment, ordinal, layer_name)
   ON c_mktsegment = m.segment"""
+    masks = f"""
+SELECT DISTINCT project_id, table_name, 'customer_email' AS column_name, 'hash' AS mask_type,
+       'ANALYST_F' AS exempt_role
+FROM ({base}) b WHERE p_size <= 3"""
     return {"tables": tables, "columns": columns, "rels": rels, "tasks": tasks,
-            "grants": grants, "layers": layers}
+            "grants": grants, "layers": layers, "masks": masks}
 
 
 FLEET_TABLES = ["lineitem", "orders", "part", "customer"]

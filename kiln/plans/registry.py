@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import design, profile, star, vault
+from kiln.plans import design, governance, profile, star, vault
 
-_MODULES = [profile, star, vault, design]
+_MODULES = [profile, star, vault, design, governance]
 
 
 def queries() -> dict:
