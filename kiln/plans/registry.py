@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import design, governance, profile, star, vault
+from kiln.plans import design, governance, profile, star, store, vault
 
-_MODULES = [profile, star, vault, design, governance]
+_MODULES = [profile, star, vault, design, governance, store]
 
 
 def queries() -> dict:
