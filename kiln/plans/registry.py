@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import design, governance, profile, star, store, vault
+from kiln.plans import design, governance, profile, responses, star, store, vault
 
-_MODULES = [profile, star, vault, design, governance, store]
+_MODULES = [profile, star, vault, design, governance, store, responses]
 
 
 def queries() -> dict:
