@@ -60,14 +60,12 @@ def sql_entity_id(x: str) -> str:
 def compare_key(c) -> Column:
     """Consolidation key: upper, collapse '_', drop one trailing S if len > 3."""
     n = collapse_underscores(F.upper(F.trim(_c(c))))
-    return F.when(n.endswith("S") & (F.length(n) > 3),
-                  n.substr(F.lit(1), F.length(n) - 1)).otherwise(n)
+    return F.regexp_replace(n, "^(.{3,})S$", "$1")
 
 
 def sql_compare_key(x: str) -> str:
     n = sql_collapse_underscores(f"upper(trim({x}))")
-    return (f"(CASE WHEN suffix({n}, 'S') AND length({n}) > 3 "
-            f"THEN substr({n}, 1, length({n}) - 1) ELSE {n} END)")
+    return f"regexp_replace({n}, '^(.{{3,}})S$', '\\1')"
 
 
 # F4 -------------------------------------------------------------------------

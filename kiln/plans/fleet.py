@@ -67,16 +67,16 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_
 
 def sql_texts(engine: str) -> dict:
     """The fleet tables as SQL text; ``{lineitem}`` etc. are table placeholders."""
-    ymd = "date_format(l_shipdate, 'yyyyMMdd')" if engine == "spark" else "strftime(l_shipdate, '%Y%m%d')"
-    base = _base(ymd)
+    ymd = "CAST(CAST(l_shipdate AS DATE) AS STRING)"
+    base = "{b}"
     ttype = _case("prefix", TYPE_BY_PREFIX)
     tables = f"""SELECT project_id, batch_id, seq, table_name, layer, {ttype} AS table_type, batch_status
-FROM ({base}) b"""
+FROM {base} b"""
     columns = f"""
 SELECT project_id, batch_id, seq, table_name, 0 AS ordinal, core || '_sk' AS column_name,
        'NUMBER(38,0)' AS data_type, prefix IN ('DIM_', 'dim ', 'HUB_') AS is_pk, false AS is_fk,
        CAST(NULL AS STRING) AS ref
-FROM ({base}) b
+FROM {base} b
 UNION ALL
 SELECT project_id, batch_id, seq, table_name, 1,
        CASE WHEN p_size > 40 THEN adj || '_id' WHEN prefix IN ('FACT_', 'fct__') THEN 'dim_' || core || '_sk'
@@ -84,19 +84,19 @@ SELECT project_id, batch_id, seq, table_name, 1,
        'VARCHAR(' || CAST(p_size AS STRING) || ')', false, true,
        CASE WHEN l_discount < 0.02 THEN 'DIM_' || upper(adj)
             ELSE 'DIM_' || upper(core) || '.' || adj || '_id' END
-FROM ({base}) b
+FROM {base} b
 UNION ALL
 SELECT project_id, batch_id, seq, table_name, 2,
        CASE WHEN p_size <= 3 THEN 'customer_email' WHEN p_size <= 6 THEN 'contact_phone'
             ELSE lower(p_type) || '_amount' END,
        CASE WHEN p_size > 25 THEN 'NUMBER(12,2)' ELSE 'Double Precision' END, false, false,
        CAST(NULL AS STRING)
-FROM ({base}) b"""
+FROM {base} b"""
     rels = f"""
 SELECT project_id, batch_id, seq, table_name AS from_table, 'DIM_' || upper(core) AS to_table,
        '||--o{{{{' AS cardinality,
        CASE WHEN l_tax = 0 THEN '' ELSE 'rolls up ''' || adj || '''' END AS label
-FROM ({base}) b"""
+FROM {base} b"""
     tasks = f"""
 SELECT project_id, seq, 'load_' || lower(table_name) AS name,
        CASE WHEN prefix IN ('FACT_', 'fct__') THEN 'dim_' || core ELSE 'src_' || core END AS source,
@@ -104,12 +104,12 @@ SELECT project_id, seq, 'load_' || lower(table_name) AS name,
        'merge on ' || core || '_sk' AS logic,
        CASE WHEN l_linestatus = 'O' THEN 'transformation' ELSE 'ingestion' END AS type,
        CASE WHEN layer = '' THEN 'Silver' ELSE layer END AS layer
-FROM ({base}) b"""
+FROM {base} b"""
     grants = f"""
 SELECT project_id, seq, 'ANALYST_' || batch_status AS role_name,
        CASE WHEN l_tax = 0 THEN NULL ELSE table_name END AS object_name,
        CASE WHEN l_discount = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'SELECT' ELSE 'INSERT' END AS privilege
-FROM ({base}) b"""
+FROM {base} b"""
     layers = f"""
 SELECT c_custkey AS project_id, m.ordinal, m.layer_name
 FROM {{customer}} JOIN (VALUES {_layers_values()}) AS m(segment, ordinal, layer_name)
@@ -117,8 +117,8 @@ FROM {{customer}} JOIN (VALUES {_layers_values()}) AS m(segment, ordinal, layer_
     masks = f"""
 SELECT DISTINCT project_id, table_name, 'customer_email' AS column_name, 'hash' AS mask_type,
        'ANALYST_F' AS exempt_role
-FROM ({base}) b WHERE p_size <= 3"""
-    return {"tables": tables, "columns": columns, "rels": rels, "tasks": tasks,
+FROM {base} b WHERE p_size <= 3"""
+    return {"base": _base(ymd), "tables": tables, "columns": columns, "rels": rels, "tasks": tasks,
             "grants": grants, "layers": layers, "masks": masks}
 
 
@@ -126,14 +126,27 @@ FLEET_TABLES = ["lineitem", "orders", "part", "customer"]
 
 
 def spark_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The fleet as Spark DataFrames (derived lazily from the fixture tables)."""
-    srcs = {t: load(spark, sf_dir, t) for t in FLEET_TABLES}
-    return {k: spark.sql(v, **srcs) for k, v in sql_texts("spark").items()}
+    """The fleet as Spark DataFrames (derived lazily from the fixture tables).
+
+    The per-line-item base is hash-partitioned on its unique key once; every
+    fleet table reads that exchange, so Spark computes the join once per job
+    (exchange reuse) and the rows are spread evenly over the partitions.
+    """
+    srcs = {t: load(spark, sf_dir, t, spread=(t == "lineitem")) for t in FLEET_TABLES}
+    texts = sql_texts("spark")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = spark.sql(texts.pop("base"), **srcs).repartition(n, "project_id", "seq")
+    out = {}
+    for k, v in texts.items():
+        out[k] = spark.sql(v, b=base, customer=srcs["customer"]) if "{customer}" in v else spark.sql(v, b=base)
+    return out
 
 
 def duck_ctes() -> str:
     """``WITH`` clause defining the same fleet in DuckDB (no trailing comma)."""
     texts = sql_texts("duckdb")
     names = {t: t for t in FLEET_TABLES}
-    parts = [f"f_{k} AS ({v.format(**names)})" for k, v in texts.items()]
+    names["b"] = "f_base"
+    parts = [f"f_base AS ({texts.pop('base').format(**names)})"]
+    parts += [f"f_{k} AS ({v.format(**names)})" for k, v in texts.items()]
     return "WITH " + ",\n".join(parts)

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("kiln.scan.minPartitions", str(spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
