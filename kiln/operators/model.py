@@ -328,10 +328,11 @@ def rbac_matrix(flat: DataFrame, roles: list | None = None) -> DataFrame:
     Long form by default; with ``roles`` given, pivoted to one column per role
     (the role list is passed in, never collected from the data).
     """
-    priv = F.nullif(F.array_join(F.array_sort(F.collect_set("privilege")), ", "), F.lit(""))
+    priv = F.array_join(F.array_sort(F.collect_set("privilege")), ", ")
+    long = flat.groupBy(P, "object_name", "role_name").agg(priv.alias("privileges"))
     if roles:
-        return flat.groupBy(P, "object_name").pivot("role_name", roles).agg(priv)
-    return flat.groupBy(P, "object_name", "role_name").agg(priv.alias("privileges"))
+        return long.groupBy(P, "object_name").pivot("role_name", roles).agg(F.first("privileges"))
+    return long
 
 
 # P6 / P7 / P8 -----------------------------------------------------------------
