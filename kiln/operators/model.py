@@ -43,7 +43,7 @@ def assign_layers(tables: DataFrame, layers: DataFrame, row_key=("seq",)) -> Dat
          .withColumn("sidx", F.max("ordinal").over(Window.partitionBy(P, "snorm")))
          .withColumn("last_idx", F.max("ordinal").over(Window.partitionBy(P))))
     T = tables.withColumn("__tn", norm_label(F.trim(F.coalesce("layer", F.lit("")))))
-    pairs = T.select(P, *rk, "__tn").join(L.select(P, "norm", "snorm", "pos", "idx", "sidx", "last_idx"), P, "left")
+    pairs = T.join(L.select(P, "norm", "snorm", "pos", "idx", "sidx", "last_idx"), P, "left")
     tn, norm = F.col("__tn"), F.col("norm")
     contained = norm.contains(tn) | tn.contains(norm)
     prio = (F.when(norm.isNull(), 5).when(tn == norm, 1).when(tn == F.col("snorm"), 2)
@@ -52,11 +52,10 @@ def assign_layers(tables: DataFrame, layers: DataFrame, row_key=("seq",)) -> Dat
     idx = (F.when(prio == 5, 0).when(prio == 1, F.col("idx")).when(prio == 2, F.col("sidx"))
            .when(prio == 3, F.col("idx")).otherwise(F.col("last_idx")))
     cand = F.struct(prio.alias("prio"), pos.alias("pos"), idx.alias("idx"))
-    pick = pairs.groupBy(P, *rk).agg(F.min(cand).alias("__c"))
-    names = L.select(P, F.col("ordinal").alias("__idx"), "layer_name", "schema_name")
-    names = names.withColumnRenamed(P, "__p")
-    out = (T.drop("__tn").join(pick, [P, *rk])
-           .withColumn("layer_idx", F.col("__c.idx")).withColumn("__prio", F.col("__c.prio")))
+    # group by every table column (the row key is unique), so no join back to the tables
+    pick = pairs.groupBy(*tables.columns).agg(F.min(cand).alias("__c"))
+    names = L.select(F.col(P).alias("__p"), F.col("ordinal").alias("__idx"), "layer_name", "schema_name")
+    out = pick.withColumn("layer_idx", F.col("__c.idx")).withColumn("__prio", F.col("__c.prio"))
     out = (out.join(names, (out[P] == names["__p"]) & (out["layer_idx"] == names["__idx"]), "left")
            .drop("__c", "__idx", "__p"))
     return (out.withColumn("assigned_layer", F.when(F.col("__prio") == 5, "Warehouse").otherwise(F.col("layer_name")))
