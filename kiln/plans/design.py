@@ -24,7 +24,7 @@ def _consolidated(spark, sf):
 
 def _rels(spark, sf):
     f, t, c = _consolidated(spark, sf)
-    return f, t, M.relationships(M.reconcile_fk(c), f["rels"])
+    return f, t, M.relationships(M.reconcile_fk(c), f["rels"]), c
 
 
 def layer_assignment(spark, sf):
@@ -59,7 +59,7 @@ def inferred_relationships(spark, sf):
 
 
 def rel_layers(spark, sf):
-    _, t, r = _rels(spark, sf)
+    _, t, r, _ = _rels(spark, sf)
     return M.classify_rels(r, t)
 
 
@@ -104,8 +104,8 @@ def backfill_relationships(spark, sf):
 
 
 def design_metrics(spark, sf):
-    f, t, r = _rels(spark, sf)
-    return M.design_metrics(t, r, _consolidated(spark, sf)[2])
+    _, t, r, c = _rels(spark, sf)
+    return M.design_metrics(t, r, c)
 
 
 def layer_inventory(spark, sf):

@@ -11,8 +11,11 @@ so both engines see identical metadata.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from kiln.session import scratch_path
 from kiln.sources.tables import load
 
 # Layer lists by market segment (architecture of the project).
@@ -126,16 +129,19 @@ FLEET_TABLES = ["lineitem", "orders", "part", "customer"]
 
 
 def spark_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The fleet as Spark DataFrames (derived lazily from the fixture tables).
+    """The fleet as Spark DataFrames derived from the fixture tables.
 
-    The per-line-item base is hash-partitioned on its unique key once; every
-    fleet table reads that exchange, so Spark computes the join once per job
-    (exchange reuse) and the rows are spread evenly over the partitions.
+    The per-line-item base feeds every fleet table (and the columns table
+    three times), and each consumer prunes it differently, so it is written
+    once as Parquet under the shared checkpoint folder and scanned back:
+    one computation per call, column pruning on every read, and a lost
+    executor re-reads files instead of re-running the joins.
     """
     srcs = {t: load(spark, sf_dir, t, spread=(t == "lineitem")) for t in FLEET_TABLES}
     texts = sql_texts("spark")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = spark.sql(texts.pop("base"), **srcs).repartition(n, "project_id", "seq")
+    path = scratch_path(spark, f"fleet-{uuid.uuid4().hex}")
+    spark.sql(texts.pop("base"), **srcs).write.parquet(path)
+    base = spark.read.parquet(path)
     out = {}
     for k, v in texts.items():
         out[k] = spark.sql(v, b=base, customer=srcs["customer"]) if "{customer}" in v else spark.sql(v, b=base)
