@@ -24,7 +24,7 @@ P = "project_id"
 
 
 # J2 -------------------------------------------------------------------------
-def assign_layers(tables: DataFrame, layers: DataFrame, row_key=("seq",)) -> DataFrame:
+def assign_layers(tables: DataFrame, layers: DataFrame) -> DataFrame:
     """Layer of each design table, by the first rule that matches:
 
     1. normalised layer label equal (the later of two equal labels wins);
@@ -33,7 +33,6 @@ def assign_layers(tables: DataFrame, layers: DataFrame, row_key=("seq",)) -> Dat
        in the table's label (an empty label is contained in all);
     4. else the last layer.  A project without layers gets 'Warehouse'.
     """
-    rk = list(row_key)
     wl = Window.partitionBy(P, "norm")
     L = (layers.withColumn("schema_name", layer_to_schema_name("layer_name"))
          .withColumn("norm", norm_label("layer_name"))
@@ -147,15 +146,30 @@ def relationships(columns: DataFrame, rels: DataFrame | None = None) -> DataFram
 
 
 # J10 ------------------------------------------------------------------------
+def _prefixes(c: Column) -> Column:
+    """Every prefix of a text (as many as its length)."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, 1, i))
+
+
 def infer_rels(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Relations implied by ``X_sk`` columns: to table X, else the first table
-    (by name) whose name is a prefix of X or starts with X; parent one-to-many child."""
+    (by name) whose name is a prefix of X or starts with X; parent one-to-many child.
+
+    The prefix match is two equi-joins on generated prefixes (each side grows
+    by its name length), never a pairing of all columns with all tables.
+    """
     ents = tables.select(P, entity_id("table_name").alias("cand")).distinct()
     c = columns.select(P, entity_id("table_name").alias("ent"), F.lower("column_name").alias("col"))
     c = c.filter(F.col("col").endswith("_sk") & (F.col("col") != F.concat(F.lower("ent"), F.lit("_sk"))))
     c = c.withColumn("target", F.upper(F.expr("substring(col, 1, length(col) - 3)"))).distinct()
-    j = c.join(ents, (c[P] == ents[P]) & (ents["cand"].startswith(c["target"]) | c["target"].startswith(ents["cand"])))
-    best = j.groupBy(c[P].alias(P), "ent", "col").agg(
+    # table name starts with the target: prefixes of the table names
+    e_pre = ents.select(P, "cand", F.explode(_prefixes(F.col("cand"))).alias("target"))
+    m1 = c.join(e_pre, [P, "target"])
+    # target starts with the table name: prefixes of the targets
+    c_pre = c.select(P, "ent", "col", "target", F.explode(_prefixes(F.col("target"))).alias("cand"))
+    m2 = c_pre.join(ents, [P, "cand"])
+    m = m1.select(P, "ent", "col", "target", "cand").unionByName(m2.select(P, "ent", "col", "target", "cand"))
+    best = m.groupBy(P, "ent", "col").agg(
         F.min(F.struct(F.when(F.col("cand") == F.col("target"), 0).otherwise(1).alias("p"), F.col("cand").alias("n"))).alias("__b"))
     return (best.select(P, F.col("__b.n").alias("from_entity"), F.col("ent").alias("to_entity"))
             .filter(F.col("from_entity") != F.col("to_entity")).distinct()
@@ -174,8 +188,8 @@ def classify_rels(rels: DataFrame, tables: DataFrame, order: str = "seq") -> Dat
           .agg(F.max(F.struct(F.col(order).alias("o"), F.col("layer").alias("l"))).alias("__l"))
           .select(P, "ent", F.col("__l.l").alias("layer")))
     raw = F.lower("layer").isin(*RAW_LAYERS)
-    el = el.withColumn("__nonraw", F.max(~raw).over(Window.partitionBy(P)))
-    el = el.withColumn("shown", ~raw | ~F.col("__nonraw")).drop("__nonraw")
+    nonraw = el.groupBy(P).agg(F.max(~raw).alias("__nonraw"))
+    el = el.join(nonraw, P).withColumn("shown", ~raw | ~F.col("__nonraw")).drop("__nonraw")
     f = el.select(P, F.col("ent").alias("from_entity"), F.col("layer").alias("from_layer"), F.col("shown").alias("__fs"))
     t = el.select(P, F.col("ent").alias("to_entity"), F.col("layer").alias("to_layer"), F.col("shown").alias("__ts"))
     j = rels.join(f, [P, "from_entity"]).join(t, [P, "to_entity"])
@@ -275,13 +289,16 @@ def design_metrics(tables: DataFrame, rels: DataFrame, columns: DataFrame) -> Da
 def layer_inventory(tables: DataFrame, max_names: int = 100) -> DataFrame:
     """Per project and layer (upper-cased, blank -> WAREHOUSE): entity count,
     layer rank (O1) and the alphabetical name list (O2), at most ``max_names``
-    names as the report shows."""
+    names as the report shows.  The names are cut to the first ``max_names``
+    per group (a partial top-N before the shuffle) before they are gathered."""
     lay = F.upper(F.coalesce(F.nullif(F.trim("layer"), F.lit("")), F.lit("Warehouse")))
-    return (tables.withColumn("layer_group", lay)
-            .groupBy(P, "layer_group")
-            .agg(F.count(F.lit(1)).alias("n_entities"),
-                 F.array_join(F.slice(F.array_sort(F.collect_list("table_name")), 1, max_names), ", ").alias("entities"))
-            .withColumn("layer_rank", layer_rank("layer_group")))
+    t = tables.withColumn("layer_group", lay)
+    counts = t.groupBy(P, "layer_group").agg(F.count(F.lit(1)).alias("n_entities"))
+    w = Window.partitionBy(P, "layer_group").orderBy("table_name")
+    first = t.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max_names)
+    names = first.groupBy(P, "layer_group").agg(
+        F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("entities"))
+    return counts.join(names, [P, "layer_group"]).withColumn("layer_rank", layer_rank("layer_group"))
 
 
 # A7 -------------------------------------------------------------------------

@@ -148,7 +148,7 @@ def batches_by_project(spark, sf):
 def ddl_batches_by_layer(spark, sf):
     f = spark_fleet(spark, sf)
     a = M.assign_layers(f["tables"], f["layers"])
-    return C.assign_batch(a, 12, ["project_id", "schema_name"], "seq").select(
+    return C.assign_batch_two_level(a, 12, ["project_id", "schema_name"], "batch_id", ["batch_id", "seq"]).select(
         "project_id", "seq", "table_name", "schema_name", "batch_no")
 
 

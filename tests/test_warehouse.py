@@ -1,6 +1,7 @@
 """Star, vault, governance, store and response operators on small literal inputs."""
 
 import hashlib
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def test_store_upsert_is_idempotent(spark):
     once = S.upsert_snapshot(old, new, "id", "v")
     twice = S.upsert_snapshot(once, new, "id", "v")
     assert sorted(once.collect()) == sorted(twice.collect())
-    base = scratch_path(spark, "test-store")
+    base = scratch_path(spark, f"test-store-{uuid.uuid4().hex}")
     S.write_snapshot(once, base, version=1)
     S.write_snapshot(twice, base, version=2)
     assert sorted(S.read_store(spark, base).collect()) == sorted(once.collect())
