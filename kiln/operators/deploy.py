@@ -23,11 +23,12 @@ def deploy_plan(assigned: DataFrame, key: str = "project_id") -> DataFrame:
 
 # B13 ------------------------------------------------------------------------
 def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
-                log_path: str | None = None, project_id: str = "N/A") -> DataFrame:
+                log_path: str | None = None, project_id: str = "N/A", location: str | None = None) -> DataFrame:
     """Write each layer's tables as ``<database>_<SCHEMA>.<table>`` in load order.
 
     ``tables`` maps table name -> DataFrame (or None when the source object is
     missing: counted as skipped); ``layers`` maps table name -> layer label.
+    With ``location`` the tables are external, under ``location/<schema>/<table>``.
     Any other error ends the run as failed.  One log row per run.
     """
     names = sorted(tables, key=lambda n: (_rank(n), n))
@@ -44,7 +45,10 @@ def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
                 skipped += 1
                 continue
             if not spark.catalog.tableExists(f"{db}.{name}"):
-                df.write.saveAsTable(f"`{db}`.`{name}`")
+                w = df.write
+                if location:
+                    w = w.option("path", f"{location.rstrip('/')}/{db}/{name}")
+                w.saveAsTable(f"`{db}`.`{name}`")
             run += 1
     except Exception as e:  # the run is logged as failed, then re-raised
         status, err = "failed", f"{type(e).__name__}: {str(e)[:500]}"

@@ -24,7 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A local session for tests and benches (never used on a cluster)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", "16g")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="kiln-wh-")))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

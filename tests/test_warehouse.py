@@ -104,3 +104,19 @@ def test_parse_stages_and_merge(spark):
                               "p int, name string, d string, n int")
     m = {r["name"]: (r["d"], r["n"]) for r in R.merge_named(b, u, "p", ["d"], ["n"]).collect()}
     assert m == {"T": ("intro; the tail part", 5), "U": ("u\nmore", 3), "V": ("v", 1)}
+
+
+def test_materialise_logs_and_audits(spark):
+    from kiln.operators import deploy as D
+    tag = uuid.uuid4().hex[:8]
+    loc = scratch_path(spark, f"test-wh-{tag}")
+    log = scratch_path(spark, f"test-log-{tag}")
+    dim = spark.createDataFrame([(1, "a")], "a_sk long, name string")
+    fact = spark.createDataFrame([(1, 2.0)], "a_sk long, v double")
+    out = D.materialise(spark, {"FACT_S": fact, "DIM_A": dim, "STG_MISSING": None},
+                        {"FACT_S": "Gold", "DIM_A": "Gold", "STG_MISSING": "Silver / Conformed"},
+                        f"wh{tag}", log_path=log, project_id="p1", location=loc).first()
+    assert (out["statements_run"], out["statements_skipped"], out["status"]) == (2, 1, "success")
+    assert spark.table(f"wh{tag}_gold.FACT_S").count() == 1
+    a = D.audit(spark.read.parquet(log)).first()
+    assert (a["runs"], a["statements"], a["failures"]) == (1, 2, 0)
