@@ -93,15 +93,16 @@ def retain(df: DataFrame, ts: str, depth: str) -> DataFrame:
 
 
 # G7 / J5 ----------------------------------------------------------------------
-def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id",
-                  checkpoint_every: int = 4) -> DataFrame:
+def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id") -> DataFrame:
     """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, up to ``max_depth``.
 
     Breadth-first: each step joins the newly reached pairs with the edges and
     keeps only pairs not seen before (a left-anti join), so cycles end.  The
-    loop stops when a step adds nothing; lineage is cut with ``checkpoint``.
+    edges and every step are checkpointed (reliable checkpoint in the shared
+    folder): each step reads files instead of re-running the whole history,
+    and the loop stops when a step adds nothing.
     """
-    e = edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct()
+    e = edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct().checkpoint(eager=True)
     seen = e.withColumn("depth", F.lit(1))
     frontier = seen
     for d in range(2, max_depth + 1):
@@ -109,9 +110,8 @@ def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id
                                          (F.col("f.dst") == F.col("e.src")))
                 .select(F.col(f"f.{group}").alias(group), F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
                 .filter(F.col("src") != F.col("dst")).distinct())
-        new = step.join(seen.select(group, "src", "dst"), [group, "src", "dst"], "left_anti").withColumn("depth", F.lit(d))
-        if d % checkpoint_every == 0:
-            new = new.checkpoint(eager=True)
+        new = (step.join(seen.select(group, "src", "dst"), [group, "src", "dst"], "left_anti")
+               .withColumn("depth", F.lit(d)).checkpoint(eager=True))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

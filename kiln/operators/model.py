@@ -375,3 +375,46 @@ def lean(columns: DataFrame, mode: str = "meso") -> DataFrame:
     else:
         cols += ["data_type"]
     return top.select(*cols)
+
+
+# Q8 -------------------------------------------------------------------------
+# Volumes too small for these architectures.
+SMALL_VOLUMES = ["<1GB", "1-10GB"]
+HEAVY_ARCHITECTURES = ["Medallion", "Lakehouse"]
+
+
+def lint(tables: DataFrame, layers: DataFrame, rels: DataFrame | None = None,
+         projects: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
+    """Model lint, one row per violation ``(project_id, rule, object, detail)``:
+
+    * ``multi_layer``: an entity (compare key) declared in more than one layer;
+    * ``undeclared_layer``: a table layer label equal to no declared layer (normalised);
+    * ``circular_ref``: an entity on a cycle of relationships (breadth-first closure);
+    * ``architecture_volume``: Medallion or Lakehouse chosen for a volume under 10 GB.
+    """
+    from kiln.operators.governance import lineage_paths
+    lay = F.trim(F.coalesce("layer", F.lit("")))
+    t = tables.withColumn("__k", compare_key("table_name")).withColumn("__l", lay)
+    multi = (t.filter(F.col("__l") != "").groupBy(P, "__k")
+             .agg(F.count_distinct(norm_label("__l")).alias("n"),
+                  F.array_join(F.array_sort(F.collect_set(norm_label("__l"))), ",").alias("d"))
+             .filter(F.col("n") > 1)
+             .select(P, F.lit("multi_layer").alias("rule"), F.col("__k").alias("object"), F.col("d").alias("detail")))
+    declared = layers.select(P, norm_label("layer_name").alias("__n")).distinct()
+    used = t.filter(F.col("__l") != "").select(P, norm_label("__l").alias("__n"), F.col("__l").alias("detail")).distinct()
+    undeclared = (used.join(declared, [P, "__n"], "left_anti")
+                  .groupBy(P, "__n").agg(F.min("detail").alias("detail"))
+                  .select(P, F.lit("undeclared_layer").alias("rule"), F.col("__n").alias("object"), "detail"))
+    out = multi.unionByName(undeclared)
+    if rels is not None:
+        e = rels.select(P, F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"))
+        closure = lineage_paths(e, max_depth=max_depth).select(P, "src", "dst")
+        back = closure.select(P, F.col("dst").alias("src"), F.col("src").alias("dst"))
+        cyc = (closure.join(back, [P, "src", "dst"], "left_semi").select(P, F.col("src").alias("object")).distinct()
+               .select(P, F.lit("circular_ref").alias("rule"), "object", F.lit("").alias("detail")))
+        out = out.unionByName(cyc)
+    if projects is not None:
+        bad = projects.filter(F.col("volume").isin(*SMALL_VOLUMES) & F.col("architecture").isin(*HEAVY_ARCHITECTURES))
+        out = out.unionByName(bad.select(P, F.lit("architecture_volume").alias("rule"),
+                                         F.col("architecture").alias("object"), F.col("volume").alias("detail")))
+    return out

@@ -11,6 +11,7 @@ from kiln.functions.rules import RAW_LAYERS
 from kiln.operators import common as C
 from kiln.operators import model as M
 from kiln.plans.fleet import duck_ctes, spark_fleet
+from kiln.sources.tables import load
 
 OUTBOUND_ENTITY = "FACT_GEARS"
 
@@ -140,6 +141,20 @@ def lean_meso(spark, sf):
     return M.lean(_consolidated(spark, sf)[2], "meso")
 
 
+def _projects(spark, sf):
+    c = load(spark, sf, "customer")
+    vol = F.when(F.col("c_acctbal") < 0, "<1GB").when(F.col("c_acctbal") < 3000, "1-10GB").otherwise("10-100GB")
+    arch = (F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "Medallion")
+            .when(F.col("c_mktsegment") == "AUTOMOBILE", "Data Vault")
+            .when(F.col("c_mktsegment") == "MACHINERY", "Lakehouse").otherwise("Cloud DWH"))
+    return c.select(F.col("c_custkey").alias("project_id"), vol.alias("volume"), arch.alias("architecture"))
+
+
+def model_lint(spark, sf):
+    f, _, r, _ = _rels(spark, sf)
+    return M.lint(f["tables"], f["layers"], r, _projects(spark, sf))
+
+
 def batches_by_project(spark, sf):
     t = spark_fleet(spark, sf)["tables"]
     return C.assign_batch_two_level(t, 10, "project_id", "batch_id", ["batch_id", "seq"])
@@ -253,6 +268,38 @@ CORE AS (SELECT project_id, to_table AS entity FROM f_rels UNION ALL SELECT proj
 PRIM AS (SELECT project_id, 'FACT_SALES -> ' || to_table AS text FROM f_rels
          UNION ALL SELECT project_id, from_table || ' joins ' || to_table FROM f_rels)"""
 
+def _lint_sql():
+    norm_l = _NORM("trim(coalesce(layer, ''))")
+    body = _with(_CONS, _RECON, _U3, f"""
+LT AS (SELECT project_id, {sql_compare_key('table_name')} AS k, trim(coalesce(layer, '')) AS l, {norm_l} AS n
+       FROM f_tables),
+ML AS (SELECT project_id, 'multi_layer' AS rule, k AS object,
+              array_to_string(list_sort(list_distinct(list(n))), ',') AS detail
+       FROM LT WHERE l <> '' GROUP BY project_id, k HAVING count(DISTINCT n) > 1),
+DL AS (SELECT DISTINCT project_id, {_NORM('layer_name')} AS n FROM f_layers),
+UL AS (SELECT project_id, 'undeclared_layer' AS rule, n AS object, min(l) AS detail FROM LT
+       WHERE l <> '' AND NOT EXISTS (SELECT 1 FROM DL WHERE DL.project_id = LT.project_id AND DL.n = LT.n)
+       GROUP BY project_id, n),
+E AS (SELECT DISTINCT project_id, from_entity AS src, to_entity AS dst FROM RELS WHERE from_entity <> to_entity),
+R AS (SELECT project_id, src, dst, 1 AS depth FROM E
+      UNION
+      SELECT r.project_id, r.src, e.dst, r.depth + 1 FROM R r JOIN E e ON r.project_id = e.project_id AND r.dst = e.src
+      WHERE r.depth < 8),
+CL AS (SELECT DISTINCT project_id, src, dst FROM R WHERE src <> dst),
+CY AS (SELECT DISTINCT a.project_id, 'circular_ref' AS rule, a.src AS object, '' AS detail FROM CL a
+       JOIN CL b ON a.project_id = b.project_id AND a.src = b.dst AND a.dst = b.src),
+PR AS (SELECT c_custkey AS project_id,
+              CASE WHEN c_acctbal < 0 THEN '<1GB' WHEN c_acctbal < 3000 THEN '1-10GB' ELSE '10-100GB' END AS volume,
+              CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'Medallion'
+                   WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Data Vault'
+                   WHEN c_mktsegment = 'MACHINERY' THEN 'Lakehouse' ELSE 'Cloud DWH' END AS architecture
+       FROM customer),
+AV AS (SELECT project_id, 'architecture_volume' AS rule, architecture AS object, volume AS detail FROM PR
+       WHERE volume IN ('<1GB', '1-10GB') AND architecture IN ('Medallion', 'Lakehouse'))""")
+    body = body.replace("WITH ", "WITH RECURSIVE ", 1)
+    return body + " SELECT * FROM ML UNION ALL SELECT * FROM UL UNION ALL SELECT * FROM CY UNION ALL SELECT * FROM AV"
+
+
 ORACLES = {
     "layer_assignment": _with(_ASSIGN) + f" SELECT {_ASSIGNED_COLS} FROM ASSIGNED",
     "populated_layers": _with(_ASSIGN, """
@@ -380,6 +427,8 @@ SELECT project_id, seq, table_name, schema_name,
 FROM ASSIGNED""",
 }
 
+ORACLES["model_lint"] = _lint_sql()
+
 QUERIES = {
     "layer_assignment": layer_assignment,
     "populated_layers": populated_layers,
@@ -405,5 +454,6 @@ QUERIES = {
     "key_columns": key_columns,
     "lean_meso": lean_meso,
     "batches_by_project": batches_by_project,
+    "model_lint": model_lint,
     "ddl_batches_by_layer": ddl_batches_by_layer,
 }

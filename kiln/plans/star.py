@@ -114,6 +114,12 @@ def split_partsupp_3nf(spark, sf):
     return W.normalize(wide, {"part_supplier": (["l_partkey", "l_suppkey"], [])})["part_supplier"]
 
 
+def sample_lineitem(spark, sf):
+    from kiln.sources.tables import sample
+    return sample(load(spark, sf, "lineitem"),
+                  ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], 10)
+
+
 def event_stream(spark, sf):
     return W.event_stream_model(load(spark, sf, "events"), "event_id", "ts")
 
@@ -184,6 +190,8 @@ SELECT o_orderkey, min(o_custkey) AS o_custkey, min(o_orderstatus) AS o_ordersta
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
     "split_partsupp_3nf": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "event_stream": "SELECT *, CAST(ts AS DATE) AS event_date FROM events",
+    "sample_lineitem": """SELECT * FROM lineitem
+        ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 10""",
 }
 
 QUERIES = {
@@ -201,4 +209,5 @@ QUERIES = {
     "split_orders_3nf": split_orders_3nf,
     "split_partsupp_3nf": split_partsupp_3nf,
     "event_stream": event_stream,
+    "sample_lineitem": sample_lineitem,
 }
