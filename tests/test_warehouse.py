@@ -120,3 +120,29 @@ def test_materialise_logs_and_audits(spark):
     assert spark.table(f"wh{tag}_gold.FACT_S").count() == 1
     a = D.audit(spark.read.parquet(log)).first()
     assert (a["runs"], a["statements"], a["failures"]) == (1, 2, 0)
+
+
+def test_sources_and_defaults(spark):
+    from kiln.operators import profile as P
+    from kiln.operators.common import union_batches
+    from kiln.sources import tables as T
+    from kiln.functions import day_string, iso_day
+    tpl = T.template(spark, "Unknown industry")            # unknown -> Retail
+    assert sorted({r["table_name"] for r in tpl.collect()}) == ["CUSTOMERS", "ORDERS", "PRODUCTS"]
+    rows = T.synthetic(spark, T.template(spark, "Finance"), "ACCOUNTS", rows=50)
+    assert rows.count() == 50 and rows.select("ACCOUNT_ID").distinct().count() == 50
+    assert sorted(rows.collect()) == sorted(T.synthetic(spark, T.template(spark, "Finance"), "ACCOUNTS", rows=50).collect())
+    d = T.describe(rows, "ACCOUNTS")
+    assert [r["column_name"] for r in d.orderBy("ordinal").collect()] == ["ACCOUNT_ID", "HOLDER_NAME", "TYPE", "BALANCE"]
+    rows.createOrReplaceTempView("kiln_accounts")
+    assert "kiln_accounts" in {r["table_name"] for r in T.list_catalog(spark).collect()}
+    cols = spark.createDataFrame([("t", None, None, None)], "table_name string, column_name string, data_type string, nullable boolean")
+    r = P.with_defaults(cols).first()
+    assert (r["column_name"], r["data_type"], r["nullable"]) == ("N/A", "TEXT", True)
+    u = union_batches(spark.createDataFrame([(1, "a")], "id int, n string"), spark.createDataFrame([(2, 1.5)], "id int, x double"))
+    assert sorted(u.columns) == ["id", "n", "x"] and u.count() == 2
+    ts = spark.createDataFrame([("2024-03-05 10:11:12",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    got = ts.select(day_string("t"), iso_day("t")).first()
+    assert tuple(got) == ("2024-03-05", "2024-03-05")
+    ok, bad = P.profile({"good": rows, "bad": lambda: spark.read.parquet("/nonexistent/kiln.parquet")})
+    assert {r["table_name"]: r["error"] is None for r in ok.collect()} == {"good": True, "bad": False}
