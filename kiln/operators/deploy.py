@@ -17,7 +17,7 @@ def deploy_plan(assigned: DataFrame, key: str = "project_id") -> DataFrame:
     t = assigned.select(key, "schema_name", "table_name").distinct()
     t = t.withColumn("load_rank", load_rank("table_name"))
     w = Window.partitionBy(key).orderBy("load_rank", "table_name", "schema_name")
-    return (t.withColumn("statement_no", F.row_number().over(w))
+    return (t.withColumn("statement_no", F.row_number().over(w).cast("long"))
             .withColumn("valid_name", is_identifier("table_name") & is_identifier("schema_name")))
 
 

@@ -369,7 +369,7 @@ def lean(columns: DataFrame, mode: str = "meso") -> DataFrame:
     n = 8 if mode == "meso" else 12
     w = Window.partitionBy(P, "table_name").orderBy("col_seq", "ordinal")
     top = columns.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
-    cols = [P, "table_name", F.col("__rn").alias("position"), "column_name"]
+    cols = [P, "table_name", F.col("__rn").cast("long").alias("position"), "column_name"]
     if mode == "meso":
         cols += ["is_pk", "is_fk"]
     else:

@@ -126,4 +126,4 @@ def row_share(tables: DataFrame) -> DataFrame:
     return ok.select(
         "table_name", "row_count",
         (F.col("row_count") / F.sum("row_count").over(w)).cast("decimal(9,6)").alias("row_share"),
-        F.rank().over(Window.orderBy(F.col("row_count").desc())).alias("size_rank"))
+        F.rank().over(Window.orderBy(F.col("row_count").desc())).cast("long").alias("size_rank"))

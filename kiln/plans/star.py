@@ -152,7 +152,8 @@ ORACLES = {
 SELECT {_SK('l_partkey')} AS part_sk, {_SK('l_suppkey')} AS supplier_sk, {_SK('l_orderkey')} AS order_sk,
        CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ship_date_key, l_linenumber AS line_number,
        CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
-       CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS revenue
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(38,4))
+         AS revenue
 FROM lineitem""",
     "mart_revenue_nation_segment": f"""
 SELECT d.n_name, d.c_mktsegment, CAST(sum(f.total_price) AS DECIMAL(38,2)) AS revenue,
