@@ -10,6 +10,7 @@ is cut off with ``checkpoint()`` in the folder that the cluster shares.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _clean(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def spanning(near):
+    """Pairs that connect just what a boolean link matrix connects, as ((side, indices), (side, indices)).
+
+    Side 0 are the matrix's rows, side 1 its columns.  Every column is paired
+    with its first row; rows that share a column are paired over that column's
+    first row.
+    """
+    some = np.flatnonzero(near.any(axis=0))
+    first = near[:, some].argmax(axis=0)
+    yield (0, first), (1, some)
+    for f in np.unique(first):
+        peers = np.flatnonzero(near[:, some[first == f]].any(axis=1))
+        yield (0, np.full(len(peers), f)), (0, peers)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import htmltext, langid, linededup, mixing, packing, quality, simhash, tokencount
+from kiln.llm import egojoin, htmltext, langid, linededup, maxscore, mixing, packing, quality, simhash, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return maxscore.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs, "doc_id", 3, 1))
@@ -51,6 +60,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_top_k": op2_top_k,
+    "op3_ego_join": op3_ego_join,
     "op4_langid": op4_langid,
     "op5_pack": op5_pack,
     "op6_mix": op6_mix,
@@ -61,6 +72,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_top_k": maxscore.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
