@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln.llm import textcodes as X
 
@@ -205,24 +206,32 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
 
 def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, ``lang_pred``, ``score``."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    return tag(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), model, "text").select("doc_id", "lang_pred", "score")
+
+
+def tag(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """All rows and columns of ``df`` with ``lang_pred`` and ``score`` (in place of columns of those names)."""
+    df = df.drop("lang_pred", "score")
+    at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for s in range(0, len(texts), 512):
+                part = texts[s : s + 512]
                 names, score = [UNKNOWN] * len(part), np.zeros(len(part))
                 if m is not None:
                     margins, letters = m.margins(part)
                     names, score = m.decide(margins)
                     names = [k if ok else UNKNOWN for k, ok in zip(names, letters)]
                     score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                rows = b.slice(s, 512)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    fields = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(run, fields)
 
 
 def held_out(id_col: str = "doc_id", mod: int = 3, rest: int = 1):

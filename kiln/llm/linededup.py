@@ -45,13 +45,14 @@ def _windows(df: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, text without repeated windows, its lines before (``n_lines``) and the lines removed (``n_removed``)."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    windows = _windows(docs.where("text is not null"))
+    """Per document: id, text without repeated windows, its lines before (``n_lines``) and the lines removed
+    (``n_removed``); ``row`` holds the other columns of the input row."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in df.columns if c != text]).alias("row"))
+    windows = _windows(docs.select("doc_id", "text").where("text is not null"))
     place = F.struct("doc_id", "th", "pos")
     repeated = saved(windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                      .where("n > 1").select("k1", "k2", "first"))
-    later = windows.join(repeated, ["k1", "k2"]).where(place != F.col("first"))
+    later = windows.join(repeated, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
     covered = (later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts"))
                .select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"),
                        F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(*[p + k for k in range(LINES)])))).alias("gone")))
@@ -62,7 +63,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     return joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut).alias("text"),
                          F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "row")
 
 
 ORACLE = r"""

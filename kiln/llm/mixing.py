@@ -57,14 +57,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """Per document: id, size, its source's size and target, and the words that the mix takes (repeats counted)."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("size").cast("string")))
-    rows = saved(df.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-                 .select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("src"),
-                         F.col(source).isNull().alias("no_src"), "size",
-                         F.conv(F.substring(key, 1, 13), 16, 10).cast("long").alias("key")))
-    ranges = max(1, math.isqrt(rows.count()))
+        epochs: int = EPOCHS, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """Per document: id, size, its source's size and target, and the words that the mix takes (repeats counted).
+
+    With ``carry``, ``row`` holds all columns of the input row; the words are then counted twice instead of
+    keeping whole rows in the checkpoint folder.
+    """
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
+    rest = [F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []
+    rows = (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("no_src"),
+                      F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *rest)
+            .withColumn("key", F.conv(F.substring(key, 1, 13), 16, 10).cast("long")))
+    rows = rows if carry else saved(rows)
+    ranges = max(1, math.isqrt(df.count()))
     rows = rows.withColumn("part", F.floor(F.col("key") / F.lit((1 << 52) / ranges)).cast("int"))
     place = ["src", "no_src"]
     parts = saved(rows.groupBy(*place, "part").agg(F.sum("size").alias("words")))
@@ -77,7 +82,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     inside = Window.partitionBy(*place, "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, [*place, "part"])
     last = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("offset") - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("laps") * F.col("size") + last).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("laps") * F.col("size") + last).alias("taken"), *(["row"] if carry else []))
+
+
+def leading_words(text, n):
+    """The text up to the end of its n-th word."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+              epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixed rows: each document as often as it is taken whole, and the beginning of one that is taken in part."""
+    mixed = mix(df, id_col, text, source, weights, epochs, seed, carry=True).where("taken > 0")
+    part = F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
+                      F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    each = mixed.select("row", F.explode(copies).alias("words"))
+    cut = F.when(F.col("words") == 0, F.col("row")[text]).otherwise(leading_words(F.col("row")[text], F.col("words")))
+    return each.select(*[cut.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
 
 
 ORACLE = r"""

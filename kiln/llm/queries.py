@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kiln.llm import egojoin, htmltext, langid, linededup, maxscore, mixing, packing, quality, simhash, tokencount
 
 
@@ -55,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES = {
@@ -69,6 +70,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
