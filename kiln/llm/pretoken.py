@@ -27,14 +27,15 @@ CACHE_WORDS = 1_000_000
 def _contractions(c: np.ndarray, start: np.ndarray, cls: np.ndarray) -> None:
     """Move starts so that 's, 't, 're ... are pre-tokens; ``start`` is changed in place."""
     at = np.flatnonzero((c == 39) & start)
-    at = at[at + 3 < len(c)]
     if not len(at):
         return
     n = np.zeros(len(at), np.int64)
-    a, b = c[at + 1], c[at + 2]
-    n[np.isin(a, [ord(x) for x in CONTRACTIONS_1]) & (cls[at + 1] == X.LETTER)] = 2
+    # the last place is a separator, so a letter after the apostrophe always has a place after it
+    one, two = at + 1, np.minimum(at + 2, len(c) - 1)
+    a, b = c[one], c[two]
+    n[np.isin(a, [ord(x) for x in CONTRACTIONS_1]) & (cls[one] == X.LETTER)] = 2
     for x, y in CONTRACTIONS_2:
-        n[(a == ord(x)) & (b == ord(y)) & (cls[at + 2] == X.LETTER)] = 3
+        n[(a == ord(x)) & (b == ord(y)) & (cls[one] == X.LETTER) & (cls[two] == X.LETTER)] = 3
     at, n = at[n > 0], n[n > 0]
     start[at + 1] = False
     to = at + n
@@ -50,7 +51,6 @@ def spaced_starts(c: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start = (ws & (prev != X.SPACE)) | (ws & (after != X.SPACE) & (after != X.SEP))
     start |= word & (cls != prev) & ~before_blank
     start |= cls == X.SEP
-    # pad so that the look-ahead of a contraction never leaves the array
     _contractions(c, start, cls)
     at = np.flatnonzero(start)
     end = np.concatenate((at[1:], [len(c)]))
