@@ -195,7 +195,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return nodes, blocks
 
 
-def _titled(blocks) -> set[int]:
+def _titled(nodes, blocks) -> set[int]:
     """Elements that hold the page's h1 (forms: or most text of a page without one): wrappers, not boilerplate."""
     out: set[int] = set()
     for node, _, _ in blocks:
@@ -203,7 +203,7 @@ def _titled(blocks) -> set[int]:
             while node is not None and id(node) not in out:
                 out.add(id(node))
                 node = node.parent
-    if not out and not any(n.holds_main for n, _, _ in blocks):  # then a form around over half of the text is one too
+    if not out and not any(n.tag in MAIN for n in nodes):  # then a form around over half of the text is one too
         size: dict[int, int] = {}
         for node, text, _ in blocks:
             while node is not None:
@@ -253,8 +253,8 @@ class Page:
     """A parsed page: its clean blocks in order and the scores of their containers."""
 
     def __init__(self, html: str):
-        _, blocks = parse(html)
-        titled, seen = _titled(blocks), {}
+        nodes, blocks = parse(html)
+        titled, seen = _titled(nodes, blocks), {}
         self.blocks = [(n, t, k) for n, t, k in blocks if not _skipped(n, titled, seen) or _heading_of_article(n)]
         self.scored: dict[int, Node] = {}
         self.total = 0
