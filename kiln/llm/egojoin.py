@@ -39,7 +39,7 @@ from kiln.llm.vectors import matrix, usable
 
 THRESHOLD = 0.95
 DIRECTIONS = 6
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 FAN = 8
 _SLACK = 1e-9
 
@@ -84,18 +84,21 @@ def _cells(axes: np.ndarray, epsilon: float):
 
 
 def _cut(axes: np.ndarray, rows: int):
-    """Blocks of the sorted sequence: number in the split, box, ids, counts, vectors."""
+    """Pieces of the sorted sequence, none longer than a block: number in the split, rows, box, ids, counts, vectors."""
 
     def run(batches):
         split, number, held = TaskContext.get().partitionId(), 0, []
 
         def out(t):
-            u = _unit(matrix(t.column(1)))
-            p = u @ axes
+            x = matrix(t.column(1))
+            p = _unit(x) @ axes
+            with np.errstate(over="ignore"):
+                small = x.astype(np.float32)
+            x = small if (small == x).all() else x  # half the bytes where nothing is lost
             return pa.RecordBatch.from_arrays(
-                [pa.array([split]), pa.array([number]), pa.array([p.min(axis=0).tolist()]), pa.array([p.max(axis=0).tolist()]),
-                 pa.array([t.column(0).to_numpy().tobytes()], pa.binary()), pa.array([t.column(2).to_numpy().tobytes()], pa.binary()), pa.array([u.tobytes()], pa.binary())],
-                ["split", "number", "low", "high", "ids", "n", "u"])
+                [pa.array([split]), pa.array([number]), pa.array([t.num_rows]), pa.array([p.min(axis=0).tolist()]), pa.array([p.max(axis=0).tolist()]),
+                 pa.array([t.column(0).to_numpy().tobytes()], pa.binary()), pa.array([t.column(2).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
+                ["split", "number", "rows", "low", "high", "ids", "n", "x"])
 
         for b in batches:
             held.append(b)
@@ -109,14 +112,19 @@ def _cut(axes: np.ndarray, rows: int):
     return run
 
 
-def _compare(threshold: float, tile: int = 512):
+def _read(ids, n, x, width: int):
+    """Ids, counts and unit vectors of a block's pieces."""
+    parts = [np.frombuffer(v, np.float32 if len(v) * 2 == len(i) * width else np.float64).reshape(-1, width) for i, v in zip(ids, x)]
+    return np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(n), np.int64), _unit(np.concatenate(parts).astype(np.float64))
+
+
+def _compare(threshold: float, width: int, tile: int = 512):
     """Links of block pairs: kind 0 is (vector, links), kind 1 a pair of connected vectors."""
 
     def run(batches):
         for b in batches:
             for same, *cols in zip(*[b.column(i).to_pylist() for i in range(7)]):
-                (ia, na, xa), (ib, nb, xb) = [[np.frombuffer(c[0], np.int64), np.frombuffer(c[1], np.int64), np.frombuffer(c[2])] for c in (cols[:3], cols[3:])]
-                xa, xb = xa.reshape(len(ia), -1), xb.reshape(len(ib), -1)
+                (ia, na, xa), (ib, nb, xb) = _read(*cols[:3], width), _read(*cols[3:], width)
                 a_links, b_links, pairs = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), []
                 for at in range(0, len(ia), tile):
                     part = slice(at, at + tile)
@@ -157,9 +165,7 @@ def _close_pairs(blocks: DataFrame, n_blocks: int, epsilon: float) -> DataFrame:
     size = n_blocks
     while size > 1:
         k = levels[-1]
-        edge = lambda c, f: F.array(*[f(F.col(c)[i]) for i in range(DIRECTIONS)])
-        up = k.groupBy(F.floor(F.col("at") / FAN).cast("long").alias("at")).agg(edge("low", F.min).alias("low"), edge("high", F.max).alias("high"))
-        levels.append(saved(up))
+        levels.append(saved(_box(k, F.floor(F.col("at") / FAN))))
         size = -(-size // FAN)
     pairs = levels[-1].select(F.col("at").alias("p"), F.col("at").alias("q"))
     for level in reversed(levels[:-1]):
@@ -181,13 +187,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         axes = np.pad(axes, ((0, 0), (0, DIRECTIONS - axes.shape[1])))
         placed = same.select("rep", "v", "n").mapInArrow(_cells(axes, epsilon), "rep long, v array<double>, n long, cells array<int>")
         ordered = placed.repartitionByRange("cells", "rep").sortWithinPartitions("cells", "rep")
-        cut = saved(ordered.mapInArrow(_cut(axes, BLOCK_ROWS), "split long, number long, low array<double>, high array<double>, ids binary, n binary, u binary"))
-        blocks, n_blocks = _numbered(cut)
+        pieces = saved(ordered.mapInArrow(_cut(axes, BLOCK_ROWS), "split long, number long, rows long, low array<double>, high array<double>, ids binary, n binary, x binary"))
+        blocks, n_blocks = _blocks(pieces)
         pairs = _close_pairs(blocks.select("at", "low", "high"), n_blocks, epsilon)
-        data = lambda s: blocks.select(F.col("at").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("n").alias(f"{s}_n"), F.col("u").alias(f"{s}_u"))
+        data = lambda s: blocks.select(F.col("at").alias(s), *[F.col(f"parts.{c}").alias(f"{s}_{c}") for c in ("ids", "n", "x")])
         links = (pairs.join(data("p"), "p").join(data("q"), "q")
-                 .select((F.col("p") == F.col("q")).alias("same"), "p_ids", "p_n", "p_u", "q_ids", "q_n", "q_u")
-                 .mapInArrow(_compare(threshold), "kind int, a long, b long"))
+                 .select((F.col("p") == F.col("q")).alias("same"), "p_ids", "p_n", "p_x", "q_ids", "q_n", "q_x")
+                 .mapInArrow(_compare(threshold, width), "kind int, a long, b long"))
         found = links if found is None else found.union(links)
     if found is None:
         found = rows.select(F.lit(0).alias("kind"), F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).where("false")
@@ -203,13 +209,24 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                          F.coalesce(F.coalesce("component_id", F.col("vec_id").cast("long")) == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def _numbered(cut: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks numbered along the sequence: the sums before each split come from one row per split."""
-    sizes = [(r["split"], r["n"]) for r in cut.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per task
+def _box(level: DataFrame, key, *more) -> DataFrame:
+    """The rows of a level by key ``at`` with the box around theirs."""
+    edge = lambda c, f: F.array(*[f(F.col(c)[i]) for i in range(DIRECTIONS)])
+    return level.groupBy(key.cast("long").alias("at")).agg(edge("low", F.min).alias("low"), edge("high", F.max).alias("high"), *more)
+
+
+def _blocks(pieces: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks of about BLOCK_ROWS rows along the whole sequence, however many tasks sorted it.
+
+    What lies before each task's share comes from one number per task.  A block
+    holds the pieces that begin in its stretch: less than twice BLOCK_ROWS rows.
+    """
+    sizes = [(r["split"], r["n"]) for r in pieces.groupBy("split").agg(F.sum("rows").alias("n")).collect()]  # a row per task
     before, total = {}, 0
     for split, n in sorted(sizes):
         before[split], total = total, total + n
     if not before:
-        return cut.withColumn("at", F.lit(0).cast("long")), 0
-    at = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col("split")) + F.col("number")
-    return cut.withColumn("at", at.cast("long")), total
+        return pieces.select(F.lit(0).cast("long").alias("at"), "low", "high", F.array(F.struct("ids", "n", "x")).alias("parts")), 0
+    start = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v).cast("long"))]), F.col("split")) + F.col("number") * BLOCK_ROWS
+    parts = F.sort_array(F.collect_list(F.struct("split", "number", "ids", "n", "x"))).alias("parts")
+    return saved(_box(pieces, F.floor(start / BLOCK_ROWS), parts)), -(-total // BLOCK_ROWS)
