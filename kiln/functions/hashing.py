@@ -18,18 +18,24 @@ def _c(c) -> Column:
 
 
 def surrogate_key(*cols) -> Column:
-    """md5 of the '||'-joined business key: stable, no global sort, same in DuckDB.
+    """md5 of the business key: stable, no global sort, same in DuckDB.
 
-    Callers cast doubles to decimal and timestamps to text first.
+    Every part is written as its length and its text, NULL as '~', so that
+    different keys never give one text: (a, NULL) and (NULL, a) differ, and
+    so do NULL and ''.  Callers cast doubles to decimal and timestamps to
+    text first.
     """
-    return F.md5(F.concat_ws("||", *[_c(c).cast("string") for c in cols]))
+    parts = [_c(c).cast("string") for c in cols]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("~")) for p in parts]))
 
 
 def sql_surrogate_key(*xs: str) -> str:
-    return "md5(concat_ws('||', " + ", ".join(f"CAST({x} AS VARCHAR)" for x in xs) + "))"
+    parts = [f"coalesce(CAST(length(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '~')" for x in xs]
+    return "md5(" + " || ".join(parts) + ")"
 
 
 def unknown_key() -> Column:
+    """Key of the unknown member: the text it is made of has no length in front, so no business key gives it."""
     return F.md5(F.lit(UNKNOWN_MEMBER))
 
 

@@ -120,7 +120,6 @@ def sql_sanitize_label(x: str) -> str:
 
 # F13 ------------------------------------------------------------------------
 # The separators a relation text may use, case-insensitive.
-RELATION_SEPARATORS = ["->", "joins", "to", "-", "ref", "references"]
 _REL_SPLIT = r"(?i)\s*(?:->|joins|to|-|ref|references)\s*"
 
 

@@ -64,13 +64,15 @@ LAYER_FRAGMENTS = [
 ]
 
 
-def layer_from_name(c) -> Column:
+def layer_from_name(c, known=None) -> Column:
+    """Layer of a table: the one its metadata names (``known``), else the first fragment its name holds."""
     n = entity_id(_c(c))
     out = None
     for words, layer in LAYER_FRAGMENTS:
         cond = _any_contains(n, words)
         out = F.when(cond, layer) if out is None else out.when(cond, layer)
-    return out.otherwise("Warehouse")
+    out = out.otherwise("Warehouse")
+    return out if known is None else F.coalesce(_c(known), out)
 
 
 def sql_layer_from_name(x: str) -> str:
@@ -97,12 +99,14 @@ FLOW_WEIGHTS = [
 
 
 def flow_weight(c) -> Column:
-    """Weight of the first listed substring found in lower(name); -1 if none."""
+    """Weight of the first listed substring found in lower(name); -1 if none.
+
+    The list is one literal array: generated code stays small wherever the
+    weight is used more than once.
+    """
     n = F.lower(_c(c))
-    out = None
-    for w, k in FLOW_WEIGHTS:
-        out = F.when(n.contains(w), k) if out is None else out.when(n.contains(w), k)
-    return out.otherwise(-1)
+    listed = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("weight")) for w, k in FLOW_WEIGHTS])
+    return F.coalesce(F.get(F.filter(listed, lambda x: n.contains(x["word"])), F.lit(0))["weight"], F.lit(-1))
 
 
 def sql_flow_weight(x: str) -> str:
@@ -167,15 +171,16 @@ def sql_layer_rank(x: str) -> str:
 
 
 # O3 -------------------------------------------------------------------------
-# Load-order patterns on the upper-cased table name.
+# Load-order prefixes of an upper-cased name, first match wins.
+# A prefix counts at the start of the text or after a space, dot or parenthesis.
 LOAD_RANKS = [
-    ("DIM_", 0), ("HUB_|LNK_|SAT_", 1), ("RAW_|STG_|STAGE_|BRONZE", 2),
-    ("SILVER|CONFORMED|CLEANED", 3), ("FACT_|FCT_", 4),
+    (r"(^|[\s.(])DIM_", 0), (r"(^|[\s.(])(HUB_|LNK_|SAT_)", 1), (r"(^|[\s.(])(RAW_|STG_|STAGE_|BRONZE)", 2),
+    (r"(^|[\s.(])(SILVER|CONFORMED|CLEANED)", 3), (r"(^|[\s.(])(FACT_|FCT_)", 4),
 ]
 
 
 def load_rank(c) -> Column:
-    """Dimensions first, facts last; ranked by table name."""
+    """Dimensions first, facts last; of a table name, with or without its schema, or of a statement."""
     n = F.upper(_c(c))
     out = None
     for pat, r in LOAD_RANKS:

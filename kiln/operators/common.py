@@ -55,13 +55,6 @@ def assign_batch(df: DataFrame, size: int, by, order, out: str = "batch_no") ->
     return df.withColumn(out, F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int"))
 
 
-# W4 -------------------------------------------------------------------------
-def top_n(df: DataFrame, n: int, by, order) -> DataFrame:
-    """First ``n`` rows per group (planned as a WindowGroupLimit before the shuffle)."""
-    w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order))
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
-
-
 # U1 -------------------------------------------------------------------------
 def union_batches(*dfs: DataFrame) -> DataFrame:
     """Union of batch outputs whose columns drift: missing columns become NULL."""
@@ -80,6 +73,9 @@ def assign_batch_two_level(df: DataFrame, size: int, by, sub: str, order,
     offs = counts.select(*by, sub, F.coalesce(F.sum("__n").over(w_sub), F.lit(0)).alias("__off"))
     w_in = Window.partitionBy(*by, sub).orderBy(*_cols(order))
     out_col = out
-    out = df.withColumn("__rn", F.row_number().over(w_in)).join(offs, [*by, sub])
+    keys = [*by, sub]
+    offs = offs.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
+    out = df.withColumn("__rn", F.row_number().over(w_in)).join(offs, same).drop(*[f"__k{i}" for i in range(len(keys))])
     return (out.withColumn(out_col, F.floor((F.col("__off") + F.col("__rn") - 1) / F.lit(size)).cast("int"))
             .drop("__rn", "__off"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,64 +15,73 @@ def deploy_plan(assigned: DataFrame, key: str = "project_id") -> DataFrame:
     """Per project: one schema per populated layer, tables in load order
     (dimensions first, facts last, then by name), statement number, and
     whether the names pass the identifier guard."""
-    t = assigned.select(key, "schema_name", "table_name").distinct()
-    t = t.withColumn("load_rank", load_rank("table_name"))
-    w = Window.partitionBy(key).orderBy("load_rank", "table_name", "schema_name")
-    return (t.withColumn("statement_no", F.row_number().over(w).cast("long"))
-            .withColumn("valid_name", is_identifier("table_name") & is_identifier("schema_name")))
+    t = assigned.select(key, "schema_name", "table_name").distinct().withColumn("load_rank", load_rank("table_name"))
+    # numbered within (project, rank), offset by the lower ranks: no task sorts a whole project
+    counts = t.groupBy(key, "load_rank").agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy(key).orderBy("load_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(key).alias("__k"), F.col("load_rank").alias("__r"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("__off"))
+    w = Window.partitionBy(key, "load_rank").orderBy("table_name", "schema_name")
+    numbered = t.withColumn("__n", F.row_number().over(w)).join(offsets, F.col(key).eqNullSafe(F.col("__k")) & (F.col("load_rank") == F.col("__r")))
+    return numbered.select(*t.columns, (F.col("__off") + F.col("__n")).cast("long").alias("statement_no"),
+                           (is_identifier("table_name") & is_identifier("schema_name")).alias("valid_name"))
 
 
 # B13 ------------------------------------------------------------------------
+# Error classes that mean that a source object does not exist.
+MISSING = {"TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "SCHEMA_NOT_FOUND"}
+
+
 def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
                 log_path: str | None = None, project_id: str = "N/A", location: str | None = None) -> DataFrame:
     """Write each layer's tables as ``<database>_<SCHEMA>.<table>`` in load order.
 
-    ``tables`` maps table name -> DataFrame (or None when the source object is
-    missing: counted as skipped); ``layers`` maps table name -> layer label.
-    With ``location`` the tables are external, under ``location/<schema>/<table>``.
-    Any other error ends the run as failed.  One log row per run.
+    ``tables`` maps table name -> DataFrame or function giving one; ``layers``
+    maps table name -> layer label.  A table whose source object does not
+    exist (None, or an error of a MISSING class) is counted as skipped; any
+    other error ends the run as failed, is logged whole and raised.  With
+    ``location`` the tables are external, under ``location/<schema>/<table>``.
+    One log row per run, with the schemas written to.
     """
-    names = sorted(tables, key=lambda n: (_rank(n), n))
-    run, skipped, status, err = 0, 0, "success", None
+    names = spark.createDataFrame([(n, layers.get(n) or "") for n in tables], "name string, label string")
+    plan = names.select("name", layer_to_schema_name("label").alias("schema"), load_rank("name").alias("rank"),
+                        (is_identifier("name") & is_identifier(F.concat(F.lit(database + "_"), layer_to_schema_name("label")))).alias("ok"))
+    plan = plan.orderBy("rank", "name").collect()  # a row per table of one design
+    run, skipped, failure, schemas = 0, 0, None, []
     try:
-        for name in names:
-            schema = spark.range(1).select(layer_to_schema_name(F.lit(layers.get(name, "")))).first()[0]
+        for name, schema, _, ok in plan:
             db = f"{database}_{schema}".lower()
-            if not (_ident(db) and _ident(name)):
+            if not ok:
                 raise ValueError(f"invalid identifier {db}.{name}")
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-            df = tables[name]
-            if df is None:
+            schemas.append(schema)
+            if _written(spark, tables[name], db, name, location):
+                run += 1
+            else:
                 skipped += 1
-                continue
-            if not spark.catalog.tableExists(f"{db}.{name}"):
-                w = df.write
-                if location:
-                    w = w.option("path", f"{location.rstrip('/')}/{db}/{name}")
-                w.saveAsTable(f"`{db}`.`{name}`")
-            run += 1
-    except Exception as e:  # the run is logged as failed, then re-raised
-        status, err = "failed", f"{type(e).__name__}: {str(e)[:500]}"
-    log = (log_run(spark, log_path, project_id, database, ",".join(sorted(set(layers.values()))),
-                   run, skipped, status, err) if log_path else None)
-    if status == "failed":
-        raise RuntimeError(err)
+    except Exception as e:
+        failure = e  # logged as failed, then raised
+    log = (log_run(spark, log_path, project_id, database, ",".join(sorted(set(schemas))), run, skipped,
+                   "failed" if failure else "success", f"{type(failure).__name__}: {failure}" if failure else None)
+           if log_path else None)
+    if failure:
+        raise failure
     return log
 
 
-def _rank(name: str) -> int:
-    import re
-    # the same patterns as kiln.functions.load_rank, for the driver-side loop order
-    from kiln.functions.rules import LOAD_RANKS
-    for pat, r in LOAD_RANKS:
-        if re.search(pat, name.upper()):
-            return r
-    return 5
-
-
-def _ident(s: str) -> bool:
-    import re
-    return bool(re.fullmatch(r"[a-zA-Z0-9_]+", s))
+def _written(spark: SparkSession, source, db: str, name: str, location: str | None) -> bool:
+    """Write one table unless it is there; False if its source object does not exist."""
+    try:
+        df = source() if callable(source) else source
+        if df is None:
+            return False
+        if not spark.catalog.tableExists(f"{db}.{name}"):
+            w = df.write.option("path", f"{location.rstrip('/')}/{db}/{name}") if location else df.write
+            w.saveAsTable(f"`{db}`.`{name}`")
+        return True
+    except AnalysisException as e:
+        if (e.getCondition() or "").split(".")[0] in MISSING:
+            return False
+        raise
 
 
 # A9 -------------------------------------------------------------------------

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions import compare_key
+from kiln.session import saved
+
 # Sovereignty choice -> regions whose nations it keeps.
 SOVEREIGNTY_REGIONS = {"US": ["AMERICA"], "EU": ["EUROPE"], "Other": ["AFRICA", "ASIA", "MIDDLE EAST"]}
 # Retention depth choices.
 RETENTION = {"6 months": "6 MONTHS", "1 year": "1 YEAR", "3 years": "3 YEARS", "Unlimited": None}
-# Column-count bound on a mask policy fetched for one table.
-MAX_MASK_ROWS_PER_COLUMN = 64
 
 
 def mask_expr(c: Column, mask_type: str) -> Column:
@@ -38,30 +39,24 @@ def mask_expr(c: Column, mask_type: str) -> Column:
 def mask(df: DataFrame, masks: DataFrame, role: str, table: str | None = None) -> DataFrame:
     """Apply ``masks(column_name, mask_type, exempt_role[, table_name])`` for ``role``.
 
-    Only the policy rows of ``df``'s columns are fetched (at most a few per
-    column); each masked column becomes ``CASE WHEN role exempt THEN c ELSE mask(c)``.
+    Names match whatever their case.  A policy is a column's mask of one type;
+    the role escapes it only as one of that type's exempt roles.  Of several
+    policies that hold for the role, the strictest applies: nothing, a constant, a hash, the last characters, the mail domain.  The
+    policies are reduced in Spark to one row per column of ``df`` before they
+    are read; a column that no policy masks keeps its type.
     """
-    m = masks.filter(F.col("column_name").isin(df.columns))
+    names = [c.lower() for c in df.columns]
+    m = masks.select(F.lower(F.trim("column_name")).alias("c"), F.lower(F.coalesce("mask_type", F.lit(""))).alias("t"),
+                     "exempt_role", *(["table_name"] if "table_name" in masks.columns else [])).filter(F.col("c").isin(names))
     if table is not None and "table_name" in masks.columns:
-        m = m.filter(F.lower("table_name") == table.lower())
-    bound = MAX_MASK_ROWS_PER_COLUMN * max(len(df.columns), 1)
-    rows = m.select("column_name", "mask_type", "exempt_role").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("mask policy larger than its bound; check the policy table")
-    policy: dict[str, tuple[str, set]] = {}
-    for r in rows:
-        t, ex = policy.get(r["column_name"], (r["mask_type"], set()))
-        ex.add(r["exempt_role"])
-        policy[r["column_name"]] = (t, ex)
-    out = []
-    for name, dtype in df.dtypes:
-        if name in policy:
-            t, ex = policy[name]
-            keep = role in ex
-            out.append((F.col(name).cast("string") if keep else mask_expr(F.col(name), t)).alias(name))
-        else:
-            out.append(F.col(name))
-    return df.select(*out)
+        m = m.filter(F.lower(F.trim("table_name")) == table.lower())
+    exempt = F.coalesce(F.max(F.upper("exempt_role") == role.upper()), F.lit(False))
+    kinds = m.groupBy("c", "t").agg(exempt.alias("exempt")).filter(~F.col("exempt"))
+    order = F.when(F.col("t").isin("null", "nullify"), 0).when(F.col("t").isin("hash", "sha2", "sha256"), 2) \
+        .when(F.col("t") == "partial", 3).when(F.col("t") == "email", 4).otherwise(1)
+    strictest = kinds.groupBy("c").agg(F.min(F.struct(order.alias("o"), "t")).alias("w")).select("c", "w.t")
+    policy = {r["c"]: r["t"] for r in strictest.collect()}  # at most one row per column of df
+    return df.select(*[mask_expr(F.col(c), policy[c.lower()]).alias(c) if c.lower() in policy else F.col(c) for c in df.columns])
 
 
 # G3 -------------------------------------------------------------------------
@@ -93,8 +88,8 @@ def retain(df: DataFrame, ts: str, depth: str) -> DataFrame:
 
 
 # G7 / J5 ----------------------------------------------------------------------
-def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id") -> DataFrame:
-    """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, up to ``max_depth``.
+def lineage_paths(edges: DataFrame, group: str = "project_id") -> DataFrame:
+    """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, to the fixpoint.
 
     Breadth-first: each step joins the newly reached pairs with the edges and
     keeps only pairs not seen before (a left-anti join), so cycles end.  The
@@ -102,16 +97,17 @@ def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id
     folder): each step reads files instead of re-running the whole history,
     and the loop stops when a step adds nothing.
     """
-    e = edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct().checkpoint(eager=True)
+    e = saved(edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     seen = e.withColumn("depth", F.lit(1))
-    frontier = seen
-    for d in range(2, max_depth + 1):
+    frontier, d = seen, 1
+    while True:
+        d += 1
         step = (frontier.alias("f").join(e.alias("e"), (F.col(f"f.{group}") == F.col(f"e.{group}")) &
                                          (F.col("f.dst") == F.col("e.src")))
                 .select(F.col(f"f.{group}").alias(group), F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
                 .filter(F.col("src") != F.col("dst")).distinct())
-        new = (step.join(seen.select(group, "src", "dst"), [group, "src", "dst"], "left_anti")
-               .withColumn("depth", F.lit(d)).checkpoint(eager=True))
+        new = saved(step.join(seen.select(group, "src", "dst"), [group, "src", "dst"], "left_anti")
+                    .withColumn("depth", F.lit(d)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
@@ -119,19 +115,52 @@ def lineage_paths(edges: DataFrame, max_depth: int = 8, group: str = "project_id
     return seen
 
 
+def on_cycles(edges: DataFrame, group: str = "project_id") -> DataFrame:
+    """``(group, node)`` of the nodes on a cycle.
+
+    Edges from nodes that nothing enters, or into nodes that nothing leaves,
+    are peeled off until none is left; only the closure of what remains (the
+    cycles and the ways between them) is taken.
+    """
+    e = saved(edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    n = e.count()
+    while n:
+        entered = e.select(group, F.col("dst").alias("src")).distinct()
+        left = e.select(group, F.col("src").alias("dst")).distinct()
+        core = saved(e.join(entered, [group, "src"], "left_semi").join(left, [group, "dst"], "left_semi").select(group, "src", "dst"))
+        m = core.count()
+        if m == n:
+            break
+        e, n = core, m
+    reach = lineage_paths(e, group).select(group, "src", "dst")
+    back = reach.select(group, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach.join(back, [group, "src", "dst"], "left_semi").select(group, F.col("src").alias("node")).distinct()
+
+
 # G8 -------------------------------------------------------------------------
 def exposure(tags: DataFrame, table_grants: DataFrame, masks: DataFrame, keys=()) -> DataFrame:
     """PII-tagged columns a role can read in clear: it holds SELECT on the table
     and the column has no mask, or the role is the mask's exempt role.
-    ``keys`` (e.g. ``project_id``) scope every join."""
+    ``keys`` (e.g. ``project_id``) scope every join.  Tables meet by their
+    compare key (F3) and columns by their lower-case name, in all three
+    inputs; a grant on 'All' holds for every table."""
     k = list(keys)
-    pii = tags.filter(F.col("tag") == "PII").select(*k, "table_name", "column_name").distinct()
-    readers = (table_grants.filter(F.upper("privilege") == "SELECT")
-               .select(*k, "table_name", "role_name").distinct())
-    cand = pii.join(readers, [*k, "table_name"])
-    masked = masks.select(*k, "table_name", "column_name").distinct()
-    unmasked = cand.join(masked, [*k, "table_name", "column_name"], "left_anti").withColumn("reason", F.lit("no_mask"))
-    exempt = (cand.join(masks.select(*k, "table_name", "column_name", F.col("exempt_role").alias("role_name")),
-                        [*k, "table_name", "column_name", "role_name"], "left_semi")
+
+    def keyed(df, *more):
+        return df.select(*k, compare_key("table_name").alias("__t"), F.lower("column_name").alias("__c"), *more)
+
+    pii = keyed(tags.filter(F.col("tag") == "PII"), "table_name", "column_name").groupBy(*k, "__t", "__c").agg(
+        F.min("table_name").alias("table_name"), F.min("column_name").alias("column_name"))
+    readers = table_grants.filter(F.upper("privilege") == "SELECT")
+    by_table = (readers.filter(F.upper(F.trim("table_name")) != "ALL")
+                .select(*k, compare_key("table_name").alias("__t"), "role_name").distinct())
+    on_all = readers.filter(F.upper(F.trim("table_name")) == "ALL").select(*k, "role_name").distinct()
+    cols = [*k, "__t", "__c", "table_name", "column_name", "role_name"]
+    cand = pii.join(by_table, [*k, "__t"]).select(*cols)
+    every = pii.join(on_all, k) if k else pii.join(on_all.withColumn("__one", F.lit(1)), F.col("__one") == 1)
+    cand = cand.unionByName(every.select(*cols)).distinct()
+    masked = keyed(masks).distinct()
+    unmasked = cand.join(masked, [*k, "__t", "__c"], "left_anti").withColumn("reason", F.lit("no_mask"))
+    exempt = (cand.join(keyed(masks, F.col("exempt_role").alias("role_name")).distinct(), [*k, "__t", "__c", "role_name"], "left_semi")
               .withColumn("reason", F.lit("exempt_role")))
-    return unmasked.unionByName(exempt)
+    return unmasked.unionByName(exempt.select(*unmasked.columns)).drop("__t", "__c")

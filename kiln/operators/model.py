@@ -33,34 +33,33 @@ def assign_layers(tables: DataFrame, layers: DataFrame) -> DataFrame:
        in the table's label (an empty label is contained in all);
     4. else the last layer.  A project without layers gets 'Warehouse'.
     """
-    wl = Window.partitionBy(P, "norm")
-    L = (layers.withColumn("schema_name", layer_to_schema_name("layer_name"))
-         .withColumn("norm", norm_label("layer_name"))
-         .withColumn("snorm", norm_label("schema_name"))
-         .withColumn("pos", F.min("ordinal").over(wl))
-         .withColumn("idx", F.max("ordinal").over(wl))
-         .withColumn("sidx", F.max("ordinal").over(Window.partitionBy(P, "snorm")))
-         .withColumn("last_idx", F.max("ordinal").over(Window.partitionBy(P))))
-    T = tables.withColumn("__tn", norm_label(F.trim(F.coalesce("layer", F.lit("")))))
-    pairs = T.join(L.select(P, "norm", "snorm", "pos", "idx", "sidx", "last_idx"), P, "left")
-    tn, norm = F.col("__tn"), F.col("norm")
-    contained = norm.contains(tn) | tn.contains(norm)
-    prio = (F.when(norm.isNull(), 5).when(tn == norm, 1).when(tn == F.col("snorm"), 2)
-            .when(contained, 3).otherwise(4))
-    pos = F.when(prio == 3, F.col("pos")).otherwise(0)
-    idx = (F.when(prio == 5, 0).when(prio == 1, F.col("idx")).when(prio == 2, F.col("sidx"))
-           .when(prio == 3, F.col("idx")).otherwise(F.col("last_idx")))
-    cand = F.struct(prio.alias("prio"), pos.alias("pos"), idx.alias("idx"))
-    # group by every table column (the row key is unique), so no join back to the tables
-    pick = pairs.groupBy(*tables.columns).agg(F.min(cand).alias("__c"))
-    names = L.select(F.col(P).alias("__p"), F.col("ordinal").alias("__idx"), "layer_name", "schema_name")
-    out = pick.withColumn("layer_idx", F.col("__c.idx")).withColumn("__prio", F.col("__c.prio"))
-    out = (out.join(names, (out[P] == names["__p"]) & (out["layer_idx"] == names["__idx"]), "left")
-           .drop("__c", "__idx", "__p"))
-    return (out.withColumn("assigned_layer", F.when(F.col("__prio") == 5, "Warehouse").otherwise(F.col("layer_name")))
-            .withColumn("schema_name", F.when(F.col("__prio") == 5, "WAREHOUSE").otherwise(F.col("schema_name")))
-            .withColumn("match_rule", F.col("__prio"))
-            .drop("layer_name", "__prio"))
+    # one sorted layer list per project (a handful of entries), joined once; every
+    # table row then chooses from its project's list by itself
+    lists = layers.groupBy(F.col(P).alias("__p")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("ordinal").alias("i"), norm_label("layer_name").alias("n"), norm_label(layer_to_schema_name("layer_name")).alias("s"),
+        F.col("layer_name").alias("label"), layer_to_schema_name("layer_name").alias("schema")))).alias("__l"))
+    t = (tables.withColumn("__tn", norm_label(F.trim(F.coalesce("layer", F.lit("")))))
+         .join(lists, F.col(P) == F.col("__p"), "left").drop("__p"))
+    tn, ls = F.col("__tn"), F.col("__l")
+
+    def chosen(test):
+        return F.filter(ls, test)
+
+    first_part = F.get(chosen(lambda x: x["n"].contains(tn) | tn.contains(x["n"])), F.lit(0))
+    rules = [(1, F.try_element_at(chosen(lambda x: x["n"] == tn), F.lit(-1))), (2, F.try_element_at(chosen(lambda x: x["s"] == tn), F.lit(-1))),
+             # the last layer with the label of the first one that fits
+             (3, F.when(first_part.isNotNull(), F.try_element_at(chosen(lambda x: x["n"] == first_part["n"]), F.lit(-1)))), (4, F.try_element_at(ls, F.lit(-1)))]
+    found = [chosen(lambda x: x["n"] == tn), chosen(lambda x: x["s"] == tn), chosen(lambda x: x["n"].contains(tn) | tn.contains(x["n"])), ls]
+    pick = F.lit(None)
+    for (rule, layer), where in reversed(list(zip(rules, found))):
+        pick = F.when(F.size(where) > 0, F.struct(F.lit(rule).alias("rule"), layer.alias("layer"))).otherwise(pick)
+    t = t.withColumn("__c", F.when(ls.isNotNull(), pick))
+    none = F.col("__c").isNull()
+    return (t.withColumn("layer_idx", F.when(none, 0).otherwise(F.col("__c.layer.i")))
+            .withColumn("schema_name", F.when(none, "WAREHOUSE").otherwise(F.col("__c.layer.schema")))
+            .withColumn("assigned_layer", F.when(none, "Warehouse").otherwise(F.col("__c.layer.label")))
+            .withColumn("match_rule", F.when(none, 5).otherwise(F.col("__c.rule")))
+            .drop("__c", "__l", "__tn"))
 
 
 def populated_layers(assigned: DataFrame, layers: DataFrame) -> DataFrame:
@@ -159,11 +158,15 @@ def infer_rels(tables: DataFrame, columns: DataFrame) -> DataFrame:
     by its name length), never a pairing of all columns with all tables.
     """
     ents = tables.select(P, entity_id("table_name").alias("cand")).distinct()
+    # of all names that start with a prefix only the first counts, so it is found before the join
     c = columns.select(P, entity_id("table_name").alias("ent"), F.lower("column_name").alias("col"))
     c = c.filter(F.col("col").endswith("_sk") & (F.col("col") != F.concat(F.lower("ent"), F.lit("_sk"))))
     c = c.withColumn("target", F.upper(F.expr("substring(col, 1, length(col) - 3)"))).distinct()
     # table name starts with the target: prefixes of the table names
-    e_pre = ents.select(P, "cand", F.explode(_prefixes(F.col("cand"))).alias("target"))
+    e_pre = (ents.select(P, "cand", F.explode(_prefixes(F.col("cand"))).alias("target"))
+             .groupBy(P, "target").agg(F.min(F.struct((F.col("cand") != F.col("target")).alias("p"), "cand")).alias("w"),
+                                       F.min("cand").alias("least"))
+             .select(P, "target", F.when(F.col("w.p"), F.col("least")).otherwise(F.col("w.cand")).alias("cand")))
     m1 = c.join(e_pre, [P, "target"])
     # target starts with the table name: prefixes of the targets
     c_pre = c.select(P, "ent", "col", "target", F.explode(_prefixes(F.col("target"))).alias("cand"))
@@ -286,28 +289,28 @@ def design_metrics(tables: DataFrame, rels: DataFrame, columns: DataFrame) -> Da
 
 
 # A6 / O1 / O2 -----------------------------------------------------------------
-def layer_inventory(tables: DataFrame, max_names: int = 100) -> DataFrame:
+def layer_inventory(tables: DataFrame) -> DataFrame:
     """Per project and layer (upper-cased, blank -> WAREHOUSE): entity count,
-    layer rank (O1) and the alphabetical name list (O2), at most ``max_names``
-    names as the report shows.  The names are cut to the first ``max_names``
-    per group (a partial top-N before the shuffle) before they are gathered."""
+    layer rank (O1) and the alphabetical list of all its names (O2): one text
+    per layer of a design, which is the report itself."""
     lay = F.upper(F.coalesce(F.nullif(F.trim("layer"), F.lit("")), F.lit("Warehouse")))
-    t = tables.withColumn("layer_group", lay)
-    counts = t.groupBy(P, "layer_group").agg(F.count(F.lit(1)).alias("n_entities"))
-    w = Window.partitionBy(P, "layer_group").orderBy("table_name")
-    first = t.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max_names)
-    names = first.groupBy(P, "layer_group").agg(
-        F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("entities"))
-    return counts.join(names, [P, "layer_group"]).withColumn("layer_rank", layer_rank("layer_group"))
+    return (tables.groupBy(P, lay.alias("layer_group"))
+            .agg(F.count(F.lit(1)).alias("n_entities"),
+                 F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("entities"))
+            .withColumn("layer_rank", layer_rank("layer_group")))
 
 
 # A7 -------------------------------------------------------------------------
-def counters(grants: DataFrame, tasks: DataFrame) -> DataFrame:
+def counters(grants: DataFrame, tasks: DataFrame, masks: DataFrame, checks: DataFrame) -> DataFrame:
+    """Roles, grants, tasks, transformations, masking policies and checklist entries per project."""
     g = grants.groupBy(P).agg(F.count_distinct("role_name").alias("n_roles"), F.count(F.lit(1)).alias("n_grants"))
     t = tasks.groupBy(P).agg(F.count(F.lit(1)).alias("n_tasks"),
                              F.count_if(F.col("type") == "transformation").alias("n_transformations"))
-    return g.join(t, P, "full_outer").select(P, *[F.coalesce(c, F.lit(0)).alias(c) for c in
-                                                   ["n_roles", "n_grants", "n_tasks", "n_transformations"]])
+    m = masks.groupBy(P).agg(F.count(F.lit(1)).alias("n_masks"))
+    k = checks.groupBy(P).agg(F.count(F.lit(1)).alias("n_checks"))
+    out = g.join(t, P, "full_outer").join(m, P, "full_outer").join(k, P, "full_outer")
+    return out.select(P, *[F.coalesce(c, F.lit(0)).alias(c) for c in
+                           ["n_roles", "n_grants", "n_tasks", "n_transformations", "n_masks", "n_checks"]])
 
 
 # A8 -------------------------------------------------------------------------
@@ -326,11 +329,47 @@ def coverage(designed: DataFrame, catalogue: DataFrame) -> DataFrame:
 def grants(roles: DataFrame) -> DataFrame:
     """Flatten ``roles(project_id, role_name, grants array<struct<o,p>>)`` to one row per
     (role, object, privilege); object defaults to 'All', privilege to 'USAGE'."""
-    return (roles.select(P, "role_name", F.explode_outer("grants").alias("g"))
+    return (roles.select(P, "role_name", F.explode("grants").alias("g"))
             .select(P, "role_name", F.coalesce(F.col("g.o"), F.lit("All")).alias("object_name"),
                     F.coalesce(F.col("g.p"), F.lit("USAGE")).alias("privilege")))
 
 
+# The names under which a design document may give a column's fields.
+COLUMN_ALIASES = {"is_pk": ["pk", "primary_key", "is_pk"], "is_fk": ["fk", "is_fk"], "ref": ["ref", "references"]}
+DESIGN_SCHEMA = ("struct<tables:array<struct<name:string,layer:string,columns:array<struct<name:string,type:string,pk:boolean,primary_key:boolean,"
+                 "is_pk:boolean,fk:boolean,is_fk:boolean,ref:string,references:string>>>>>")
+ROLES_SCHEMA = ("struct<roles:array<struct<name:string,grants:array<struct<object_name:string,privilege:string>>,"
+                "privileges:array<struct<object_name:string,privilege:string>>>>>")
+
+
+# P4 -------------------------------------------------------------------------
+def flatten_design(docs: DataFrame, doc: str = "design", key: str = P) -> DataFrame:
+    """Design documents (JSON) to one row per column, whatever names its fields go by.
+
+    A flag holds if any of its names does; a reference is the first that is not
+    empty.  A table without a name is 'unknown_table'; one without columns
+    gives no row.
+    """
+    d = docs.select(key, F.from_json(doc, DESIGN_SCHEMA).alias("d"))
+    t = d.select(key, F.posexplode("d.tables").alias("table_no", "t"))
+    c = t.select(key, "table_no", F.coalesce("t.name", F.lit("unknown_table")).alias("table_name"), F.col("t.layer").alias("layer"),
+                 F.posexplode("t.columns").alias("ordinal", "c"))
+
+    def flag(name):
+        return F.greatest(*[F.coalesce(F.col("c")[a], F.lit(False)) for a in COLUMN_ALIASES[name]]).alias(name)
+
+    return c.select(key, "table_no", "table_name", "layer", "ordinal", F.col("c.name").alias("column_name"), F.col("c.type").alias("data_type"),
+                    flag("is_pk"), flag("is_fk"), F.coalesce(*[F.nullif(F.col("c")[a], F.lit("")) for a in COLUMN_ALIASES["ref"]]).alias("ref"))
+
+
+def flatten_roles(docs: DataFrame, doc: str = "governance", key: str = P) -> DataFrame:
+    """P3 on governance documents (JSON): the grants of every role, listed as grants or as privileges."""
+    r = docs.select(key, F.explode(F.from_json(doc, ROLES_SCHEMA)["roles"]).alias("r"))
+    listed = F.when(F.size(F.coalesce("r.grants", F.array())) > 0, F.col("r.grants")).otherwise(F.col("r.privileges"))
+    pairs = F.transform(listed, lambda g: F.struct(g["object_name"].alias("o"), g["privilege"].alias("p")))
+    return grants(r.select(F.col(key).alias(P), F.col("r.name").alias("role_name"), pairs.alias("grants")))
+
+
 def grants_flat(rows: DataFrame) -> DataFrame:
     """P3 defaults on already-flat grant rows."""
     return rows.select(P, "role_name", F.coalesce("object_name", F.lit("All")).alias("object_name"),
@@ -384,15 +423,15 @@ HEAVY_ARCHITECTURES = ["Medallion", "Lakehouse"]
 
 
 def lint(tables: DataFrame, layers: DataFrame, rels: DataFrame | None = None,
-         projects: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
+         projects: DataFrame | None = None) -> DataFrame:
     """Model lint, one row per violation ``(project_id, rule, object, detail)``:
 
     * ``multi_layer``: an entity (compare key) declared in more than one layer;
     * ``undeclared_layer``: a table layer label equal to no declared layer (normalised);
-    * ``circular_ref``: an entity on a cycle of relationships (breadth-first closure);
+    * ``circular_ref``: an entity on a cycle of relationships, of any length;
     * ``architecture_volume``: Medallion or Lakehouse chosen for a volume under 10 GB.
     """
-    from kiln.operators.governance import lineage_paths
+    from kiln.operators.governance import on_cycles
     lay = F.trim(F.coalesce("layer", F.lit("")))
     t = tables.withColumn("__k", compare_key("table_name")).withColumn("__l", lay)
     multi = (t.filter(F.col("__l") != "").groupBy(P, "__k")
@@ -408,11 +447,7 @@ def lint(tables: DataFrame, layers: DataFrame, rels: DataFrame | None = None,
     out = multi.unionByName(undeclared)
     if rels is not None:
         e = rels.select(P, F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"))
-        closure = lineage_paths(e, max_depth=max_depth).select(P, "src", "dst")
-        back = closure.select(P, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        cyc = (closure.join(back, [P, "src", "dst"], "left_semi").select(P, F.col("src").alias("object")).distinct()
-               .select(P, F.lit("circular_ref").alias("rule"), "object", F.lit("").alias("detail")))
-        out = out.unionByName(cyc)
+        out = out.unionByName(on_cycles(e, P).select(P, F.lit("circular_ref").alias("rule"), F.col("node").alias("object"), F.lit("").alias("detail")))
     if projects is not None:
         bad = projects.filter(F.col("volume").isin(*SMALL_VOLUMES) & F.col("architecture").isin(*HEAVY_ARCHITECTURES))
         out = out.unionByName(bad.select(P, F.lit("architecture_volume").alias("rule"),

@@ -2,88 +2,73 @@
 
 One scan per table: row count and a distinct count of every column come
 out of a single aggregate (partial aggregation on every task, one small
-final merge), then the one-row result is unpivoted with ``stack``.
+final merge).  What needs names and types only reads the schemas.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import base_type, is_key_name, is_pii_name
+from kiln.sources.tables import describe
 
 TABLE_SCHEMA = "table_name string, row_count long, error string"
-COLUMN_COLS = ["table_name", "ordinal", "column_name", "data_type", "nullable",
-               "distinct_count", "is_key", "is_pii"]
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _profile_one(name: str, df: DataFrame, exact: bool, max_cols_per_pass: int):
-    """(tables DF, columns DF) of one table; columns chunked to bound the aggregate width."""
-    fields = df.schema.fields
-    if not fields:
-        raise ValueError("table has no columns")
-    agg_fn = F.count_distinct if exact else F.approx_count_distinct
-    col_parts, row_count = [], None
-    for start in range(0, len(fields), max_cols_per_pass):
-        chunk = list(enumerate(fields))[start:start + max_cols_per_pass]
-        aggs = [F.count(F.lit(1)).alias("__n")] + [
-            agg_fn(F.col(f"`{f.name}`")).alias(f"__d{i}") for i, f in chunk]
-        one = df.agg(*aggs)
-        stack = ", ".join(f"{i}, {_sql_str(f.name)}, {_sql_str(f.dataType.simpleString())}, "
-                          f"{str(f.nullable).lower()}, __d{i}" for i, f in chunk)
-        cols = one.selectExpr(
-            f"stack({len(chunk)}, {stack}) AS (ordinal, column_name, data_type, nullable, distinct_count)")
-        col_parts.append(cols.select(F.lit(name).alias("table_name"), "*"))
-        if row_count is None:
-            row_count = one.select(F.lit(name).alias("table_name"),
-                                   F.col("__n").cast("long").alias("row_count"),
-                                   F.lit(None).cast("string").alias("error"))
-    return row_count, reduce(DataFrame.unionByName, col_parts)
-
-
-def profile(tables: dict, exact: bool = False, max_cols_per_pass: int = 64):
-    """A1/A2: ``(profile_tables, profile_columns)`` for a dict name -> DataFrame.
-
-    A table that cannot be read gives an error row in ``profile_tables`` and
-    no column rows; the other tables go on.
-    """
-    spark = None
-    t_parts, c_parts, errors = [], [], []
-    for name, df in tables.items():
-        try:
-            if callable(df):
-                df = df()
-            spark = df.sparkSession
-            t, c = _profile_one(name, df, exact, max_cols_per_pass)
-            t_parts.append(t)
-            c_parts.append(c)
-        except Exception as e:  # one bad table must not stop the others
-            errors.append((name, None, f"{type(e).__name__}: {str(e)[:200]}"))
-    if spark is None:
-        raise ValueError("no readable table")
-    if errors:
-        t_parts.append(spark.createDataFrame(errors, TABLE_SCHEMA))
-    tables_df = reduce(DataFrame.unionByName, t_parts)
-    cols_df = reduce(DataFrame.unionByName, c_parts) if c_parts else None
-    cols_df = cols_df.select(
-        "table_name", F.col("ordinal").cast("int").alias("ordinal"), "column_name", "data_type",
-        "nullable", F.col("distinct_count").cast("long").alias("distinct_count"),
+
+
+def schema_columns(tables: dict) -> DataFrame:
+    """Columns of the tables with key and PII flags, from the schemas alone: no scan."""
+    parts = [describe(df, name) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name", "ordinal", "column_name", "data_type", "nullable",
         is_key_name("column_name").alias("is_key"), is_pii_name("column_name").alias("is_pii"))
-    return tables_df, cols_df
+
+
+def _profile_one(name: str, source, exact: bool):
+    """(row count, [(column fields)], error) of one table: one aggregate over one scan, one row back."""
+    try:
+        df = source() if callable(source) else source
+        count = F.count_distinct if exact else F.approx_count_distinct
+        aggs = [count(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(df.schema.fields)]
+        got = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+        return got["n"], [(name, i, f.name, f.dataType.simpleString(), f.nullable, got[f"d{i}"]) for i, f in enumerate(df.schema.fields)], None
+    except Exception as e:  # whatever is wrong with one table must not stop the others
+        return None, [], f"{type(e).__name__}: {e}"
+
+
+def profile(spark: SparkSession, tables: dict, exact: bool = False, at_once: int = 5):
+    """A1/A2: ``(profile_tables, profile_columns)`` for a dict name -> DataFrame or function giving one.
+
+    Tables are profiled ``at_once`` at a time, each in a job of its own that
+    returns one row.  A table that cannot be opened or read gives an error row
+    in ``profile_tables`` and no column rows; the other tables go on.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        got = list(pool.map(lambda kv: _profile_one(*kv, exact), tables.items()))
+    table_rows = [(name, n, error) for name, (n, _, error) in zip(tables, got)]
+    column_rows = [c for _, cols, _ in got for c in cols]
+    columns = spark.createDataFrame(column_rows, "table_name string, ordinal int, column_name string, data_type string, "
+                                                 "nullable boolean, distinct_count long")
+    return spark.createDataFrame(table_rows, TABLE_SCHEMA), columns.select(
+        "*", is_key_name("column_name").alias("is_key"), is_pii_name("column_name").alias("is_pii"))
 
 
 # G1 -------------------------------------------------------------------------
-def tag(columns: DataFrame) -> DataFrame:
-    """Sensitive-column tags from the name heuristic: one row per (column, tag)."""
-    return (columns.filter(F.col("is_pii") | F.col("is_key"))
-            .select("table_name", "column_name",
-                    F.when(F.col("is_pii"), "PII").otherwise("CONFIDENTIAL").alias("tag")))
+TAGS = ["PII", "SENSITIVE", "CONFIDENTIAL"]
+
+
+def tag(columns: DataFrame, words: dict | None = None) -> DataFrame:
+    """Sensitive-column tags: PII by the name heuristic (F8), SENSITIVE and CONFIDENTIAL by the
+    words that the policy names for them; the first tag of TAGS that fits."""
+    words = words or {}
+    tests = {t: reduce(lambda a, b: a | b, [F.lower("column_name").contains(w.lower()) for w in words[t]]) for t in TAGS[1:] if words.get(t)}
+    kind = F.when(F.col("is_pii"), "PII")
+    for t, test in tests.items():
+        kind = kind.when(test, t)
+    return columns.select("table_name", "column_name", kind.alias("tag")).filter(F.col("tag").isNotNull())
 
 
 # P2 -------------------------------------------------------------------------

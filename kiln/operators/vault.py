@@ -19,8 +19,8 @@ def _cols(x) -> list:
 
 
 def hashdiff(*attrs) -> Column:
-    """md5 over the attribute values; NULL becomes the empty text so it still counts."""
-    return F.md5(F.concat_ws("||", *[F.coalesce(F.col(a).cast("string"), F.lit("")) for a in attrs]))
+    """md5 over the attribute values, written as in a surrogate key: NULL and '' differ."""
+    return surrogate_key(*attrs)
 
 
 # B7 -------------------------------------------------------------------------
@@ -28,11 +28,13 @@ def hub(df: DataFrame, entity: str, nk, load_ts: str, source: str | Column) -> D
     """``hub_<entity>``: one row per business key with its first load time and source."""
     nk = _cols(nk)
     src = F.lit(source) if isinstance(source, str) else source
-    first = (df.select(*nk, F.col(load_ts).alias("load_ts"), src.alias("record_source"))
-             .groupBy(*nk).agg(F.min(F.struct("load_ts", "record_source")).alias("__f")))
-    return first.select(surrogate_key(*nk).alias(f"{entity.lower()}_hk"), *nk,
-                        F.col("__f.load_ts").alias("load_ts"),
-                        F.col("__f.record_source").alias("record_source"))
+    rows = df.select(*nk, F.col(load_ts).alias("load_ts"), src.alias("record_source"))
+    if isinstance(source, str):  # one source: a plain minimum, which hashes
+        first = rows.groupBy(*nk).agg(F.min("load_ts").alias("load_ts")).withColumn("record_source", F.lit(source))
+    else:
+        first = (rows.groupBy(*nk).agg(F.min(F.struct("load_ts", "record_source")).alias("__f"))
+                 .select(*nk, F.col("__f.load_ts").alias("load_ts"), F.col("__f.record_source").alias("record_source")))
+    return first.select(surrogate_key(*nk).alias(f"{entity.lower()}_hk"), *nk, "load_ts", "record_source")
 
 
 # B8 -------------------------------------------------------------------------

@@ -1,9 +1,9 @@
 """Star and snowflake building: B1-B6, B10, B11, J1, J4, J8, A11, Q1.
 
 Surrogate keys are ``md5`` of the business key (kiln.functions.surrogate_key),
-so a fact row computes its own dimension key without looking it up.  The
-only lookup J1 needs is for orphans (business keys the dimension lacks),
-and that runs on the distinct fact keys, not on the fact rows.
+so a fact row computes its own dimension key without looking it up.  J1 only
+asks whether the dimension has the key: one left join with its distinct keys,
+whose strategy is left to the adaptive planner.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from pyspark.sql import types as T
 from kiln.functions import surrogate_key, unknown_key
 from kiln.operators.common import first_wins
 
-# A lookup side is broadcast only when counted at or under this many rows.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def _cols(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
@@ -69,31 +65,19 @@ def dimension(df: DataFrame, entity: str, nk, attrs, order=None,
 
 
 # J1 -------------------------------------------------------------------------
-def resolve_keys(fact: DataFrame, fk, dim: DataFrame, dim_nk, sk_name: str,
-                 max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Add ``sk_name`` = md5(business key), or the unknown key for orphans.
-
-    Orphans are found on the distinct fact keys (map-side distinct, then a
-    left-anti join with the dimension keys).  The orphan list is counted;
-    it is broadcast to the fact only under ``max_broadcast_rows``, else the
-    fact is joined to it by a shuffle join.
+def resolve_keys(fact: DataFrame, fk, dim: DataFrame, dim_nk, sk_name: str) -> DataFrame:
+    """Add ``sk_name`` = md5(business key), or the unknown key for orphans and for keys with a NULL.
+
+    One left join with the dimension's distinct keys: no action, no forced
+    strategy.  A small dimension is broadcast by size at run time, a large one
+    is joined through exchanges, where hot keys are split.
     """
     fk, dim_nk = _cols(fk), _cols(dim_nk)
-    keys = fact.select(*[F.col(a).alias(f"__k{i}") for i, a in enumerate(fk)]).distinct()
-    dkeys = dim.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(dim_nk)]) \
-        .filter(reduce(lambda a, b: a & b, [F.col(f"__k{i}").isNotNull() for i in range(len(fk))]))
-    orphans = keys.join(dkeys, [f"__k{i}" for i in range(len(fk))], "left_anti") \
-        .withColumn("__orphan", F.lit(True))
-    orphans = orphans.persist()
-    n = orphans.count()
-    if n == 0:
-        orphans.unpersist()
-        return fact.withColumn(sk_name, surrogate_key(*fk))
-    side = F.broadcast(orphans) if n <= max_broadcast_rows else orphans
-    cond = reduce(lambda a, b: a & b, [fact[a].eqNullSafe(side[f"__k{i}"]) for i, a in enumerate(fk)])
-    joined = fact.join(side, cond, "left")
-    return joined.select(*fact.columns, F.when(F.col("__orphan"), unknown_key())
-                         .otherwise(surrogate_key(*fk)).alias(sk_name))
+    keys = dim.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(dim_nk)]).dropna().distinct()
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(f"__k{i}") for i, a in enumerate(fk)])
+    known = F.col("__k0").isNotNull()
+    joined = fact.join(keys, same, "left")
+    return joined.select(*[F.col(c) for c in fact.columns], F.when(known, surrogate_key(*fk)).otherwise(unknown_key()).alias(sk_name))
 
 
 # B4 -------------------------------------------------------------------------
@@ -137,27 +121,31 @@ def snowflake_chain(levels: list) -> list:
 
 
 # A11 ------------------------------------------------------------------------
-def mart(fact_df: DataFrame, sk: str, dim: DataFrame, by, sums: dict, counts: dict | None = None) -> DataFrame:
-    """Gold aggregate by dimension attributes.
+def mart(fact_df: DataFrame, sk: str, dim: DataFrame, by, sums: dict, counts: dict | None = None,
+         averages: dict | None = None) -> DataFrame:
+    """Gold aggregate by dimension attributes: sums, counts, averages (of non-NULL values).
 
     The fact is first aggregated on its dimension key (partial aggregation on
     every task, so the join sees at most one row per key), then joined to the
     dimension and rolled up to ``by``.
     """
-    counts = counts or {}
+    counts, averages = counts or {}, averages or {}
     by = _cols(by)
     pre = fact_df.groupBy(sk).agg(
         *[F.sum(F.col(src)).alias(f"__s_{name}") for name, src in sums.items()],
-        *[F.count(F.lit(1) if src == "*" else F.col(src)).alias(f"__c_{name}") for name, src in counts.items()])
+        *[F.count(F.lit(1) if src == "*" else F.col(src)).alias(f"__c_{name}") for name, src in counts.items()],
+        *[x for name, src in averages.items() for x in (F.sum(src).alias(f"__a_{name}"), F.count(src).alias(f"__n_{name}"))])
     joined = pre.join(dim.select(sk, *by), sk, "left")
     return joined.groupBy(*by).agg(
         *[F.sum(f"__s_{n}").cast("decimal(38,2)").alias(n) for n in sums],
-        *[F.sum(f"__c_{n}").cast("long").alias(n) for n in counts])
+        *[F.sum(f"__c_{n}").cast("long").alias(n) for n in counts],
+        *[(F.sum(f"__a_{n}").cast("double") / F.nullif(F.sum(f"__n_{n}"), F.lit(0))).alias(n) for n in averages])
 
 
 # J8 / B6 ----------------------------------------------------------------------
 def drill_across(facts: list, on) -> DataFrame:
-    """Several facts, each aggregated to the conformed keys ``on``, then full-outer joined.
+    """Several facts, each aggregated to the conformed keys ``on``, then full-outer joined
+    (a NULL key meets a NULL key).
 
     ``facts`` is a list of ``(df, {name: Column aggregate})``.
     """
@@ -165,7 +153,10 @@ def drill_across(facts: list, on) -> DataFrame:
     parts = [df.groupBy(*on).agg(*[a.alias(n) for n, a in aggs.items()]) for df, aggs in facts]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, on, "full_outer")
+        q = p.withColumnsRenamed({c: f"__{c}" for c in on})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+        out = out.join(q, same, "full_outer")
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in on}).drop(*[f"__{c}" for c in on])
     return out
 
 

@@ -8,6 +8,7 @@ from kiln.functions import (sql_collapse_underscores, sql_compare_key, sql_entit
                             sql_layer_rank, sql_layer_to_schema_name, sql_norm_label, sql_ref_column,
                             sql_ref_table, sql_sanitize_label, sql_split_relation)
 from kiln.functions.rules import RAW_LAYERS
+from kiln import functions as K
 from kiln.operators import common as C
 from kiln.operators import model as M
 from kiln.plans.fleet import duck_ctes, spark_fleet
@@ -115,7 +116,68 @@ def layer_inventory(spark, sf):
 
 def design_counters(spark, sf):
     f = spark_fleet(spark, sf)
-    return M.counters(f["grants"], f["tasks"])
+    checks = f["layers"].filter(F.col("layer_name") != "")  # one checklist entry per named layer
+    return M.counters(f["grants"], f["tasks"], f["masks"], checks)
+
+
+def design_documents(spark, sf):
+    """One nested design document per order: a table per line, its columns under names that differ by line."""
+    li = load(spark, sf, "lineitem")
+    n, odd = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 1
+    yes, ref = F.lit(True), F.concat(F.lit("PART."), F.col("l_partkey").cast("string"))
+    key = F.struct(F.lit("line_sk").alias("name"), F.lit("int").alias("type"), F.when(n % 3 == 0, yes).alias("pk"),
+                   F.when(n % 3 == 1, yes).alias("primary_key"), F.when(n % 3 == 2, yes).alias("is_pk"), F.lit(None).cast("boolean").alias("fk"),
+                   F.lit(None).cast("boolean").alias("is_fk"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("references"))
+    part = F.struct(F.lit("part_sk").alias("name"), F.when(~odd, "int").alias("type"), *[F.lit(False).alias(c) for c in ("pk", "primary_key", "is_pk")],
+                    F.when(odd, yes).alias("fk"), F.when(~odd, yes).alias("is_fk"), F.when(odd, ref).otherwise("").alias("ref"), F.when(~odd, ref).alias("references"))
+    table = F.struct(F.when(n < 7, F.concat(F.lit("T_"), F.col("l_partkey").cast("string"))).alias("name"), F.col("l_returnflag").alias("layer"),
+                     F.array(key, part).alias("columns"))
+    docs = li.groupBy(F.col("l_orderkey").alias("project_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", table.alias("t")))).alias("s"))
+    return docs.select("project_id", F.to_json(F.struct(F.col("s.t").alias("tables"))).alias("design"))
+
+
+def design_flattened(spark, sf):
+    return M.flatten_design(design_documents(spark, sf)).drop("table_no")
+
+
+def grants_flattened(spark, sf):
+    """Governance documents, one per customer: a role per order, its grants under either name, with gaps."""
+    o = load(spark, sf, "orders")
+    grant = F.struct(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("T_"), F.col("o_orderkey").cast("string"))).alias("object_name"),
+                     F.when(F.col("o_orderpriority") != "5-LOW", F.lit("SELECT")).alias("privilege"))
+    first = F.col("o_orderkey") % 2 == 0
+    role = F.struct(F.concat(F.lit("R_"), F.col("o_orderstatus")).alias("name"), F.when(first, F.array(grant)).otherwise(F.array().cast("array<struct<object_name:string,privilege:string>>")).alias("grants"),
+                    F.when(~first, F.array(grant, grant)).alias("privileges"))
+    docs = o.groupBy(F.col("o_custkey").alias("project_id")).agg(F.collect_list(role).alias("roles"))
+    return M.flatten_roles(docs.select("project_id", F.to_json(F.struct("roles")).alias("governance")))
+
+
+def column_rules(spark, sf):
+    """The column rules over every designed column."""
+    c = spark_fleet(spark, sf)["columns"]
+    return c.select("project_id", "seq", "ordinal", K.sanitize_column(F.concat("table_name", F.lit(" #"), "column_name")).alias("sanitized"),
+                    K.normalize_type("data_type", "column_name").alias("type"), K.ref_table("ref").alias("ref_table"), K.ref_column("ref").alias("ref_column"),
+                    K.layer_from_name("table_name", F.when(F.col("ordinal") == 1, "Declared")).alias("layer"),
+                    K.band(F.length("table_name") * 9).alias("band"), K.level_score(F.col("data_type")).alias("score"),
+                    K.model_prompt_hash(F.lit("m"), F.col("column_name")).alias("prompt_hash"))
+
+
+def pivoted_privileges(spark, sf):
+    return M.rbac_matrix(M.grants_flat(spark_fleet(spark, sf)["grants"]), roles=["ANALYST_F", "ANALYST_O", "ANALYST_P"])
+
+
+def lean_macro(spark, sf):
+    return M.lean(_consolidated(spark, sf)[2], "macro")
+
+
+def lean_micro(spark, sf):
+    return M.lean(_consolidated(spark, sf)[2], "micro")
+
+
+def batch_union(spark, sf):
+    """Tables of finished batches have no layer column, those of open batches no type."""
+    t = spark_fleet(spark, sf)["tables"]
+    return C.union_batches(t.filter("batch_status = 'F'").drop("layer"), t.filter("batch_status <> 'F'").drop("table_type")).drop("batch_id")
 
 
 def design_coverage(spark, sf):
@@ -281,11 +343,10 @@ UL AS (SELECT project_id, 'undeclared_layer' AS rule, n AS object, min(l) AS det
        WHERE l <> '' AND NOT EXISTS (SELECT 1 FROM DL WHERE DL.project_id = LT.project_id AND DL.n = LT.n)
        GROUP BY project_id, n),
 E AS (SELECT DISTINCT project_id, from_entity AS src, to_entity AS dst FROM RELS WHERE from_entity <> to_entity),
-R AS (SELECT project_id, src, dst, 1 AS depth FROM E
+R AS (SELECT project_id, src, dst FROM E
       UNION
-      SELECT r.project_id, r.src, e.dst, r.depth + 1 FROM R r JOIN E e ON r.project_id = e.project_id AND r.dst = e.src
-      WHERE r.depth < 8),
-CL AS (SELECT DISTINCT project_id, src, dst FROM R WHERE src <> dst),
+      SELECT r.project_id, r.src, e.dst FROM R r JOIN E e ON r.project_id = e.project_id AND r.dst = e.src),
+CL AS (SELECT project_id, src, dst FROM R WHERE src <> dst),
 CY AS (SELECT DISTINCT a.project_id, 'circular_ref' AS rule, a.src AS object, '' AS detail FROM CL a
        JOIN CL b ON a.project_id = b.project_id AND a.src = b.dst AND a.dst = b.src),
 PR AS (SELECT c_custkey AS project_id,
@@ -387,17 +448,49 @@ FULL OUTER JOIN NC ON coalesce(NT.project_id, NR.project_id) = NC.project_id""",
 LG AS (SELECT project_id, upper(coalesce(nullif(trim(layer), ''), 'Warehouse')) AS layer_group, table_name
        FROM CTABLES)""") + f"""
 SELECT project_id, layer_group, count(*) AS n_entities,
-       array_to_string(list_slice(list_sort(list(table_name)), 1, 100), ', ') AS entities,
+       array_to_string(list_sort(list(table_name)), ', ') AS entities,
        {sql_layer_rank('layer_group')} AS layer_rank
 FROM LG GROUP BY project_id, layer_group""",
     "design_counters": _with("""
 G AS (SELECT project_id, count(DISTINCT role_name) AS n_roles, count(*) AS n_grants FROM f_grants GROUP BY 1),
 TT AS (SELECT project_id, count(*) AS n_tasks, count(*) FILTER (WHERE type = 'transformation') AS n_transformations
-       FROM f_tasks GROUP BY 1)""") + """
-SELECT coalesce(G.project_id, TT.project_id) AS project_id, coalesce(n_roles, 0) AS n_roles,
-       coalesce(n_grants, 0) AS n_grants, coalesce(n_tasks, 0) AS n_tasks,
-       coalesce(n_transformations, 0) AS n_transformations
-FROM G FULL OUTER JOIN TT ON G.project_id = TT.project_id""",
+       FROM f_tasks GROUP BY 1),
+MM AS (SELECT project_id, count(*) AS n_masks FROM f_masks GROUP BY 1),
+KK AS (SELECT project_id, count(*) AS n_checks FROM f_layers WHERE layer_name <> '' GROUP BY 1),
+PP AS (SELECT project_id FROM G UNION SELECT project_id FROM TT UNION SELECT project_id FROM MM UNION SELECT project_id FROM KK)""") + """
+SELECT project_id, coalesce(n_roles, 0) AS n_roles, coalesce(n_grants, 0) AS n_grants, coalesce(n_tasks, 0) AS n_tasks,
+       coalesce(n_transformations, 0) AS n_transformations, coalesce(n_masks, 0) AS n_masks, coalesce(n_checks, 0) AS n_checks
+FROM PP LEFT JOIN G USING (project_id) LEFT JOIN TT USING (project_id) LEFT JOIN MM USING (project_id) LEFT JOIN KK USING (project_id)""",
+    "design_flattened": """
+SELECT l_orderkey AS project_id, CASE WHEN l_linenumber < 7 THEN 'T_' || l_partkey ELSE 'unknown_table' END AS table_name, l_returnflag AS layer,
+       o AS ordinal, CASE WHEN o = 0 THEN 'line_sk' ELSE 'part_sk' END AS column_name,
+       CASE WHEN o = 0 OR l_linenumber % 2 = 0 THEN 'int' END AS data_type, o = 0 AS is_pk, o = 1 AS is_fk,
+       CASE WHEN o = 1 THEN 'PART.' || l_partkey END AS ref
+FROM (SELECT *, unnest([0, 1]) AS o FROM lineitem)""",
+    "grants_flattened": """
+SELECT o_custkey AS project_id, 'R_' || o_orderstatus AS role_name,
+       CASE WHEN o_orderstatus <> 'P' THEN 'T_' || o_orderkey ELSE 'All' END AS object_name,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN 'SELECT' ELSE 'USAGE' END AS privilege
+FROM (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [1] ELSE [1, 2] END) FROM orders)""",
+    "column_rules": duck_ctes() + f"""
+SELECT project_id, seq, ordinal, {K.sql_sanitize_column("table_name || ' #' || column_name")} AS sanitized,
+       {K.sql_normalize_type('data_type', 'column_name')} AS type, {sql_ref_table('ref')} AS ref_table, {sql_ref_column('ref')} AS ref_column,
+       CASE WHEN ordinal = 1 THEN 'Declared' ELSE {K.sql_layer_from_name('table_name')} END AS layer,
+       {K.sql_band('length(table_name) * 9')} AS band, {K.sql_level_score('data_type')} AS score, sha256('m:' || column_name) AS prompt_hash
+FROM f_columns""",
+    "pivoted_privileges": _with("""
+FL AS (SELECT project_id, role_name, coalesce(object_name, 'All') AS object_name, coalesce(privilege, 'USAGE') AS privilege FROM f_grants),
+PV AS (SELECT project_id, object_name, role_name, array_to_string(list_sort(list_distinct(list(privilege))), ', ') AS p FROM FL GROUP BY ALL)""") + """
+SELECT project_id, object_name, max(p) FILTER (WHERE role_name = 'ANALYST_F') AS "ANALYST_F", max(p) FILTER (WHERE role_name = 'ANALYST_O') AS "ANALYST_O",
+       max(p) FILTER (WHERE role_name = 'ANALYST_P') AS "ANALYST_P" FROM PV GROUP BY project_id, object_name""",
+    "lean_macro": _with(_CONS) + " SELECT DISTINCT project_id, table_name FROM CCOLS",
+    "lean_micro": _with(_CONS) + """
+SELECT project_id, table_name, position, column_name, data_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, table_name ORDER BY col_seq, ordinal) AS position FROM CCOLS)
+WHERE position <= 12""",
+    "batch_union": duck_ctes() + """
+SELECT project_id, seq, table_name, CASE WHEN batch_status <> 'F' THEN layer END AS layer,
+       CASE WHEN batch_status = 'F' THEN table_type END AS table_type, batch_status FROM f_tables""",
     "design_coverage": _with(_CONS, f"""
 D AS (SELECT DISTINCT project_id, upper(table_name) AS u FROM CTABLES),
 CAT AS (SELECT DISTINCT project_id, upper({_CN}) AS u FROM f_tables WHERE batch_status = 'F'),
@@ -448,6 +541,13 @@ QUERIES = {
     "design_metrics": design_metrics,
     "layer_inventory": layer_inventory,
     "design_counters": design_counters,
+    "design_flattened": design_flattened,
+    "grants_flattened": grants_flattened,
+    "column_rules": column_rules,
+    "pivoted_privileges": pivoted_privileges,
+    "lean_macro": lean_macro,
+    "lean_micro": lean_micro,
+    "batch_union": batch_union,
     "design_coverage": design_coverage,
     "rbac_privileges": rbac_privileges,
     "outbound_joins": outbound_joins,

@@ -23,6 +23,7 @@ SCHEMAS = {
                ("event_type", "string"), ("value", "double"), ("props", "string")],
     "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
                   ("source", "string"), ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
     "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
     "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
     "benchmark": [("item_id", "bigint"), ("text", "string")],

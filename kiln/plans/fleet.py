@@ -11,11 +11,8 @@ so both engines see identical metadata.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.session import scratch_path
 from kiln.sources.tables import load
 
 # Layer lists by market segment (architecture of the project).
@@ -55,9 +52,8 @@ def _base(ymd: str) -> str:
     return f"""
 SELECT o_custkey AS project_id,
        o_orderkey AS batch_id,
-       lpad(CAST(o_orderkey AS STRING), 19, '0') || '.' || lpad(CAST(l_linenumber AS STRING), 3, '0') || '.' ||
-       lpad(CAST(l_partkey AS STRING), 19, '0') || '.' || lpad(CAST(l_suppkey AS STRING), 19, '0') || '.' ||
-       {ymd} AS seq,
+       lpad(CAST(o_orderkey AS STRING), 13, '0') || lpad(CAST(l_linenumber AS STRING), 2, '0') ||
+       lpad(CAST(l_partkey AS STRING), 11, '0') || lpad(CAST(l_suppkey AS STRING), 9, '0') || {ymd} AS seq,
        o_orderstatus AS batch_status,
        {prefix} AS prefix,
        lower(split_part(p_name, ' ', 1)) AS adj,
@@ -75,26 +71,21 @@ def sql_texts(engine: str) -> dict:
     ttype = _case("prefix", TYPE_BY_PREFIX)
     tables = f"""SELECT project_id, batch_id, seq, table_name, layer, {ttype} AS table_type, batch_status
 FROM {base} b"""
+    # one row per line item, multiplied by the three column numbers: the base is read once
+    three = "explode(array(0, 1, 2))" if engine == "spark" else "unnest([0, 1, 2])"
     columns = f"""
-SELECT project_id, batch_id, seq, table_name, 0 AS ordinal, core || '_sk' AS column_name,
-       'NUMBER(38,0)' AS data_type, prefix IN ('DIM_', 'dim ', 'HUB_') AS is_pk, false AS is_fk,
-       CAST(NULL AS STRING) AS ref
-FROM {base} b
-UNION ALL
-SELECT project_id, batch_id, seq, table_name, 1,
-       CASE WHEN p_size > 40 THEN adj || '_id' WHEN prefix IN ('FACT_', 'fct__') THEN 'dim_' || core || '_sk'
-            ELSE adj || '_sk' END,
-       'VARCHAR(' || CAST(p_size AS STRING) || ')', false, true,
-       CASE WHEN l_discount < 0.02 THEN 'DIM_' || upper(adj)
-            ELSE 'DIM_' || upper(core) || '.' || adj || '_id' END
-FROM {base} b
-UNION ALL
-SELECT project_id, batch_id, seq, table_name, 2,
-       CASE WHEN p_size <= 3 THEN 'customer_email' WHEN p_size <= 6 THEN 'contact_phone'
-            ELSE lower(p_type) || '_amount' END,
-       CASE WHEN p_size > 25 THEN 'NUMBER(12,2)' ELSE 'Double Precision' END, false, false,
-       CAST(NULL AS STRING)
-FROM {base} b"""
+SELECT project_id, batch_id, seq, table_name, ordinal,
+       CASE ordinal WHEN 0 THEN core || '_sk'
+         WHEN 1 THEN CASE WHEN p_size > 40 THEN adj || '_id' WHEN prefix IN ('FACT_', 'fct__') THEN 'dim_' || core || '_sk'
+                          ELSE adj || '_sk' END
+         ELSE CASE WHEN p_size <= 3 THEN 'customer_email' WHEN p_size <= 6 THEN 'contact_phone'
+                   ELSE lower(p_type) || '_amount' END END AS column_name,
+       CASE ordinal WHEN 0 THEN 'NUMBER(38,0)' WHEN 1 THEN 'VARCHAR(' || CAST(p_size AS STRING) || ')'
+         ELSE CASE WHEN p_size > 25 THEN 'NUMBER(12,2)' ELSE 'Double Precision' END END AS data_type,
+       ordinal = 0 AND prefix IN ('DIM_', 'dim ', 'HUB_') AS is_pk, ordinal = 1 AS is_fk,
+       CASE WHEN ordinal = 1 THEN CASE WHEN l_discount < 0.02 THEN 'DIM_' || upper(adj)
+            ELSE 'DIM_' || upper(core) || '.' || adj || '_id' END END AS ref
+FROM (SELECT b.*, {three} AS ordinal FROM {base} b) c"""
     rels = f"""
 SELECT project_id, batch_id, seq, table_name AS from_table, 'DIM_' || upper(core) AS to_table,
        '||--o{{{{' AS cardinality,
@@ -131,17 +122,12 @@ FLEET_TABLES = ["lineitem", "orders", "part", "customer"]
 def spark_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The fleet as Spark DataFrames derived from the fixture tables.
 
-    The per-line-item base feeds every fleet table (and the columns table
-    three times), and each consumer prunes it differently, so it is written
-    once as Parquet under the shared checkpoint folder and scanned back:
-    one computation per call, column pruning on every read, and a lost
-    executor re-reads files instead of re-running the joins.
+    Nothing is computed or written here: every fleet table is a lazy plan over
+    the fixtures, pruned to the columns that its consumer asks for.
     """
     srcs = {t: load(spark, sf_dir, t, spread=(t == "lineitem")) for t in FLEET_TABLES}
     texts = sql_texts("spark")
-    path = scratch_path(spark, f"fleet-{uuid.uuid4().hex}")
-    spark.sql(texts.pop("base"), **srcs).write.parquet(path)
-    base = spark.read.parquet(path)
+    base = spark.sql(texts.pop("base"), **srcs)
     out = {}
     for k, v in texts.items():
         out[k] = spark.sql(v, b=base, customer=srcs["customer"]) if "{customer}" in v else spark.sql(v, b=base)

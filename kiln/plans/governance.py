@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions import is_key_name, is_pii_name, sql_is_pii_name
+from kiln.functions import is_key_name, is_pii_name, sql_compare_key, sql_is_pii_name
 from kiln.operators import governance as G
 from kiln.operators import model as M
 from kiln.operators.profile import tag
@@ -23,8 +20,10 @@ def _customer_masks(spark, df):
     """Mask policy from the catalogue tags: PII columns hashed, STEWARD exempt."""
     d = describe(df, "customer").withColumn("is_pii", is_pii_name("column_name")) \
         .withColumn("is_key", is_key_name("column_name"))
-    return tag(d).filter(F.col("tag") == "PII").select(
-        "table_name", "column_name", F.lit("hash").alias("mask_type"), F.lit("STEWARD").alias("exempt_role"))
+    hashed = tag(d).filter(F.col("tag") == "PII").select(
+        "table_name", F.upper("column_name").alias("column_name"), F.lit("hash").alias("mask_type"), F.lit("STEWARD").alias("exempt_role"))
+    # a second, weaker policy on the same columns, from which the role is exempt
+    return hashed.unionByName(hashed.withColumns({"mask_type": F.lit("partial"), "exempt_role": F.lit(ROLE)}))
 
 
 def masked_customer(spark, sf):
@@ -60,9 +59,7 @@ def pii_exposure(spark, sf):
                        F.when(is_pii_name("column_name"), "PII").alias("tag"))
     grants = M.grants_flat(f["grants"]).select("project_id", F.col("object_name").alias("table_name"),
                                                "role_name", "privilege")
-    masks = f["masks"].select("project_id", M.collapse_underscores(F.upper(F.trim("table_name"))).alias("table_name"),
-                              "column_name", "mask_type", "exempt_role")
-    return G.exposure(tags, grants, masks, keys=["project_id"])
+    return G.exposure(tags, grants, f["masks"], keys=["project_id"])
 
 
 # ---- oracles ----------------------------------------------------------------
@@ -80,8 +77,6 @@ def eval_pii(name: str) -> bool:
     return any(w in name.lower() for w in PII_WORDS)
 
 
-_FLEET_CN = "regexp_replace(regexp_replace(upper(trim(table_name)), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
-
 ORACLES = {
     "masked_customer": _masked_customer_sql(),
     "row_filtered_orders": """SELECT * FROM orders WHERE o_custkey IN (
@@ -92,29 +87,32 @@ ORACLES = {
     "retained_orders": """SELECT * FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 YEAR""",
     "lineage_closure": duck_ctes().replace("WITH ", "WITH RECURSIVE ", 1) + """,
 E AS (SELECT DISTINCT project_id, source AS src, target AS dst FROM f_tasks WHERE source <> target),
+N AS (SELECT project_id, count(DISTINCT src) + 1 AS n FROM E GROUP BY project_id),
 R AS (SELECT project_id, src, dst, 1 AS depth FROM E
       UNION
       SELECT r.project_id, r.src, e.dst, r.depth + 1 FROM R r JOIN E e ON r.project_id = e.project_id AND r.dst = e.src
-      WHERE r.depth < 8)
+      JOIN N n ON n.project_id = r.project_id
+      WHERE r.depth < n.n)
 SELECT project_id, src, dst, min(depth) AS depth FROM R WHERE src <> dst GROUP BY project_id, src, dst""",
 }
 
 def _pii_exposure_sql():
     from kiln.plans.design import _CONS, _with
+    key = sql_compare_key("table_name")
     return _with(_CONS, f"""
-TG AS (SELECT DISTINCT project_id, table_name, column_name FROM CCOLS WHERE {sql_is_pii_name('column_name')}),
-RD AS (SELECT DISTINCT project_id, coalesce(object_name, 'All') AS table_name, role_name FROM f_grants
+TG AS (SELECT project_id, {key} AS k, lower(column_name) AS c, min(table_name) AS table_name, min(column_name) AS column_name
+       FROM CCOLS WHERE {sql_is_pii_name('column_name')} GROUP BY ALL),
+RD AS (SELECT DISTINCT project_id, {sql_compare_key("coalesce(object_name, 'All')")} AS k, role_name FROM f_grants
        WHERE upper(coalesce(privilege, 'USAGE')) = 'SELECT'),
-MK AS (SELECT DISTINCT project_id, {_FLEET_CN} AS table_name, column_name, exempt_role FROM f_masks),
-CA AS (SELECT TG.project_id, TG.table_name, TG.column_name, RD.role_name FROM TG JOIN RD
-       ON TG.project_id = RD.project_id AND TG.table_name = RD.table_name)""") + """
+MK AS (SELECT DISTINCT project_id, {key} AS k, lower(column_name) AS c, exempt_role FROM f_masks),
+CA AS (SELECT DISTINCT TG.*, RD.role_name FROM TG JOIN RD
+       ON TG.project_id = RD.project_id AND (TG.k = RD.k OR RD.k = 'ALL'))""") + """
 SELECT project_id, table_name, column_name, role_name, 'no_mask' AS reason FROM CA
-WHERE NOT EXISTS (SELECT 1 FROM MK WHERE MK.project_id = CA.project_id AND MK.table_name = CA.table_name
-                  AND MK.column_name = CA.column_name)
+WHERE NOT EXISTS (SELECT 1 FROM MK WHERE MK.project_id = CA.project_id AND MK.k = CA.k AND MK.c = CA.c)
 UNION ALL
 SELECT project_id, table_name, column_name, role_name, 'exempt_role' FROM CA
-WHERE EXISTS (SELECT 1 FROM MK WHERE MK.project_id = CA.project_id AND MK.table_name = CA.table_name
-              AND MK.column_name = CA.column_name AND MK.exempt_role = CA.role_name)"""
+WHERE EXISTS (SELECT 1 FROM MK WHERE MK.project_id = CA.project_id AND MK.k = CA.k AND MK.c = CA.c
+              AND MK.exempt_role = CA.role_name)"""
 
 
 ORACLES["pii_exposure"] = _pii_exposure_sql()

@@ -7,41 +7,54 @@ from pyspark.sql import functions as F
 from kiln.functions import sql_base_type, sql_is_key_name, sql_is_pii_name
 from kiln.operators import profile as P
 from kiln.plans.fixture_schema import SCHEMAS
-from kiln.sources.tables import load
+from kiln.sources.tables import ALL_TABLES, load_all
 
-PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-
-
-def _tables(spark, sf_dir):
-    return {n: load(spark, sf_dir, n) for n in PROFILED}
+PROFILED = ALL_TABLES
+# The tagging policy of the query below.
+TAG_WORDS = {"SENSITIVE": ["bal", "price", "toxic"], "CONFIDENTIAL": ["text", "props", "html"]}
 
 
 def profile_columns_exact(spark, sf_dir):
-    return P.profile(_tables(spark, sf_dir), exact=True)[1]
+    return P.profile(spark, load_all(spark, sf_dir), exact=True)[1]
 
 
 def profile_columns_approx(spark, sf_dir):
-    return P.profile(_tables(spark, sf_dir), exact=False)[1]
+    return P.profile(spark, load_all(spark, sf_dir), exact=False)[1]
+
+
+def profile_sketch_error(spark, sf_dir):
+    """Sketch against exact counts: columns off by more than a fifth (A1 checked by A2)."""
+    a = profile_columns_approx(spark, sf_dir).select("table_name", "column_name", F.col("distinct_count").alias("approx"))
+    e = profile_columns_exact(spark, sf_dir).select("table_name", "column_name", "distinct_count")
+    off = F.abs(F.col("approx") - F.col("distinct_count")) > 0.2 * F.col("distinct_count")
+    return e.join(a, ["table_name", "column_name"]).select("table_name", "column_name", off.alias("off"))
 
 
 def profile_tables(spark, sf_dir):
-    return P.profile(_tables(spark, sf_dir), exact=True)[0].drop("error")
+    return P.profile(spark, load_all(spark, sf_dir))[0]
+
+
+def profile_defaults(spark, sf_dir):
+    """P9 over catalogue rows of which some lack a type, a nullable flag or a name."""
+    c = P.schema_columns(load_all(spark, sf_dir)).select("table_name", "ordinal", "column_name", "data_type", "nullable")
+    gaps = {"data_type": F.col("ordinal") % 2 == 0, "nullable": F.col("ordinal") % 3 == 0, "column_name": F.col("ordinal") == 4}
+    return P.with_defaults(c.withColumns({k: F.when(~g, F.col(k)) for k, g in gaps.items()}))
 
 
 def type_mix(spark, sf_dir):
-    return P.type_mix(profile_columns_exact(spark, sf_dir))
+    return P.type_mix(P.schema_columns(load_all(spark, sf_dir)))
 
 
 def row_share(spark, sf_dir):
-    return P.row_share(P.profile(_tables(spark, sf_dir), exact=True)[0])
+    return P.row_share(P.profile(spark, load_all(spark, sf_dir))[0])
 
 
 def pii_columns(spark, sf_dir):
-    return P.flagged(profile_columns_exact(spark, sf_dir), "is_pii")
+    return P.flagged(P.schema_columns(load_all(spark, sf_dir)), "is_pii")
 
 
 def column_tags(spark, sf_dir):
-    return P.tag(profile_columns_exact(spark, sf_dir))
+    return P.tag(P.schema_columns(load_all(spark, sf_dir)), TAG_WORDS)
 
 
 # ---- oracles ----------------------------------------------------------------
@@ -65,21 +78,27 @@ def _sql_tables() -> str:
 
 ORACLES = {
     "profile_columns_exact": _sql_columns(),
-    "profile_tables": _sql_tables(),
+    "profile_tables": f"SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({_sql_tables()})",
+    "profile_sketch_error": f"SELECT table_name, column_name, false AS off FROM ({_sql_columns()})",
+    "profile_defaults": f"""SELECT table_name, ordinal, CASE WHEN ordinal = 4 THEN 'N/A' ELSE column_name END AS column_name,
+        CASE WHEN ordinal % 2 = 0 THEN 'TEXT' ELSE data_type END AS data_type, true AS nullable FROM ({_sql_columns()})""",
     "type_mix": (f"SELECT {sql_base_type('data_type')} AS base_type, count(*) AS n_columns "
                  f"FROM ({_sql_columns()}) GROUP BY 1"),
     "row_share": (f"SELECT table_name, row_count, "
                   f"CAST(row_count / sum(row_count) OVER () AS DECIMAL(9,6)) AS row_share, "
                   f"rank() OVER (ORDER BY row_count DESC) AS size_rank FROM ({_sql_tables()})"),
-    "pii_columns": f"SELECT * FROM ({_sql_columns()}) WHERE is_pii",
-    "column_tags": (f"SELECT table_name, column_name, CASE WHEN is_pii THEN 'PII' "
-                    f"ELSE 'CONFIDENTIAL' END AS tag FROM ({_sql_columns()}) WHERE is_pii OR is_key"),
+    "pii_columns": f"SELECT * EXCLUDE (distinct_count) FROM ({_sql_columns()}) WHERE is_pii",
+    "column_tags": """SELECT * FROM (SELECT table_name, column_name, CASE WHEN is_pii THEN 'PII' """ + "".join(
+        f"WHEN {' OR '.join(f"contains(column_name, '{w}')" for w in ws)} THEN '{t}' " for t, ws in TAG_WORDS.items())
+    + f"END AS tag FROM ({_sql_columns()})) WHERE tag IS NOT NULL",
 }
 
 QUERIES = {
     "profile_columns_exact": profile_columns_exact,
     "profile_columns_approx": profile_columns_approx,
+    "profile_sketch_error": profile_sketch_error,
     "profile_tables": profile_tables,
+    "profile_defaults": profile_defaults,
     "type_mix": type_mix,
     "row_share": row_share,
     "pii_columns": pii_columns,

@@ -99,19 +99,38 @@ def orphans_lineitem(spark, sf):
 
 
 def split_orders_3nf(spark, sf):
-    wide = load(spark, sf, "lineitem").join(load(spark, sf, "orders"),
-                                           F.col("l_orderkey") == F.col("o_orderkey"))
-    ents = W.normalize(wide, {
-        "orders": ("o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"]),
-        "part_supplier": (["l_partkey", "l_suppkey"], []),
-    })
-    return ents["orders"]
+    """Orders out of the wide table: orders with their lines, orders without any too."""
+    wide = load(spark, sf, "orders").join(load(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return W.normalize(wide, {"orders": ("o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"])})["orders"]
+
+
+def split_customers_3nf(spark, sf):
+    """Each customer's first order, whole: attributes that differ within the key stay together."""
+    return W.normalize(load(spark, sf, "orders"), {"c": ("o_custkey", ["o_orderdate", "o_orderkey", "o_orderpriority"])})["c"]
 
 
 def split_partsupp_3nf(spark, sf):
-    wide = load(spark, sf, "lineitem").join(load(spark, sf, "orders"),
-                                           F.col("l_orderkey") == F.col("o_orderkey"))
-    return W.normalize(wide, {"part_supplier": (["l_partkey", "l_suppkey"], [])})["part_supplier"]
+    return W.normalize(load(spark, sf, "lineitem"), {"part_supplier": (["l_partkey", "l_suppkey"], [])})["part_supplier"]
+
+
+def fact_orders_orphans(spark, sf):
+    """Orders against a customer dimension that lacks the customers without a balance (planted orphans)."""
+    dim = load(spark, sf, "customer").filter(F.col("c_acctbal") > 0)
+    o = load(spark, sf, "orders").withColumn("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
+    return W.fact(o, [("o_custkey", dim, "c_custkey", "customer_sk")], [money("o_totalprice").alias("total_price")], degenerate=["o_orderkey"])
+
+
+def mart_order_average(spark, sf):
+    return W.mart(fact_orders(spark, sf), "customer_sk", dim_customer(spark, sf), ["r_name"], sums={"revenue": "total_price"},
+                  averages={"avg_order": "total_price"})
+
+
+def drill_across_facts(spark, sf):
+    """Two facts over a conformed key that is NULL in some rows of both."""
+    key = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    o = load(spark, sf, "orders").select("o_orderkey", key.alias("priority"))
+    li = load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return W.drill_across([(o, {"n_orders": F.count(F.lit(1))}), (li, {"n_lines": F.count(F.lit(1))})], "priority")
 
 
 def sample_lineitem(spark, sf):
@@ -185,11 +204,25 @@ HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL""",
     "orphans_lineitem": """
 SELECT * FROM lineitem l WHERE l_orderkey IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderdate < TIMESTAMP '2000-01-01')""",
-    "split_orders_3nf": """
-SELECT o_orderkey, min(o_custkey) AS o_custkey, min(o_orderstatus) AS o_orderstatus,
-       min(o_orderpriority) AS o_orderpriority
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
-    "split_partsupp_3nf": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "split_orders_3nf": """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey, o_orderstatus, o_orderpriority) AS rn
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) WHERE rn = 1""",
+    "split_customers_3nf": """SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, o_orderpriority) AS rn
+        FROM orders) WHERE rn = 1""",
+    "split_partsupp_3nf": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
+    "fact_orders_orphans": f"""
+SELECT CASE WHEN c.c_custkey IS NULL THEN {_UNK} ELSE {_SK('o_custkey')} END AS customer_sk, o_orderkey,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS total_price
+FROM orders LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal > 0) c ON o_custkey = c.c_custkey AND o_orderstatus <> 'P'""",
+    "mart_order_average": f"""
+SELECT d.r_name, CAST(sum(f.total_price) AS DECIMAL(38,2)) AS revenue, CAST(sum(f.total_price) AS DOUBLE) / count(f.total_price) AS avg_order
+FROM ({_FACT_ORDERS}) f LEFT JOIN ({_DIM_CUSTOMER}) d ON f.customer_sk = d.customer_sk GROUP BY d.r_name""",
+    "drill_across_facts": """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority FROM orders),
+     a AS (SELECT priority, count(*) AS n_orders FROM o GROUP BY 1),
+     b AS (SELECT priority, count(*) AS n_lines FROM lineitem LEFT JOIN o ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT coalesce(a.priority, b.priority) AS priority, n_orders, n_lines FROM a FULL JOIN b ON a.priority IS NOT DISTINCT FROM b.priority""",
     "event_stream": "SELECT *, CAST(ts AS DATE) AS event_date FROM events",
     "sample_lineitem": """SELECT * FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 10""",
@@ -208,7 +241,11 @@ QUERIES = {
     "pk_duplicates_lineitem": pk_duplicates_lineitem,
     "orphans_lineitem": orphans_lineitem,
     "split_orders_3nf": split_orders_3nf,
+    "split_customers_3nf": split_customers_3nf,
     "split_partsupp_3nf": split_partsupp_3nf,
+    "fact_orders_orphans": fact_orders_orphans,
+    "mart_order_average": mart_order_average,
+    "drill_across_facts": drill_across_facts,
     "event_stream": event_stream,
     "sample_lineitem": sample_lineitem,
 }

@@ -32,10 +32,10 @@ def _saves(spark, sf):
 
 def project_store_upsert(spark, sf):
     s = _saves(spark, sf)
-    cut = F.lit(CUTOVER).cast("timestamp_ntz")
-    old = latest(s.filter(F.col("created_at") < cut), "id", ["created_at"])
-    new = s.filter(F.col("created_at") >= cut)
-    return S.upsert_snapshot(old, new, "id", "created_at")
+    # stored: saves before the cut-over; updates: the later ones and some of older date
+    late = (F.col("created_at") >= F.lit(CUTOVER).cast("timestamp_ntz")) | F.col("requirements").contains("1-URGENT")
+    old = latest(s.filter(~late), "id", ["created_at"])
+    return S.upsert_snapshot(old, s.filter(late), "id", "created_at", created="created_at")
 
 
 def project_lookup(spark, sf):
@@ -55,14 +55,13 @@ def _runs(spark, sf):
     o, li = load(spark, sf, "orders"), load(spark, sf, "lineitem")
     c, n = load(spark, sf, "customer"), load(spark, sf, "nation")
     stmts = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("statements_run"))
-    return (o.filter(F.col("o_orderstatus") != "O")
-            .join(stmts, F.col("o_orderkey") == F.col("l_orderkey"))
+    return (o.join(stmts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(F.md5(F.col("o_custkey").cast("string")).alias("project_id"),
                     F.concat(F.lit("DWH_"), F.col("n_name")).alias("target_db"),
                     F.substring("o_orderpriority", 3, 100).alias("target_schema"),
-                    F.col("statements_run").cast("long").alias("statements_run"),
-                    F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status")))
+                    F.coalesce("statements_run", F.lit(0)).cast("long").alias("statements_run"),
+                    F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status")))
 
 
 def deploy_audit(spark, sf):
@@ -93,13 +92,13 @@ saves AS (SELECT md5(CAST(o_custkey AS VARCHAR)) AS id, o_orderdate AS created_a
 old AS (SELECT id, created_at, user_name, requirements, status, 0 AS prio FROM (
    SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, user_name DESC, requirements DESC,
                                 status DESC) AS rn
-   FROM saves WHERE created_at < TIMESTAMP '2000-01-01 00:00:00') WHERE rn = 1),
+   FROM saves WHERE NOT (created_at >= TIMESTAMP '2000-01-01 00:00:00' OR contains(requirements, '1-URGENT'))) WHERE rn = 1),
 new AS (SELECT id, created_at, user_name, requirements, status, 1 AS prio FROM saves
-        WHERE created_at >= TIMESTAMP '2000-01-01 00:00:00'),
-store AS (SELECT id, created_at, user_name, requirements, status FROM (
-   SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, prio DESC, user_name DESC,
+        WHERE created_at >= TIMESTAMP '2000-01-01 00:00:00' OR contains(requirements, '1-URGENT')),
+store AS (SELECT u.id, coalesce(old.created_at, u.created_at) AS created_at, u.user_name, u.requirements, u.status FROM (
+   SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio DESC, created_at DESC, user_name DESC,
                                 requirements DESC, status DESC) AS rn
-   FROM (SELECT * FROM old UNION ALL SELECT * FROM new)) WHERE rn = 1)"""
+   FROM (SELECT * FROM old UNION ALL SELECT * FROM new)) u LEFT JOIN old ON old.id = u.id WHERE rn = 1)"""
 
 
 def _deploy_plan_sql():
@@ -131,10 +130,10 @@ ORACLES = {
     "deploy_audit": """
 WITH st AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
 runs AS (SELECT md5(CAST(o_custkey AS VARCHAR)) AS project_id, 'DWH_' || n_name AS target_db,
-                substr(o_orderpriority, 3, 100) AS target_schema, n AS statements_run,
-                CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status
-         FROM orders JOIN st ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
-         JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'O')
+                substr(o_orderpriority, 3, 100) AS target_schema, coalesce(n, 0) AS statements_run,
+                CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status
+         FROM orders LEFT JOIN st ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
+         JOIN nation ON c_nationkey = n_nationkey)
 SELECT project_id, target_db, target_schema, status, count(*) AS runs, CAST(sum(statements_run) AS BIGINT) AS statements,
        count(*) FILTER (WHERE status = 'failed') AS failures
 FROM runs GROUP BY project_id, target_db, target_schema, status""",

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from kiln.session import scratch_path
-from kiln.sources import store as S
 from kiln.sources.tables import load
 from kiln.streaming import events as ST
 
@@ -20,25 +19,27 @@ def _stream(spark, sf):
 
 
 def stream_events(spark, sf):
-    out = scratch_path(spark, f"stream-events-{uuid.uuid4().hex}")
+    base = scratch_path(spark, f"stream-events-{uuid.uuid4().hex}")
+    out = f"{base}/rows"
     s = ST.event_stream(_stream(spark, sf)).withColumn("ts", F.col("__et").cast("timestamp_ntz")).drop("__et")
-    ST.run_to_files(s, out)
+    ST.run_to_files(s, out, f"{base}/progress")
     return spark.read.parquet(out)
 
 
 def stream_daily_windows(spark, sf):
-    out = scratch_path(spark, f"stream-windows-{uuid.uuid4().hex}")
+    base = scratch_path(spark, f"stream-windows-{uuid.uuid4().hex}")
+    out = f"{base}/rows"
     w = ST.windowed(_stream(spark, sf), FREQ, LATENCY)
     w = w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                  F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n_events", "total_value")
-    ST.run_to_files(w, out)
+    ST.run_to_files(w, out, f"{base}/progress")
     return spark.read.parquet(out)
 
 
 def stream_latest_per_user(spark, sf):
     base = scratch_path(spark, f"stream-store-{uuid.uuid4().hex}")
-    ST.upsert_stream(_stream(spark, sf), base, "user_id", "ts")
-    return S.read_store(spark, base)
+    ST.upsert_stream(_stream(spark, sf), f"{base}/store", "user_id", "ts", f"{base}/progress")
+    return ST.read_upserted(spark, f"{base}/store")
 
 
 ORACLES = {

@@ -13,7 +13,10 @@ SAT_ATTRS = ["c_name", "c_mktsegment", "c_acctbal"]
 
 
 def hub_customer(spark, sf):
-    return V.hub(load(spark, sf, "orders"), "customer", "o_custkey", "o_orderdate", "orders")
+    """Customers of both sources: the orders, and the customer table (loaded at T1)."""
+    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("at"), F.lit("orders").alias("src"))
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.lit(T1).cast("timestamp_ntz").alias("at"), F.lit("customer").alias("src"))
+    return V.hub(o.unionByName(c), "customer", "custkey", "at", F.col("src"))
 
 
 def link_order_customer(spark, sf):
@@ -53,12 +56,20 @@ def vault_current_customer(spark, sf):
     return V.vault_current(h, "customer_hk", [first.unionByName(second)])
 
 
+def vault_current_order(spark, sf):
+    """J9 with a link: customers' current rows beside the orders they are linked to."""
+    v1, _ = _versions(spark, sf)
+    sat = V.satellite(v1, "customer", "c_custkey", SAT_ATTRS, "load_ts", "customer_v1")
+    h = V.hub(v1, "customer", "c_custkey", "load_ts", "customer_v1")
+    return V.vault_current(h, "customer_hk", [sat], link_order_customer(spark, sf)).select("customer_hk", "c_custkey", "c_name", "order_hk")
+
+
 # ---- oracles ----------------------------------------------------------------
 _HK = sql_surrogate_key
 
 
 def _hd(*cols):
-    return "md5(concat_ws('||', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + "))"
+    return _HK(*cols)
 
 
 _V = f"""
@@ -77,8 +88,10 @@ s2 AS (SELECT {_HK('v2.c_custkey')} AS customer_hk, v2.load_ts, v2.c_name, v2.c_
        WHERE s1.hashdiff <> {_hd('v2.c_name', 'v2.c_mktsegment', 'v2.c_acctbal')})"""
 
 ORACLES = {
-    "hub_customer": f"""SELECT {_HK('o_custkey')} AS customer_hk, o_custkey, min(o_orderdate) AS load_ts,
-        'orders' AS record_source FROM orders GROUP BY o_custkey""",
+    "hub_customer": f"""SELECT {_HK('custkey')} AS customer_hk, custkey, load_ts, record_source FROM (
+        SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY load_ts, record_source) AS rn FROM (
+          SELECT o_custkey AS custkey, o_orderdate AS load_ts, 'orders' AS record_source FROM orders
+          UNION ALL SELECT c_custkey, TIMESTAMP '{T1}', 'customer' FROM customer)) WHERE rn = 1""",
     "link_order_customer": f"""SELECT {_HK('o_orderkey', 'o_custkey')} AS order_customer_hk,
         {_HK('o_orderkey')} AS order_hk, {_HK('o_custkey')} AS customer_hk, min(o_orderdate) AS load_ts,
         'orders' AS record_source FROM orders GROUP BY o_orderkey, o_custkey""",
@@ -100,7 +113,12 @@ FROM (SELECT {_HK('c_custkey')} AS customer_hk, c_custkey, TIMESTAMP '{T1}' AS l
 LEFT JOIN cur ON h.customer_hk = cur.customer_hk""",
 }
 
+ORACLES["vault_current_order"] = f"""
+SELECT {_HK('c_custkey')} AS customer_hk, c_custkey, c_name, CASE WHEN o_orderkey IS NOT NULL THEN {_HK('o_orderkey')} END AS order_hk
+FROM customer LEFT JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM orders) ON o_custkey = c_custkey"""
+
 QUERIES = {
+    "vault_current_order": vault_current_order,
     "hub_customer": hub_customer,
     "link_order_customer": link_order_customer,
     "sat_customer_priority": sat_customer_priority,

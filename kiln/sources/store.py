@@ -2,13 +2,12 @@
 
 The store is a Parquet dataset of snapshots.  An upsert never rewrites the
 path being read: it writes the merged rows to a new snapshot folder, then
-replaces a one-row pointer dataset naming the current snapshot.
+adds a one-row pointer file that names it.  Pointers are only ever added; the
+one of the highest version holds, so a reader always finds a whole snapshot.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,31 +23,59 @@ LOG_SCHEMA = ("id string, project_id string, deployed_at timestamp_ntz, target_d
 
 
 # B12 ------------------------------------------------------------------------
-def upsert_snapshot(old: DataFrame, new: DataFrame, key, order: str) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key; the newest
-    ``order`` wins and, on a tie, the new row."""
+def upsert_snapshot(old: DataFrame, new: DataFrame, key, order: str, created: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same key, whatever their dates.
+
+    Among new rows of one key the newest by ``order`` wins.  An update keeps
+    the old row's ``created`` column (the time of the first save).
+    """
     o = old.withColumn("__prio", F.lit(0))
     n = new.withColumn("__prio", F.lit(1))
     both = o.unionByName(n, allowMissingColumns=True)
-    return latest(both, key, [order, "__prio"]).drop("__prio")
+    out = latest(both, key, ["__prio", order]).drop("__prio")
+    if created is None:
+        return out
+    keys = [key] if isinstance(key, str) else list(key)
+    first = old.groupBy(*keys).agg(F.min(created).alias("__first"))
+    return out.join(first, keys, "left").withColumn(created, F.coalesce("__first", created)).select(*out.columns)
 
 
 def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
-    """Write ``df`` as a new snapshot under ``base`` and point the store at it."""
-    v = version if version is not None else int(time.time() * 1000)
-    path = f"{base.rstrip('/')}/snapshot_{v:016d}"
-    df.write.mode("errorifexists").parquet(path)
+    """Write ``df`` as a new snapshot under ``base`` and point the store at it.
+
+    Without a version the next one is taken.  Writing a version again (a
+    retried batch) replaces that snapshot, which no pointer names before it
+    is complete.
+    """
     spark = df.sparkSession
-    spark.createDataFrame([(v, path)], "version long, path string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{base.rstrip('/')}/_pointer")
+    if version is None:
+        version = (current(spark, base) or (0, ""))[0] + 1
+    path = f"{base.rstrip('/')}/snapshot_{version:016d}"
+    df.write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1) \
+        .write.mode("append").parquet(f"{base.rstrip('/')}/_pointer")
     return path
 
 
+def current(spark: SparkSession, base: str) -> tuple[int, str] | None:
+    """(version, path) of the current snapshot; None only if no pointer was ever written.
+
+    Whatever else keeps the pointer from being read is raised: an unreadable
+    store is not an empty one.
+    """
+    pointer = f"{base.rstrip('/')}/_pointer"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pointer)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    row = spark.read.parquet(pointer).orderBy(F.col("version").desc()).first()
+    return (row["version"], row["path"]) if row else None
+
+
 def read_store(spark: SparkSession, base: str) -> DataFrame:
-    ptr = spark.read.parquet(f"{base.rstrip('/')}/_pointer").orderBy(F.col("version").desc()).limit(1).collect()
-    if not ptr:
+    at = current(spark, base)
+    if at is None:
         raise FileNotFoundError(base)
-    return spark.read.parquet(ptr[0]["path"])
+    return spark.read.parquet(at[1])
 
 
 # P1 -------------------------------------------------------------------------

@@ -1,18 +1,17 @@
 """Structured Streaming: ST1 event ingest, ST2 windowed refresh, ST3 micro-batch upsert.
 
-Sources are file streams (new files in a folder are new events); state,
-checkpoints and outputs live under the shared checkpoint folder so a
-restarted driver or lost executor resumes from the last committed batch.
+Sources are file streams (new files in a folder are new events).  The caller
+names the progress folder of a stream, on shared storage, so a restarted
+driver or a lost executor resumes from the last committed batch.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.session import scratch_path
+from kiln.operators.common import latest
+from kiln.session import saved
 from kiln.sources import store as S
 
 # Refresh frequency -> window length.
@@ -53,33 +52,53 @@ def windowed(sdf: DataFrame, frequency: str, latency_hours: int, by=("event_type
                  F.sum(F.col(value).cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_value"))
 
 
-def run_to_files(sdf: DataFrame, out: str, mode: str = "append") -> str:
-    """Run a stream over everything available now into Parquet files at ``out``."""
-    ckpt = scratch_path(sdf.sparkSession, f"stream-ckpt-{uuid.uuid4().hex}")
-    q = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
+def run_to_files(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append") -> str:
+    """Run a stream over everything available now into Parquet files at ``out``.
+
+    ``checkpoint`` names the stream's progress folder: a run with the same
+    folder goes on after the last committed batch.
+    """
+    q = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
          .option("path", out).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
 # ST3 ------------------------------------------------------------------------
-def upsert_stream(sdf: DataFrame, base: str, key: str, order: str) -> str:
-    """Each micro-batch: its newest row per key, merged into the snapshot store at
-    ``base`` (B12); the store is replaced by a new snapshot per batch."""
+def upsert_stream(sdf: DataFrame, base: str, key: str, order: str, checkpoint: str, parts: int = 16) -> str:
+    """Each micro-batch: its newest row per key, merged into the snapshot store at ``base``.
+
+    The store is dealt into ``parts`` folders by key hash, each a store of its
+    own: a batch rewrites only those that it touches.  A batch's snapshots are
+    named by its number in the stream of ``checkpoint``, so a retried batch
+    replaces what it wrote and a batch that was merged already is left alone.
+    """
     spark = sdf.sparkSession
 
     def merge(batch: DataFrame, batch_id: int):
-        from kiln.operators.common import latest
-        new = latest(batch, key, [order])
-        try:
-            old = S.read_store(spark, base)
-        except Exception:
-            old = None
-        merged = new if old is None else S.upsert_snapshot(old, new, key, order)
-        S.write_snapshot(merged, base, version=batch_id)
-
-    ckpt = scratch_path(spark, f"stream-ckpt-{uuid.uuid4().hex}")
-    q = (sdf.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+        new = saved(latest(batch, key, [order]).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+        for part in sorted(r["__part"] for r in new.select("__part").distinct().collect()):  # at most ``parts``
+            folder = f"{base.rstrip('/')}/part_{part:04d}"
+            at = S.current(spark, folder)
+            if at is not None and _batch_of(at[1]) >= batch_id:
+                continue
+            rows = new.filter(F.col("__part") == part).drop("__part")
+            merged = rows if at is None else latest(spark.read.parquet(at[1]).unionByName(rows), key, [order])
+            S.write_snapshot(merged, folder, version=batch_id)
+
+    q = (sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return base
+
+
+def _batch_of(path: str) -> int:
+    return int(path.rsplit("snapshot_", 1)[1])
+
+
+def read_upserted(spark: SparkSession, base: str, parts: int = 16) -> DataFrame:
+    """The rows of all parts of an upserted store."""
+    found = [p for k in range(parts) if (p := S.current(spark, f"{base.rstrip('/')}/part_{k:04d}")) is not None]
+    if not found:
+        raise FileNotFoundError(base)
+    return spark.read.parquet(*[p for _, p in found])

@@ -3,9 +3,11 @@
 import hashlib
 import uuid
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kiln.functions import surrogate_key
 from kiln.operators import governance as G
 from kiln.operators import responses as R
 from kiln.operators import vault as V
@@ -23,10 +25,12 @@ def test_fact_orphans_get_unknown_key(spark):
     dim = W.dimension(dim_src, "thing", "k", ["name"])
     assert dim.filter(F.col("k").isNull()).first()["thing_sk"] == md5("-1")
     fact = spark.createDataFrame([(1, 10.0), (3, 5.0), (None, 1.0)], "k long, v double")
-    for max_rows in (10, 0):  # broadcast branch, then shuffle-join branch
-        out = W.resolve_keys(fact, "k", dim, "k", "thing_sk", max_broadcast_rows=max_rows)
-        got = {r["k"]: r["thing_sk"] for r in out.collect()}
-        assert got[1] == md5("1") and got[3] == md5("-1") and got[None] == md5("-1")
+    out = W.resolve_keys(fact, "k", dim, "k", "thing_sk")
+    got = {r["k"]: r["thing_sk"] for r in out.collect()}
+    assert got[1] == md5("1:1") and got[3] == md5("-1") and got[None] == md5("-1")
+    # a real business key -1 is not the unknown member
+    real = W.dimension(spark.createDataFrame([(-1, "x")], "k long, name string"), "thing", "k", ["name"])
+    assert sorted(r["thing_sk"] for r in real.collect()) == sorted([md5("-1"), md5("2:-1")])
     # J4 is empty once orphans point at the unknown member
     f2 = W.fact(fact, [("k", dim, "k", "thing_sk")], ["v"])
     assert W.orphans(f2, dim, "thing_sk", "thing_sk").count() == 0
@@ -57,7 +61,12 @@ def test_satellite_inserts_only_changes(spark):
     v2 = spark.createDataFrame([(1, "a", "2024-02-01"), (2, "B", "2024-02-01"), (3, "c", "2024-02-01")],
                                "k long, x string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     new = V.satellite(v2, "c", "k", ["x"], "t", "v2", existing=first)
-    assert sorted((r["c_hk"], r["x"]) for r in new.collect()) == sorted([(md5("2"), "B"), (md5("3"), "c")])
+    assert sorted((r["c_hk"], r["x"]) for r in new.collect()) == sorted([(md5("1:2"), "B"), (md5("1:3"), "c")])
+    # NULL and '' are different values
+    gap = spark.createDataFrame([(1, None, "2024-01-01"), (1, "", "2024-02-01")], "k long, x string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert V.satellite(gap, "c", "k", ["x"], "t", "v").count() == 2
+    pairs = spark.createDataFrame([("a", None), (None, "a"), ("a|", ""), ("a", "|")], "x string, y string")
+    assert pairs.select(surrogate_key("x", "y").alias("k")).distinct().count() == 4
 
 
 def test_mask_and_lineage(spark):
@@ -69,11 +78,45 @@ def test_mask_and_lineage(spark):
     assert G.mask(df, masks, "STEWARD").first()["name"] == "Ann"
     edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "d")],
                                   "project_id long, src string, dst string")
-    got = {(r["src"], r["dst"]): r["depth"] for r in G.lineage_paths(edges, max_depth=6).collect()}
+    got = {(r["src"], r["dst"]): r["depth"] for r in G.lineage_paths(edges).collect()}
     assert got[("a", "d")] == 3 and got[("b", "a")] == 2 and ("a", "a") not in got
+    chain = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)], "project_id long, src string, dst string")
+    assert G.lineage_paths(chain).count() == 78
+    # nodes between two cycles are on none
+    ring = [(1, f"r{i}", f"r{(i + 1) % 20}") for i in range(20)] + [(1, "r3", "mid"), (1, "mid", "x"), (1, "x", "y"), (1, "y", "x"), (1, "y", "end")]
+    on = {r["node"] for r in G.on_cycles(spark.createDataFrame(ring, "project_id long, src string, dst string")).collect()}
+    assert on == {f"r{i}" for i in range(20)} | {"x", "y"}
+
+
+def test_mask_names_and_order(spark):
+    df = spark.createDataFrame([(1, "Ann", 7)], "id long, c_name string, n int")
+    masks = spark.createDataFrame([("C_NAME", "hash", "STEWARD"), ("c_name", "partial", "ANALYST"), ("C_name", "null", "AUDITOR"), ("c_name", "null", "STEWARD")],
+                                  "column_name string, mask_type string, exempt_role string")
+    name = lambda role: G.mask(df, masks, role).first()["c_name"]
+    assert name("ANALYST") is None and name("STEWARD") == "Ann"[:0] + "Ann" and name("steward") == "Ann"
+    assert name("AUDITOR") == hashlib.sha256(b"Ann").hexdigest()
+    assert dict(G.mask(df, masks, "ANALYST").dtypes)["n"] == "int"
+
+
+def test_exposure_of_all_tables(spark):
+    tags = spark.createDataFrame([("DIM_BOLTS", "EMAIL", "PII"), ("DIM_NUT", "phone", "PII")], "table_name string, column_name string, tag string")
+    grants = spark.createDataFrame([("All", "R1", "SELECT"), ("dim__bolt", "R2", "select"), ("DIM_NUT", "R3", "INSERT")], "table_name string, role_name string, privilege string")
+    masks = spark.createDataFrame([("dim_bolt", "email", "hash", "R2")], "table_name string, column_name string, mask_type string, exempt_role string")
+    got = sorted((r["table_name"], r["role_name"], r["reason"]) for r in G.exposure(tags, grants, masks).collect())
+    assert got == [("DIM_BOLTS", "R2", "exempt_role"), ("DIM_NUT", "R1", "no_mask")]
+
+
+def test_drill_across_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, v int")
+    out = W.drill_across([(a, {"n": F.count(F.lit(1))}), (a, {"s": F.sum("v")})], "k")
+    assert sorted(map(tuple, out.collect()), key=str) == [("x", 1, 2), (None, 1, 1)] or sorted(map(tuple, out.collect()), key=str) == sorted([(None, 1, 1), ("x", 1, 2)], key=str)
 
 
 def test_store_upsert_is_idempotent(spark):
+    # an update of older date counts all the same, and keeps the time of the first save
+    was = spark.createDataFrame([("p1", 5, "draft")], "id string, v int, status string")
+    late = spark.createDataFrame([("p1", 3, "deployed")], "id string, v int, status string")
+    assert S.upsert_snapshot(was, late, "id", "v", created="v").first() == ("p1", 5, "deployed")
     old = spark.createDataFrame([("p1", 1, "draft"), ("p2", 1, "draft")], "id string, v int, status string")
     new = spark.createDataFrame([("p1", 2, "deployed"), ("p3", 1, "draft")], "id string, v int, status string")
     once = S.upsert_snapshot(old, new, "id", "v")
@@ -98,6 +141,22 @@ def test_parse_stages_and_merge(spark):
     assert got == {1: ("strict", False, 1), 2: ("repaired", False, 2), 3: ("extracted", False, 3),
                    4: ("closed", False, 4), 6: ("repaired", True, 6)}
     assert [r["id"] for r in q.collect()] == [5]
+    odd = [(1, '{"a": "x\ny", "b": [1, {"c": "d'), (2, '{\n# note\n"a": 1\n"b": 2}'), (3, "{'a': 'it\\'s', b: \"p\\q\"}"), (4, '{"a": "}{", "l": [[1], [2'),
+           (5, '{"a": [1], "t": []}')]
+    ok, q = R.parse_responses(spark.createDataFrame(odd, "id int, raw string"), "raw", "id")
+    got = {r["id"]: (r["stage"], r["j"]) for r in ok.select("id", "stage", F.to_json("parsed").alias("j")).collect()}
+    assert q.count() == 0
+    assert got[1] == ("closed", '{"a":"x\\ny","b":[1,{"c":"d"}]}') and got[2] == ("repaired", '{"a":1,"b":2}')
+    assert got[3][0] == "repaired" and got[4] == ("closed", '{"a":"}{","l":[[1]]}')  # the span ends at the last closer
+    bad = R.validate_contract(ok.filter("id = 5"), "id", {"a": "string", "t": "array", "z": "object"}, non_empty=["t"])
+    assert sorted((r["contract_key"], r["violation"]) for r in bad.collect()) == [("a", "type"), ("t", "empty"), ("z", "missing")]
+    full = ok.filter("id = 5").select(R.with_contract_defaults(F.col("parsed"), {"a": "array", "z": "object"}).alias("m")).first()["m"]
+    assert full == {"a": "[1]", "z": "{}"}
+    parts = spark.createDataFrame([(1, '{"a": 1, "b"', ': 2}'), (2, '{"a": [1', "no json at all {")], "id int, first string, cont string")
+    ok, q = R.stitch_fragments(parts, "first", "cont", "id")
+    assert {r["id"]: r["j"] for r in ok.select("id", F.to_json("parsed").alias("j")).collect()} == {1: '{"a":1,"b":2}', 2: '{"a":[1]}'} and q.count() == 0
+    lists = spark.createDataFrame([([("A", "one"), ("B", "two")], [("a", "more"), ("C", None)])], "b array<struct<name:string,text:string>>, u array<struct<name:string,text:string>>")
+    assert [tuple(x) for x in lists.select(R.merge_lists(F.col("b"), F.col("u")).alias("m")).first()["m"]] == [("A", "one\nmore"), ("B", "two"), ("C", None)]
     # the base already ends with the update's first 20 characters -> kept once
     b = spark.createDataFrame([(1, "T", "intro; the tail part ", 0), (1, "U", "u", 3)], "p int, name string, d string, n int")
     u = spark.createDataFrame([(1, "t", " the tail part", 5), (1, "V", "v", 1), (1, "u", "more", 0)],
@@ -116,7 +175,14 @@ def test_materialise_logs_and_audits(spark):
     out = D.materialise(spark, {"FACT_S": fact, "DIM_A": dim, "STG_MISSING": None},
                         {"FACT_S": "Gold", "DIM_A": "Gold", "STG_MISSING": "Silver / Conformed"},
                         f"wh{tag}", log_path=log, project_id="p1", location=loc).first()
-    assert (out["statements_run"], out["statements_skipped"], out["status"]) == (2, 1, "success")
+    assert (out["statements_run"], out["statements_skipped"], out["status"], out["target_schema"]) == (2, 1, "success", "GOLD,SILVER_CONFORMED")
+    gone = D.materialise(spark, {"DIM_B": lambda: spark.table("no_such_table"), "DIM_C": lambda: spark.read.parquet("/nonexistent/k.parquet")}, {}, f"wy{tag}", location=loc, log_path=log).first()
+    assert (gone["statements_run"], gone["statements_skipped"], gone["status"]) == (0, 2, "success")
+    broken = spark.range(2).select(F.raise_error(F.lit("damaged " * 100)).alias("x"))
+    with pytest.raises(Exception):
+        D.materialise(spark, {"DIM_D": broken}, {}, f"wz{tag}", location=loc, log_path=f"{log}-failed")
+    kept = spark.read.parquet(f"{log}-failed").first()
+    assert kept["status"] == "failed" and len(kept["errors"]) > 700
     assert spark.table(f"wh{tag}_gold.FACT_S").count() == 1
     a = D.audit(spark.read.parquet(log)).first()
     assert (a["runs"], a["statements"], a["failures"]) == (1, 2, 0)
@@ -144,5 +210,43 @@ def test_sources_and_defaults(spark):
     ts = spark.createDataFrame([("2024-03-05 10:11:12",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     got = ts.select(day_string("t"), iso_day("t")).first()
     assert tuple(got) == ("2024-03-05", "2024-03-05")
-    ok, bad = P.profile({"good": rows, "bad": lambda: spark.read.parquet("/nonexistent/kiln.parquet")})
-    assert {r["table_name"]: r["error"] is None for r in ok.collect()} == {"good": True, "bad": False}
+    broken = spark.range(3).select(F.raise_error(F.lit("damaged")).alias("x"))  # fails only when it runs
+    ok, cols = P.profile(spark, {"good": rows, "bad": lambda: spark.read.parquet("/nonexistent/kiln.parquet"), "late": broken})
+    assert {r["table_name"]: r["error"] is None for r in ok.collect()} == {"good": True, "bad": False, "late": False}
+    assert {r["table_name"] for r in cols.collect()} == {"good"}
+    spark.sql("CREATE DATABASE IF NOT EXISTS kiln_other")
+    assert "kiln_other" in {d.name for d in spark.catalog.listDatabases()} and T.list_catalog(spark).columns == ["db", "table_name", "is_temporary"]
+    tags = P.tag(P.schema_columns({"t": spark.createDataFrame([], "email string, order_key int, price double")}), {"SENSITIVE": ["price"]})
+    assert sorted(map(tuple, tags.collect())) == [("t", "email", "PII"), ("t", "price", "SENSITIVE")]
+
+
+def test_upsert_stream_goes_on_and_never_loses_the_store(spark):
+    from kiln.streaming import events as ST
+    base = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
+    kind = "user_id long, ts int, v string"
+    put = lambda rows: spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{base}/in")
+    run = lambda: ST.upsert_stream(ST.read_events(spark, f"{base}/in", spark.createDataFrame([], kind).schema), f"{base}/store", "user_id", "ts", f"{base}/progress", parts=4)
+    put([(i, 1, "a") for i in range(15)])
+    run()
+    put([(3, 2, "b"), (20, 1, "c")])
+    run()
+    run()  # nothing new
+    got = {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store", parts=4).collect()}
+    assert got == {**{i: "a" for i in range(15)}, 3: "b", 20: "c"}
+    # a pointer that can't be read is an error, never an empty store
+    hit = next(k for k in range(4) if S.current(spark, f"{base}/store/part_{k:04d}"))
+    pointer = f"{base}/store/part_{hit:04d}/_pointer"
+    spark.range(1).select(F.lit("not a pointer").alias("other")).write.mode("overwrite").parquet(pointer)
+    put([(i, 3, "d") for i in range(15)])
+    with pytest.raises(Exception):
+        run()
+    assert S.current(spark, f"{base}/none") is None
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from kiln.session import ensure_checkpoint_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1000]"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
