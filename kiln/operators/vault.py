@@ -5,8 +5,6 @@ Hash keys are md5 of the business key (same rule as surrogate keys).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
