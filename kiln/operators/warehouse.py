@@ -29,6 +29,18 @@ def bronze(df: DataFrame, source: str, batch_id: str, load_ts: str | None = None
                      F.lit(batch_id).alias("_batch_id"))
 
 
+def append_bronze(df: DataFrame, path: str, source: str, batch_id: str, load_ts: str | None = None) -> str:
+    """Append a batch to the bronze dataset at ``path``, in a folder per load date and batch.
+
+    Loading a batch of a date again replaces that batch and nothing else, so a
+    retried load leaves no rows twice.
+    """
+    rows = bronze(df, source, batch_id, load_ts).withColumn("_load_date", F.to_date("_load_ts"))
+    (rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+     .partitionBy("_load_date", "_batch_id").parquet(path))
+    return path
+
+
 # B2 -------------------------------------------------------------------------
 def silver(df: DataFrame, key, order, casts: dict | None = None, trim: bool = True) -> DataFrame:
     """Conform: trim text, cast to target types, one row per business key (first wins)."""

@@ -42,6 +42,13 @@ def project_lookup(spark, sf):
     return S.get_project(project_store_upsert(spark, sf), _lookup_id())
 
 
+def project_requirements(spark, sf):
+    """Fields of the requirements, read from their VARIANT form."""
+    t = S.typed_store(project_store_upsert(spark, sf))
+    return t.select("id", F.try_variant_get("requirements", "$.priority", "string").alias("priority"),
+                    F.try_variant_get("requirements", "$.segment", "string").alias("segment"))
+
+
 def _lookup_id():
     import hashlib
     return hashlib.md5(b"0").hexdigest()
@@ -126,6 +133,9 @@ ORACLES = {
     "project_lookup": f"""WITH {_SAVES} SELECT id, created_at, user_name,
        CASE WHEN json_valid(requirements) THEN CAST(json(requirements) AS VARCHAR) ELSE '{{}}' END AS requirements,
        status FROM store WHERE id = '{_lookup_id()}'""",
+    "project_requirements": f"""WITH {_SAVES} SELECT id,
+       CASE WHEN json_valid(requirements) THEN requirements->>'$.priority' END AS priority,
+       CASE WHEN json_valid(requirements) THEN requirements->>'$.segment' END AS segment FROM store""",
     "projects_newest_first": f"WITH {_SAVES} SELECT id, created_at, user_name, status FROM store",
     "deploy_audit": """
 WITH st AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
@@ -142,6 +152,7 @@ FROM runs GROUP BY project_id, target_db, target_schema, status""",
 }
 
 QUERIES = {
+    "project_requirements": project_requirements,
     "project_store_upsert": project_store_upsert,
     "project_lookup": project_lookup,
     "projects_newest_first": projects_newest_first,

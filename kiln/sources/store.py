@@ -89,6 +89,13 @@ def get_project(store: DataFrame, project_id: str) -> DataFrame:
     return out
 
 
+# S8 -------------------------------------------------------------------------
+def typed_store(store: DataFrame) -> DataFrame:
+    """The store with its JSON columns as VARIANT, the form they are kept in; text that is no JSON becomes {}."""
+    return store.withColumns({c: F.coalesce(F.try_parse_json(F.col(c)), F.parse_json(F.lit("{}")))
+                              for c in JSON_COLUMNS if c in store.columns})
+
+
 # O4 -------------------------------------------------------------------------
 def list_projects(store: DataFrame) -> DataFrame:
     """Newest projects first (a distributed range-partitioned sort)."""

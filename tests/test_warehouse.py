@@ -250,3 +250,22 @@ def test_checkpoint_folder_is_asked_for_on_a_cluster(spark):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1000]"))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(cluster)
+
+
+def test_bronze_batches_by_date(spark):
+    path = scratch_path(spark, f"test-bronze-{uuid.uuid4().hex}")
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "k")
+    W.append_bronze(rows(3), path, "s", "b1", "2024-01-01 10:00:00")
+    W.append_bronze(rows(4), path, "s", "b2", "2024-01-02 10:00:00")
+    W.append_bronze(rows(5), path, "s", "b2", "2024-01-02 10:00:00")  # loaded again
+    got = spark.read.parquet(path).groupBy("_load_date", "_batch_id").count().collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == [("2024-01-01", "b1", 3), ("2024-01-02", "b2", 5)]
+
+
+def test_store_keeps_variants(spark):
+    path = scratch_path(spark, f"test-variant-{uuid.uuid4().hex}")
+    df = spark.createDataFrame([("p", '{"a": [1, 2]}', "{bad")], "id string, requirements string, history string")
+    S.write_snapshot(S.typed_store(df), path)
+    back = S.read_store(spark, path)
+    assert dict(back.dtypes)["requirements"] == "variant"
+    assert back.select(F.variant_get("requirements", "$.a[1]", "int"), F.to_json("history")).first() == (2, "{}")
