@@ -89,15 +89,13 @@ def _profiles(texts: list[str]):
 
 
 def _collect_profiles(batches):
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        for at in range(0, len(texts), 64):
-            idx, val = [], []
-            for p in _profiles(texts[at : at + 64]):
-                on = np.flatnonzero(p)
-                idx.append(on.astype(np.int32).tobytes())
-                val.append((p[on] / max(p.sum(), 1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 64), pa.array(idx, pa.binary()), pa.array(val, pa.binary()), b.column(2).slice(at, 64)], ["lang", "idx", "val", "place"])
+    for b in X.slices(batches, 64):
+        idx, val = [], []
+        for p in _profiles(b.column(1).to_pylist()):
+            on = np.flatnonzero(p)
+            idx.append(on.astype(np.int32).tobytes())
+            val.append((p[on] / max(p.sum(), 1)).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(idx, pa.binary()), pa.array(val, pa.binary()), b.column(2)], ["lang", "idx", "val", "place"])
 
 
 def labelled_profiles(df: DataFrame, id_col: str, text: str, lang: str, per_lang: int):
@@ -217,18 +215,15 @@ def tag(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in X.slices(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
-            for s in range(0, len(texts), 512):
-                part = texts[s : s + 512]
-                names, score = [UNKNOWN] * len(part), np.zeros(len(part))
-                if m is not None:
-                    margins, letters = m.margins(part)
-                    names, score = m.decide(margins)
-                    names = [k if ok else UNKNOWN for k, ok in zip(names, letters)]
-                    score = np.where(letters, score, 0.0)
-                rows = b.slice(s, 512)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if m is not None:
+                margins, letters = m.margins(texts)
+                names, score = m.decide(margins)
+                names = [k if ok else UNKNOWN for k, ok in zip(names, letters)]
+                score = np.where(letters, score, 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
     fields = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.mapInArrow(run, fields)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import pretoken as PT
+from kiln.llm import textcodes as X
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -114,7 +115,7 @@ class Packer:
 def _documents(batches, path: str):
     """Yield (row id, ids of the whole text and the closing id) for each document of the split."""
     enc = PT.encoder(path)
-    for b in batches:
+    for b in X.slices(batches):
         names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
         at, parts = 0, []
         for i, ids in enc.encode(texts):

@@ -81,7 +81,7 @@ def _sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bags(batches):
     """Distinct buckets and their shares, a row per labelled text."""
-    for b in batches:
+    for b in X.slices(batches):
         for i, t in enumerate(b.column(0).to_pylist()):
             bag = np.zeros(_NONE, np.int64)
             for block in X.blocks([t]):
@@ -155,11 +155,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in X.slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
-                s = m.scores(part) if m is not None else np.full(len(part), 0.5)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(s)], ["doc_id", "score"])
+            s = m.scores(texts) if m is not None else np.full(len(texts), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")

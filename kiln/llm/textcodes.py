@@ -52,6 +52,13 @@ def lower_code() -> np.ndarray:
     return out
 
 
+def slices(batches, rows: int = 256):
+    """The rows of Arrow batches, a few at a time: texts become Python objects no faster than they are used."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit value of each integer (the splitmix64 finaliser)."""
     x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)

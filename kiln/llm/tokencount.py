@@ -33,7 +33,7 @@ def _frequencies(path: str, top: int):
 
     def run(batches):
         enc, h_all, n_all, k_all = PT.encoder(path), [], [], []
-        for b in batches:
+        for b in X.slices(batches):
             for block in X.blocks([t for t in b.column(0).to_pylist() if t and enc.plain(t)]):
                 c, start, end = enc.spans(block)
                 h = X.span_hash(X.prefix_hash(c), start, end)
@@ -113,7 +113,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
 
     def run(batches):
         enc, frequent = PT.encoder(path), _tier_one(shared)
-        for b in batches:
+        for b in X.slices(batches):
             texts = b.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_counts(texts, enc, frequent))], ["doc_id", "n_bytes", "n_tokens"])
 
