@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.components import saved
+from kiln.llm.textcodes import slices
 
 BROADCAST_HOSTS = 50_000
 
@@ -51,6 +52,8 @@ SKIPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "sidenav", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead",
                  "topbar", "comment", "comments", "commentlist", "reply", "replies", "respond", "responses", "discussion", "disqus", "widget", "widgets", "toolbar",
                  "copyright", "search", "skip", "teaser", "outbrain", "taboola", "print", "hidden", "form"}
+# Of these, the ones that page builders also give to boxes of main text.
+WEAK_WORDS = {"widget", "widgets", "print", "form", "skip"}
 # Elements whose end is implied by the start of one of these.
 CLOSES = {"p": LEAF | MAIN | SKIPPED | {"div", "section", "details", "p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
           "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
@@ -86,10 +89,10 @@ class Node:
         return ">".join(reversed(steps))
 
 
-def _described(tag: str, attrs: str) -> tuple[str, bool]:
-    """(the element's step in a generalised path, whether its attributes mark boilerplate)."""
+def _described(tag: str, attrs: str) -> tuple[str, str]:
+    """(the element's step in a generalised path, whether its attributes mark boilerplate: by a word, weakly, or '')."""
     if "=" not in attrs and "hidden" not in attrs:
-        return tag, False
+        return tag, ""
     got = {}
     for k, *v in ATTR.findall(attrs):
         got.setdefault(k.lower(), unescape(v[0] or v[1] or v[2]))
@@ -99,11 +102,13 @@ def _described(tag: str, attrs: str) -> tuple[str, bool]:
         kept = ["@" + got["id"].lower()]
     step = ".".join([tag, *kept])
     if tag in ("html", "body") or tag in MAIN and not any("comment" in n.lower() for n in names):
-        return step, False
+        return step, ""
     words = {w.lower() for n in [*names, got.get("id", "")] for w in WORDS.findall(n)}
     style = got.get("style", "").replace(" ", "").lower()
-    marked = bool(words & SKIPPED_WORDS) or got.get("role", "").lower() in SKIPPED_ROLES or "hidden" in got or "display:none" in style
-    return step, marked
+    found = words & SKIPPED_WORDS
+    if found - WEAK_WORDS or got.get("role", "").lower() in SKIPPED_ROLES or "hidden" in got or "display:none" in style:
+        return step, "word"
+    return step, "weak" if found else ""
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -142,7 +147,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if tag in INLINE:
             if tag == "a":
                 depth_a = 0 if m["end"] else 1
-            step, marked = _described(tag, m["attrs"]) if m["attrs"] and not m["end"] else (tag, False)
+            step, marked = _described(tag, m["attrs"]) if m["attrs"] and not m["end"] else (tag, "")
             if marked and not m["void"]:  # a hidden or advert span is a box of its own
                 flush()
                 node = Node(tag, stack[-1], step, "word")
@@ -181,7 +186,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             stack = [n for n in stack if n.tag in ("#root", "html")]
         up = stack[-1]
         step, marked = _described(tag, m["attrs"])
-        mark = "tag" if tag in SKIPPED else "word" if marked else ""
+        mark = "tag" if tag in SKIPPED else marked
         node = Node(tag, up, step, mark)
         if tag in MAIN:
             n = up
@@ -196,21 +201,23 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
 
 def _titled(nodes, blocks) -> set[int]:
-    """Elements that hold the page's h1 (forms: or most text of a page without one): wrappers, not boilerplate."""
+    """Elements that hold the page's h1, weakly marked ones that hold most of its text, and forms that do so on a page
+    without an h1 or main element: wrappers, not boilerplate."""
     out: set[int] = set()
     for node, _, _ in blocks:
         if node.tag == "h1":
             while node is not None and id(node) not in out:
                 out.add(id(node))
                 node = node.parent
-    if not out and not any(n.tag in MAIN for n in nodes):  # then a form around over half of the text is one too
+    forms = not out and not any(n.tag in MAIN for n in nodes)
+    if forms or any(n.mark == "weak" for n in nodes):
         size: dict[int, int] = {}
         for node, text, _ in blocks:
             while node is not None:
-                if node.tag == "form":
+                if node.mark == "weak" or forms and node.tag == "form":
                     size[id(node)] = size.get(id(node), 0) + len(text)
                 node = node.parent
-        out = {k for k, v in size.items() if 2 * v > sum(len(t) for _, t, _ in blocks)}
+        out |= {k for k, v in size.items() if 2 * v > sum(len(t) for _, t, _ in blocks)}
     return out
 
 
@@ -225,7 +232,7 @@ def _skipped(node: Node, titled: set[int], seen: dict[int, bool]) -> bool:
     for n in reversed(chain):
         if not out and n.mark:
             wrapper = n.holds_main or id(n) in titled
-            out = not wrapper if n.tag == "form" or n.mark == "word" else True
+            out = not wrapper if n.tag == "form" or n.mark != "tag" else True
         seen[id(n)] = out
     return out
 
@@ -239,7 +246,7 @@ def _heading_of_article(node: Node) -> bool:
         if n.tag in MAIN:
             return heading and header
         if n.mark:
-            if n.tag == "header" or n.mark == "word" and n.tag == "div":
+            if n.tag == "header" or n.mark != "tag" and n.tag == "div":
                 header = n.tag == "header"
                 if not header:
                     return False
@@ -270,7 +277,17 @@ class Page:
                 n = n.parent
 
     def best(self) -> Node | None:
-        return max(self.scored.values(), key=lambda n: (n.score, -n.depth), default=None)
+        """The container of the highest score; one further out if all that it adds are headings."""
+        best = max(self.scored.values(), key=lambda n: (n.score, -n.depth), default=None)
+        up = best.parent if best is not None else None
+        while up is not None and up.parent is not None:
+            more = [n for n, _, _ in self.blocks if self._under(n, {id(up)}) and not self._under(n, {id(best)})]
+            if any(n.tag not in HEADINGS for n in more):
+                break
+            if more and id(up) in self.scored:
+                best = up
+            up = up.parent
+        return best
 
     def text(self, path: str | None) -> str:
         """Text of the containers on ``path``; of the page's best container if there is none."""
@@ -298,7 +315,7 @@ def host_of(url: str):
 
 
 def _votes(batches):
-    for b in batches:
+    for b in slices(batches):
         hosts, paths, weights = [], [], []
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             page = Page(html)
@@ -311,7 +328,7 @@ def _votes(batches):
 
 
 def _texts(batches):
-    for b in batches:
+    for b in slices(batches):
         out = [Page(h).text(p) if h else "" for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(3)], ["page_id", "url", "text", "path"])
 

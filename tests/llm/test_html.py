@@ -23,6 +23,7 @@ CASES = {
     "no markup": ("plain text &amp; more", "plain text & more"),
     "forms, selects, buttons": ("<main><p>keep this</p><form><input><p>Your mail</p><button>Send</button></form><select><option>x</select></main>", "keep this"),
     "form around the page": (f"<form id=f><div class=main><p>{LONG}</p></div></form>", LONG.strip()),
+    "a page builder's widget": (f"<body><h1>Top</h1><div class='elementor-widget post-content'><p>{LONG}</p></div><div class=widget><p>other</p></div></body>", "Top\n" + LONG.strip()),
     "white space": ("<article><p>  a \n\t b&nbsp;c </p>\n\n<p> </p><p>d</p></article>", "a b c\nd"),
     "advert longer than the article": (f"<body><div class=ad><p>{LONG}</p></div><article><h1>Short</h1><p>Short.</p></article>", "Short\nShort."),
     "hidden": ('<article><p>see</p><p hidden>no</p><div style="display: none">no</div><span class="ad">no</span></article>', "see"),
