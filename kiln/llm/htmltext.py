@@ -35,10 +35,13 @@ from kiln.llm.textcodes import slices
 BROADCAST_HOSTS = 50_000
 
 # Element names of HTML by their part in a page.
-RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes"]
+RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-          "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose",
+          "maction", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mlabeledtr", "mtd", "semantics",
+          "annotation", "annotation-xml"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption", "caption", "td", "th", "tr",
         "thead", "tbody", "tfoot", "table", "ul", "ol", "dl", "address", "hr", "summary", "figure", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -61,7 +64,8 @@ CLOSES = {"p": LEAF | MAIN | SKIPPED | {"div", "section", "details", "p"}, "li":
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<svg>svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>"  # without an end tag, an empty inline element
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<void>/?)>"
     r"|(?P<cut></?[a-zA-Z][^<>]*\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -127,7 +131,6 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
     depth_a = 0
     for m in TOKEN.finditer(html):
-        kind = m.lastgroup
         text = m["text"] or m["cdata"]
         if text is not None:
             if "&" in text and m["text"]:
@@ -140,13 +143,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and kind:
+            if m["raw"] or m["svg"]:
                 pieces and pieces.append(" ")
             continue
         tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
                 depth_a = 0 if m["end"] else 1
+            elif tag == "svg":
+                pieces and pieces.append(" ")
             step, marked = _described(tag, m["attrs"]) if m["attrs"] and not m["end"] else (tag, "")
             if marked and not m["void"]:  # a hidden or advert span is a box of its own
                 flush()

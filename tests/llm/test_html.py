@@ -28,6 +28,9 @@ CASES = {
     "advert longer than the article": (f"<body><div class=ad><p>{LONG}</p></div><article><h1>Short</h1><p>Short.</p></article>", "Short\nShort."),
     "hidden": ('<article><p>see</p><p hidden>no</p><div style="display: none">no</div><span class="ad">no</span></article>', "see"),
     "raw text": ("<article><p>a</p><style>p{}</style><textarea>x</textarea><noscript>y</noscript><svg><text>z</text></svg><p>b</p></article>", "a\nb"),
+    "icons that close themselves": ("<article><p>a <svg class=i/> b<svg viewBox='0 0 1 1' />c</p><math/><p>d</p><svg class=menu><p>e</p></article><footer>f</footer>", "a b c\nd\ne"),
+    "custom elements": ("<article><p>a <svg-icon name=x></svg-icon>b</p><style-guide><p>c</p></style-guide><template-x><p>d</p></template-x><title-bar>e</title-bar></article>", "a\nb\nc\nd\ne"),
+    "formulas": ("<article><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac></math> be</p></article>", "Let x=1y be"),
     "empty": ("", ""), "null": (None, ""), "nothing but a menu": ("<nav><a href=x>a</a></nav>", ""),
 }
 
