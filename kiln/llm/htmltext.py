@@ -57,6 +57,11 @@ SKIPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "copyright", "search", "skip", "teaser", "outbrain", "taboola", "print", "hidden", "form"}
 # Of these, the ones that page builders also give to boxes of main text.
 WEAK_WORDS = {"widget", "widgets", "print", "form", "skip"}
+# Those that mark readers' comments, and those of boxes that can be longer than a short article.
+TALK_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "responses", "discussion", "disqus"}
+BOX_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "banner", "sponsor", "sponsored", "promo", "promotion",
+             "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
+             "subscription", "signup", "signin", "login", "paywall", "outbrain", "taboola"}
 # Elements whose end is implied by the start of one of these.
 CLOSES = {"p": LEAF | MAIN | SKIPPED | {"div", "section", "details", "p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
           "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
@@ -94,7 +99,8 @@ class Node:
 
 
 def _described(tag: str, attrs: str) -> tuple[str, str]:
-    """(the element's step in a generalised path, whether its attributes mark boilerplate: by a word, weakly, or '')."""
+    """(the element's step in a generalised path, how its attributes mark boilerplate: "shut" by a role or as hidden,
+    "talk", "box", "word" or "weak" by its words, or "" not at all)."""
     if "=" not in attrs and "hidden" not in attrs:
         return tag, ""
     got = {}
@@ -110,8 +116,11 @@ def _described(tag: str, attrs: str) -> tuple[str, str]:
     words = {w.lower() for n in [*names, got.get("id", "")] for w in WORDS.findall(n)}
     style = got.get("style", "").replace(" ", "").lower()
     found = words & SKIPPED_WORDS
-    if found - WEAK_WORDS or got.get("role", "").lower() in SKIPPED_ROLES or "hidden" in got or "display:none" in style:
-        return step, "word"
+    if got.get("role", "").lower() in SKIPPED_ROLES or "hidden" in got or "display:none" in style:
+        return step, "shut"
+    for mark, those in (("talk", TALK_WORDS), ("box", BOX_WORDS), ("word", SKIPPED_WORDS - WEAK_WORDS)):
+        if found & those:
+            return step, mark
     return step, "weak" if found else ""
 
 
@@ -155,7 +164,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             step, marked = _described(tag, m["attrs"]) if m["attrs"] and not m["end"] else (tag, "")
             if marked and not m["void"]:  # a hidden or advert span is a box of its own
                 flush()
-                node = Node(tag, stack[-1], step, "word")
+                node = Node(tag, stack[-1], step, "word" if marked == "weak" else marked)
                 stack.append(node)
                 nodes.append(node)
             elif m["end"] and stack[-1].tag == tag:
@@ -206,7 +215,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
 
 def _titled(nodes, blocks) -> set[int]:
-    """Elements that hold the page's h1, weakly marked ones that hold most of its text, and forms that do so on a page
+    """Elements that hold the page's h1, ones marked by words that hold most of its text, and forms that do so on a page
     without an h1 or main element: wrappers, not boilerplate."""
     out: set[int] = set()
     for node, _, _ in blocks:
@@ -223,9 +232,36 @@ def _titled(nodes, blocks) -> set[int]:
                     size[id(node)] = size.get(id(node), 0) + len(text)
                 node = node.parent
         out |= {k for k, v in size.items() if 2 * v > sum(len(t) for _, t, _ in blocks)}
+    if any(n.mark in ("word", "box") and not n.holds_main and id(n) not in out for n in nodes):
+        out |= _wrappers(blocks, out)
     return out
 
 
+def _wrappers(blocks, titled: set[int]) -> set[int]:
+    """Elements marked by a word that hold over half (nine tenths if it is one of ``BOX_WORDS``) of the text that is in no
+    link, boilerplate element, comment or hidden box.  None if the page has its main text in a main element, an article
+    with an h1 or its only article."""
+    total, size, mains = 0, {}, {}
+    for node, text, links in blocks:
+        chain, n = [], node
+        while n is not None:
+            chain.append(n)
+            n = n.parent
+        titled_or_main = lambda n: id(n) in titled or n.holds_main
+        if any(n.mark in ("tag", "talk", "shut") and not (titled_or_main(n) and (n.mark != "tag" or n.tag == "form")) for n in chain):
+            continue
+        gain = max(0, len(text) - links)
+        total += gain
+        for n in chain:
+            if n.tag in MAIN:
+                mains[id(n)] = mains.get(id(n), False) or n.tag == "main" or node.tag == "h1"
+            elif n.mark in ("word", "box"):
+                size[id(n)] = (size[id(n)][0] + gain if id(n) in size else gain, n.mark)
+    if len(mains) == 1 or any(mains.values()):
+        return set()
+    return {k for k, (v, mark) in size.items() if (10 * v > 9 * total if mark == "box" else 2 * v > total)}
+
+
 def _skipped(node: Node, titled: set[int], seen: dict[int, bool]) -> bool:
     """True inside boilerplate."""
     chain = []

@@ -31,6 +31,13 @@ CASES = {
     "icons that close themselves": ("<article><p>a <svg class=i/> b<svg viewBox='0 0 1 1' />c</p><math/><p>d</p><svg class=menu><p>e</p></article><footer>f</footer>", "a b c\nd\ne"),
     "custom elements": ("<article><p>a <svg-icon name=x></svg-icon>b</p><style-guide><p>c</p></style-guide><template-x><p>d</p></template-x><title-bar>e</title-bar></article>", "a\nb\nc\nd\ne"),
     "formulas": ("<article><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac></math> be</p></article>", "Let x=1y be"),
+    **{f"all in a wrapper named {c}": (f"<body><header><h1>Site</h1></header><div class='{c}'><h2>Head</h2><div class=text><p>{LONG}</p></div><div class=share>Share</div>"
+                                      f"<div class=comments><p>{LONG * 2}</p></div></div><div class=sidebar>side</div><footer>f</footer></body>", "Head\n" + LONG.strip())
+       for c in ("layout no-sidebar", "wrap has-sidebar", "menu-open", "hidden-print", "social-theme", "ad-free")},
+    "wrappers in wrappers": (f"<section id=no-sidebar><div class=menu-open><h2>Head</h2><p>{LONG}</p></div><div class=cookie-notice>{LONG[:300]}</div></section>", "Head\n" + LONG.strip()),
+    "long sidebar beside a short article": (f"<body><article><h2>Short</h2><p>Short.</p></article><div class=sidebar><p>{LONG}</p></div></body>", "Short\nShort."),
+    "long menu of links": (f"<body><div class=menu><a href=x>{LONG}</a></div><div class=text><p>Short text.</p></div></body>", "Short text."),
+    "cookie box longer than the text": (f"<body><div class=cookie-consent><p>{LONG}</p></div><div class=text><h2>Head</h2><p>{LONG[:800]}</p></div></body>", "Head\n" + LONG[:800].strip()),
     "empty": ("", ""), "null": (None, ""), "nothing but a menu": ("<nav><a href=x>a</a></nav>", ""),
 }
 
