@@ -3,6 +3,8 @@
 1. *Score.*  Each page's containers are scored by the text of the blocks
    below them; a block counts less for containers further up, more in
    elements that are made for main text, and nothing inside boilerplate.
+   The best one is widened to those further out that add text, so that the
+   fade chooses between containers but drops no lead or closing paragraph.
 2. *Vote.*  A container's path is generalised: tags with their class words,
    digits replaced by ``#``, no ids that number things.  Each page votes for
    its best container's path with that container's share of the page's
@@ -317,27 +319,56 @@ class Page:
                     w *= FADE
                 n = n.parent
 
+    def top(self) -> Node | None:
+        """The container of the highest score."""
+        return max(self.scored.values(), key=lambda n: (n.score, -n.depth), default=None)
+
     def best(self) -> Node | None:
-        """The container of the highest score; one further out if all that it adds are headings."""
-        best = max(self.scored.values(), key=lambda n: (n.score, -n.depth), default=None)
-        up = best.parent if best is not None else None
-        while up is not None and up.parent is not None:
-            more = [n for n, _, _ in self.blocks if self._under(n, {id(up)}) and not self._under(n, {id(best)})]
-            if any(n.tag not in HEADINGS for n in more):
-                break
-            if more and id(up) in self.scored:
-                best = up
-            up = up.parent
+        """The container of the highest score, widened."""
+        top = self.top()
+        return self.widened(top) if top is not None else None
+
+    def widened(self, best: Node) -> Node:
+        """The container or one further out, so that the fade drops no part of the text: out to the furthest that adds
+        nothing but headings, or text of which most is in no link.  For text, not out of the outermost article or main
+        element, and to the body (or a page without one) only for text that stands in it without a container."""
+        chain: list[Node] = []
+        n = best
+        while n is not None:
+            chain.append(n)
+            n = n.parent
+        level = {id(n): i for i, n in enumerate(chain)}
+        outer = max((i for i, n in enumerate(chain) if n.tag in MAIN), default=len(chain))
+        added: dict[int, list[tuple[bool, int, int, bool]]] = {}
+        for node, text, links in self.blocks:
+            n, direct = node, True
+            while id(n) not in level:
+                direct &= n.tag in LEAF or n.tag in INLINE
+                n = n.parent
+            if level[id(n)]:
+                added.setdefault(level[id(n)], []).append((node.tag in HEADINGS, len(text), links, direct))
+        heads, size, in_links = True, 0, 0
+        for i in sorted(added):
+            up = chain[i]
+            heads &= all(h for h, _, _, _ in added[i])
+            size += sum(n for _, n, _, _ in added[i])
+            in_links += sum(k for _, _, k, _ in added[i])
+            region = up.tag in ("body", "html", "#root")
+            prose = 2 * in_links < size and (i <= outer) and (not region or any(d and not h and 2 * k < n for h, n, k, d in added[i]))
+            if (heads or prose) and (id(up) in self.scored or up.parent is None and not heads):
+                best, heads, size, in_links = up, True, 0, 0
         return best
 
     def text(self, path: str | None) -> str:
-        """Text of the containers on ``path``; of the page's best container if there is none."""
+        """Text of the containers on ``path``, widened if they hold the page's top one; of the page's best container if there is none."""
         chosen = {id(n) for n in self.scored.values() if n.path() == path} if path else set()
-        if not chosen:
-            best = self.best()
-            if best is None:
-                return "\n".join(t for _, t, _ in self.blocks)
-            chosen = {id(best)}
+        n = self.top()
+        if n is None:
+            return "\n".join(t for _, t, _ in self.blocks)
+        while chosen and n is not None and id(n) not in chosen:
+            n = n.parent
+        if n is not None:
+            chosen.add(id(self.widened(n)))
         return "\n".join(t for n, t, _ in self.blocks if self._under(n, chosen))
 
     @staticmethod

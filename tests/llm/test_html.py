@@ -38,6 +38,13 @@ CASES = {
     "long sidebar beside a short article": (f"<body><article><h2>Short</h2><p>Short.</p></article><div class=sidebar><p>{LONG}</p></div></body>", "Short\nShort."),
     "long menu of links": (f"<body><div class=menu><a href=x>{LONG}</a></div><div class=text><p>Short text.</p></div></body>", "Short text."),
     "cookie box longer than the text": (f"<body><div class=cookie-consent><p>{LONG}</p></div><div class=text><h2>Head</h2><p>{LONG[:800]}</p></div></body>", "Head\n" + LONG[:800].strip()),
+    "lead and end beside a long body": (f"<body><div class=page><div class=post><div class=lead><p>The lead.</p></div><div class=body><div><p>{LONG}</p></div></div>"
+                                        "<div><p>The end.</p></div></div><div class=tags><a href=x>tag one</a></div></div><div class=foot><p>Foot</p></div></body>",
+                                        f"The lead.\n{LONG.strip()}\nThe end."),
+    "short sections": (f"<article><div><div><div><div><section><p>{LONG}</p></section><section><h2>Two</h2><p>Short.</p></section></div></div></div></div></article><p>not of it</p>",
+                       f"{LONG.strip()}\nTwo\nShort."),
+    "lead in the body": (f"<body><h1>T</h1><p>The lead.</p><div class=text><p>{LONG}</p></div></body>", f"T\nThe lead.\n{LONG.strip()}"),
+    "lead without a body": (f"<p>The lead.</p><div class=text><p>{LONG}</p></div>", f"The lead.\n{LONG.strip()}"),
     "empty": ("", ""), "null": (None, ""), "nothing but a menu": ("<nav><a href=x>a</a></nav>", ""),
 }
 
@@ -70,6 +77,13 @@ def test_host_consensus(spark):
     assert htmltext.extract(df.limit(0)).collect() == []
 
 
+def test_host_consensus_keeps_leads(spark):
+    page = lambda lead: f"<body><div class=post>{lead}<div class=text><p>{LONG}</p></div></div></body>"
+    rows = [(i, "http://host.example/", page("<div class=lead><p>The lead.</p></div>" if i < 2 else "")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("The lead.\n" if i < 2 else "") + LONG.strip() for i in range(6)}
+
+
 def test_many_hosts_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(htmltext, "BROADCAST_HOSTS", 0)
     df = spark.createDataFrame([(i, f"http://h{i}/", "<article><p>t</p></article>") for i in range(5)], "page_id long, url string, html string")
