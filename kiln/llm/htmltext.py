@@ -71,9 +71,10 @@ CLOSES = {"p": LEAF | MAIN | SKIPPED | {"div", "section", "details", "p"}, "li":
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<svg>svg)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>"  # without an end tag, an empty inline element
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<void>/?)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<svg>svg)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>.*?</svg\s*>"  # without an end tag, an empty inline element
+    # a quote that is never closed is a character; if no > follows then, all quotes are: each way is tried once
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*+\")|'(?![^']*+'))*+(?=/?>)|(?:[^>/]++|/(?!>))*+)(?P<void>/?)>"
     r"|(?P<cut></?[a-zA-Z][^<>]*\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")

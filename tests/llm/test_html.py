@@ -2,6 +2,7 @@
 
 import html as H
 import re
+import signal
 
 import duckdb
 import pytest
@@ -96,6 +97,20 @@ def test_deep_and_long_pages():
     assert htmltext.Page(f"<article>{body}</article>").text("article").count("\n") == 19_999
 
 
+@pytest.mark.parametrize("attrs", ["data-x='{" + '"k":"v",' * 25, 'data-x="' + "{'k':" * 100, '"' * 101, "'\"" * 50, 'a="b" ' * 50 + '"'])
+def test_cut_tags_with_many_quotes(attrs):
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, 10)
+    try:
+        assert htmltext.Page("<p>a</p><div " + attrs).text(None) == "a"
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_articles_of_the_test_pages(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["page_id"]: r["text"] for r in E.queries()["op1_main_text"](spark, sf).collect()}
