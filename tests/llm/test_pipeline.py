@@ -104,3 +104,16 @@ def test_stages_on_clashing_columns(spark):
     assert {tuple(r)[5:] for r in docs.collect()} == {(2, "x", 3, 4, 5, 6, 7)}
     assert P.STAGES[-1][1](spark, docs, SF).count() > 0
     assert public_tokenizers.path(P.TOKENIZER)
+
+
+def test_one_document_of_each_simhash_group(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(300))
+    near = lambda t: next(x for i in range(300) if (x := f"{t} tail{i}") and 0 < bin(fingerprint(x) ^ fingerprint(t)).count("1") <= 2)
+    x, y, z, u, v, w = map(text, "xyzuvw")
+    near_x = near(x)
+    rows = [(3, x), (5, near_x), (5, y), (5, y), (None, z), (None, near(z)), (None, near(x)), (None, u), (8, near(u)), (5, v), (5, near(v)), (None, w), (None, w)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = P.simhash_dedup(spark, docs, SF)
+    assert out.columns == COLUMNS
+    want = [(3, x), (5, y), (None, min(z, near(z))), (8, near(u)), (5, min(v, near(v))), (None, w)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
