@@ -40,19 +40,19 @@ def upsert_snapshot(old: DataFrame, new: DataFrame, key, order: str, created: st
     return out.join(first, keys, "left").withColumn(created, F.coalesce("__first", created)).select(*out.columns)
 
 
-def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
+def write_snapshot(df: DataFrame, base: str, version: int | None = None, stream: str | None = None, batch: int | None = None) -> str:
     """Write ``df`` as a new snapshot under ``base`` and point the store at it.
 
     Without a version the next one is taken.  Writing a version again (a
     retried batch) replaces that snapshot, which no pointer names before it
-    is complete.
+    is complete.  The pointer also names the stream's batch that was merged.
     """
     spark = df.sparkSession
     if version is None:
         version = (current(spark, base) or (0, ""))[0] + 1
     path = f"{base.rstrip('/')}/snapshot_{version:016d}"
     df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1) \
+    spark.createDataFrame([(version, path, stream, batch)], "version long, path string, stream string, batch long").coalesce(1) \
         .write.mode("append").parquet(f"{base.rstrip('/')}/_pointer")
     return path
 
@@ -71,6 +71,13 @@ def current(spark: SparkSession, base: str) -> tuple[int, str] | None:
     return (row["version"], row["path"]) if row else None
 
 
+def merged_batch(spark: SparkSession, base: str, stream: str) -> int:
+    """The last batch of ``stream`` that was merged into the store; -1 if none was."""
+    rows = spark.read.schema("stream string, batch long").parquet(f"{base.rstrip('/')}/_pointer")  # older pointers name none
+    last = rows.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+    return -1 if last is None else last
+
+
 def read_store(spark: SparkSession, base: str) -> DataFrame:
     at = current(spark, base)
     if at is None:

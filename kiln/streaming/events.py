@@ -69,22 +69,27 @@ def upsert_stream(sdf: DataFrame, base: str, key: str, order: str, checkpoint: s
     """Each micro-batch: its newest row per key, merged into the snapshot store at ``base``.
 
     The store is dealt into ``parts`` folders by key hash, each a store of its
-    own: a batch rewrites only those that it touches.  A batch's snapshots are
-    named by its number in the stream of ``checkpoint``, so a retried batch
-    replaces what it wrote and a batch that was merged already is left alone.
+    own: a batch rewrites only those that it touches.  A part's pointer names
+    the stream (its id in ``checkpoint``) and the batch that was merged, so a
+    batch that was merged already is left alone; batches of another stream, or
+    of a new ``checkpoint``, are merged.  Streams into one store run one after
+    the other.
     """
     spark = sdf.sparkSession
 
     def merge(batch: DataFrame, batch_id: int):
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream has no id")
         new = saved(latest(batch, key, [order]).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
         for part in sorted(r["__part"] for r in new.select("__part").distinct().collect()):  # at most ``parts``
             folder = f"{base.rstrip('/')}/part_{part:04d}"
             at = S.current(spark, folder)
-            if at is not None and _batch_of(at[1]) >= batch_id:
+            if at is not None and S.merged_batch(spark, folder, stream) >= batch_id:
                 continue
             rows = new.filter(F.col("__part") == part).drop("__part")
             merged = rows if at is None else latest(spark.read.parquet(at[1]).unionByName(rows), key, [order])
-            S.write_snapshot(merged, folder, version=batch_id)
+            S.write_snapshot(merged, folder, stream=stream, batch=batch_id)
 
     q = (sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -92,10 +97,6 @@ def upsert_stream(sdf: DataFrame, base: str, key: str, order: str, checkpoint: s
     return base
 
 
-def _batch_of(path: str) -> int:
-    return int(path.rsplit("snapshot_", 1)[1])
-
-
 def read_upserted(spark: SparkSession, base: str, parts: int = 16) -> DataFrame:
     """The rows of all parts of an upserted store."""
     found = [p for k in range(parts) if (p := S.current(spark, f"{base.rstrip('/')}/part_{k:04d}")) is not None]

@@ -243,6 +243,30 @@ def test_upsert_stream_goes_on_and_never_loses_the_store(spark):
     assert S.current(spark, f"{base}/none") is None
 
 
+def test_upsert_stream_of_a_second_checkpoint(spark):
+    from kiln.streaming import events as ST
+    base = scratch_path(spark, f"test-streams-{uuid.uuid4().hex}")
+    kind = "user_id long, ts int, v string"
+    put = lambda name, rows: spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{base}/{name}")
+    run = lambda name, progress: ST.upsert_stream(ST.read_events(spark, f"{base}/{name}", spark.createDataFrame([], kind).schema), f"{base}/store", "user_id", "ts", f"{base}/{progress}", parts=1)
+    got = lambda: {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store", parts=1).collect()}
+    put("one", [(1, 1, "a"), (2, 1, "a")])
+    run("one", "progress1")
+    put("one", [(3, 1, "a")])
+    run("one", "progress1")
+    put("two", [(1, 2, "b"), (4, 1, "b")])
+    run("two", "progress2")
+    assert got() == {1: "b", 2: "a", 3: "a", 4: "b"}
+    put("one", [(5, 1, "c")])
+    run("one", "lost")  # a new progress folder: all files again
+    assert got() == {1: "b", 2: "a", 3: "a", 4: "b", 5: "c"}
+    folder = f"{base}/store/part_0000"
+    at = S.current(spark, folder)
+    run("one", "lost")  # nothing new
+    names = {r["stream"]: S.merged_batch(spark, folder, r["stream"]) for r in spark.read.parquet(f"{folder}/_pointer").collect()}
+    assert S.current(spark, folder) == at and sorted(names.values()) == [0, 0, 1] and S.merged_batch(spark, folder, "other") == -1
+
+
 def test_checkpoint_folder_is_asked_for_on_a_cluster(spark):
     from types import SimpleNamespace
 
