@@ -110,7 +110,7 @@ class Shard:
         n_terms, n = len(order), w.shape[1]
         score = np.zeros(n, w.dtype)
         essential = n_terms if bar is None else int(np.searchsorted(-left[:-1], -bar, side="right"))
-        found = np.full(n, bar is None)
+        found = np.full(n, bar is None or bar <= 0)  # a row that gains nothing can reach such a bar
         for t in range(0, essential, TERMS_AT_ONCE):
             part = slice(t, min(t + TERMS_AT_ONCE, essential))
             gain = q[part, None] * w[order[part]]

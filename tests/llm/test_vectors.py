@@ -54,6 +54,15 @@ def test_top_k_of_small_and_large_values(spark):
     assert maxscore.top_k(df, df.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize("first", [8, 256])
+def test_top_k_of_rows_without_gain_behind_a_negative_bar(monkeypatch, first):
+    monkeypatch.setattr(maxscore, "FIRST_ROWS", first)  # here, not in Spark's workers
+    rows = [[256, 128]] + [[-256, -128]] * 299 + [[0, 0]] * 3 + [[-64, 0], [-128, 0]]
+    shard = maxscore.Shard(np.arange(len(rows)), np.array(rows, float).T)
+    ids, scores = shard.search(0, np.array([256.0, 128.0]), 5)
+    assert ids.tolist() == [300, 301, 302, 303, 304] and scores.tolist() == [0, 0, 0, -64 * 256, -128 * 256]
+
+
 def test_top_k_sql(spark):
     rows = table(120, 6, 3)
     con = duckdb.connect()
