@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB SQL where there is one."""
+"""The registered queries of the operators, and their DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from kiln.llm import egojoin, htmltext, langid, linededup, maxscore, mixing, packing, quality, simhash, tokencount
+from kiln.llm import ctw, egojoin, htmltext, langid, linededup, maxscore, mixing, packing, quality, simhash, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +58,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_read(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    scored = ctw.score(_read(spark, sf_dir, "documents"), train)
+    return scored.select("doc_id", langid.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_top_k": op2_top_k,
@@ -70,7 +75,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
-    "pipeline": corpus_pipeline.run,
+    "op11_ctw_score": op11_ctw_score,
 }
 
 ORACLES = {
