@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import ctw, egojoin, htmltext, langid, linededup, maxscore, mixing, packing, quality, simhash, tokencount
+from kiln.llm import ctw, divergence, egojoin, htmltext, langid, linededup, maxscore, mixing, packing, prefixtrie, quality, simhash, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op11_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_top_k": op2_top_k,
@@ -76,10 +84,14 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
     "op11_ctw_score": op11_ctw_score,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
     "op2_top_k": maxscore.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_prefix_trie": prefixtrie.ORACLE,
 }
