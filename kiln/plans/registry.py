@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kiln.plans import design, governance, profile, responses, star, store, streams, vault
+from kiln.plans import design, documents, governance, profile, responses, star, store, streams, vault
 
-_MODULES = [profile, star, vault, design, governance, store, responses, streams]
+_MODULES = [profile, star, vault, design, documents, governance, store, responses, streams]
 
 
 def queries() -> dict:
