@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions import compare_key
-from kiln.session import saved
+from kiln.operators import graph
 
 # Sovereignty choice -> regions whose nations it keeps.
 SOVEREIGNTY_REGIONS = {"US": ["AMERICA"], "EU": ["EUROPE"], "Other": ["AFRICA", "ASIA", "MIDDLE EAST"]}
@@ -89,52 +89,8 @@ def retain(df: DataFrame, ts: str, depth: str) -> DataFrame:
 
 # G7 / J5 ----------------------------------------------------------------------
 def lineage_paths(edges: DataFrame, group: str = "project_id") -> DataFrame:
-    """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, to the fixpoint.
-
-    Breadth-first: each step joins the newly reached pairs with the edges and
-    keeps only pairs not seen before (a left-anti join), so cycles end.  The
-    edges and every step are checkpointed (reliable checkpoint in the shared
-    folder): each step reads files instead of re-running the whole history,
-    and the loop stops when a step adds nothing.
-    """
-    e = saved(edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    seen = e.withColumn("depth", F.lit(1))
-    frontier, d = seen, 1
-    while True:
-        d += 1
-        step = (frontier.alias("f").join(e.alias("e"), (F.col(f"f.{group}") == F.col(f"e.{group}")) &
-                                         (F.col("f.dst") == F.col("e.src")))
-                .select(F.col(f"f.{group}").alias(group), F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
-                .filter(F.col("src") != F.col("dst")).distinct())
-        new = saved(step.join(seen.select(group, "src", "dst"), [group, "src", "dst"], "left_anti")
-                    .withColumn("depth", F.lit(d)))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
-        frontier = new
-    return seen
-
-
-def on_cycles(edges: DataFrame, group: str = "project_id") -> DataFrame:
-    """``(group, node)`` of the nodes on a cycle.
-
-    Edges from nodes that nothing enters, or into nodes that nothing leaves,
-    are peeled off until none is left; only the closure of what remains (the
-    cycles and the ways between them) is taken.
-    """
-    e = saved(edges.select(group, "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    n = e.count()
-    while n:
-        entered = e.select(group, F.col("dst").alias("src")).distinct()
-        left = e.select(group, F.col("src").alias("dst")).distinct()
-        core = saved(e.join(entered, [group, "src"], "left_semi").join(left, [group, "dst"], "left_semi").select(group, "src", "dst"))
-        m = core.count()
-        if m == n:
-            break
-        e, n = core, m
-    reach = lineage_paths(e, group).select(group, "src", "dst")
-    back = reach.select(group, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach.join(back, [group, "src", "dst"], "left_semi").select(group, F.col("src").alias("node")).distinct()
+    """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, to the fixpoint (see graph.shortest_paths)."""
+    return graph.shortest_paths(edges, group)
 
 
 # G8 -------------------------------------------------------------------------

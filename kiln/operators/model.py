@@ -431,7 +431,7 @@ def lint(tables: DataFrame, layers: DataFrame, rels: DataFrame | None = None,
     * ``circular_ref``: an entity on a cycle of relationships, of any length;
     * ``architecture_volume``: Medallion or Lakehouse chosen for a volume under 10 GB.
     """
-    from kiln.operators.governance import on_cycles
+    from kiln.operators.graph import on_cycles
     lay = F.trim(F.coalesce("layer", F.lit("")))
     t = tables.withColumn("__k", compare_key("table_name")).withColumn("__l", lay)
     multi = (t.filter(F.col("__l") != "").groupBy(P, "__k")

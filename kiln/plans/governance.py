@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions import is_key_name, is_pii_name, sql_compare_key, sql_is_pii_name
 from kiln.operators import governance as G
+from kiln.operators import graph
 from kiln.operators import model as M
 from kiln.operators.profile import tag
 from kiln.plans.fixture_schema import SCHEMAS
@@ -52,6 +53,27 @@ def lineage_closure(spark, sf):
     return G.lineage_paths(t.select("project_id", F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
+def column_edges(spark, sf):
+    """Edges between the designed columns, and from the raw fields that the tasks of a source load."""
+    f = spark_fleet(spark, sf)
+    t = f["tasks"]
+    raw = t.filter(F.startswith("source", F.lit("src_"))).select("project_id", F.col("source").alias("table_name"), F.regexp_extract("logic", r"(\w+_sk)", 1).alias("column_name"), F.lit(None).cast("string").alias("ref"))
+    return graph.column_edges(t, f["columns"].select(*raw.columns).unionByName(raw))
+
+
+def _column_paths(spark, sf):
+    return graph.shortest_paths(column_edges(spark, sf), witness=True)
+
+
+def column_lineage(spark, sf):
+    """Which columns each column comes from, over any number of steps, with one shortest way."""
+    return _column_paths(spark, sf).withColumn("path", F.array_join("path", " > "))
+
+
+def column_impact(spark, sf):
+    return graph.impact(_column_paths(spark, sf))
+
+
 def pii_exposure(spark, sf):
     f = spark_fleet(spark, sf)
     _, cols = M.consolidate(f["tables"], f["columns"])
@@ -96,6 +118,35 @@ R AS (SELECT project_id, src, dst, 1 AS depth FROM E
 SELECT project_id, src, dst, min(depth) AS depth FROM R WHERE src <> dst GROUP BY project_id, src, dst""",
 }
 
+_COLUMN_EDGES = duck_ctes().replace("WITH ", "WITH RECURSIVE ", 1) + r""",
+CL AS (SELECT DISTINCT project_id, lower(table_name) AS t, lower(column_name) AS c FROM f_columns
+       UNION SELECT project_id, lower(source), regexp_extract(lower(logic), '(\w+_sk)', 1) FROM f_tasks WHERE starts_with(source, 'src_')),
+TK AS (SELECT DISTINCT project_id, lower(source) AS s, lower(target) AS t, lower(coalesce(logic, '')) AS logic FROM f_tasks WHERE lower(source) <> lower(target)),
+CE AS (
+  SELECT project_id, src, dst, substr(min(via), 2) AS via FROM (
+    SELECT k.project_id, a.t || '.' || a.c AS src, b.t || '.' || b.c AS dst, CASE WHEN a.c = b.c THEN '1copied' ELSE '2logic' END AS via
+    FROM TK k JOIN CL a ON a.project_id = k.project_id AND a.t = k.s JOIN CL b ON b.project_id = k.project_id AND b.t = k.t
+    WHERE a.c = b.c OR (list_contains(regexp_extract_all(k.logic, '\w+'), a.c) AND list_contains(regexp_extract_all(k.logic, '\w+'), b.c))
+    UNION ALL
+    SELECT project_id, lower(ref), lower(table_name) || '.' || lower(column_name), '3reference' FROM f_columns WHERE contains(ref, '.'))
+  WHERE src <> dst GROUP BY project_id, src, dst)"""
+_COLUMN_PATHS = _COLUMN_EDGES + """,
+W AS (
+  SELECT project_id, src, dst, 1 AS depth, [src, dst] AS path FROM CE
+  UNION ALL
+  SELECT w.project_id, w.src, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM W w JOIN CE e ON e.project_id = w.project_id AND e.src = w.dst
+  WHERE NOT list_contains(w.path, e.dst)),
+CP AS (SELECT project_id, src, dst, depth, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, src, dst ORDER BY depth, path) AS rn FROM W) WHERE rn = 1)"""
+ORACLES["column_edges"] = _COLUMN_EDGES + " SELECT * FROM CE"
+ORACLES["column_lineage"] = _COLUMN_PATHS + " SELECT project_id, src, dst, depth, array_to_string(path, ' > ') AS path FROM CP"
+ORACLES["column_impact"] = _COLUMN_PATHS + """
+SELECT project_id, node, sum(u) AS n_upstream, max(ud) AS upstream_depth, sum(d) AS n_downstream, max(dd) AS downstream_depth FROM (
+  SELECT project_id, src AS node, 0 AS u, 0 AS ud, 1 AS d, depth AS dd FROM CP UNION ALL SELECT project_id, dst, 1, depth, 0, 0 FROM CP)
+GROUP BY project_id, node"""
+ORACLES["column_impact"] = ORACLES["column_impact"].replace("sum(u) AS", "sum(u)::BIGINT AS").replace("sum(d) AS", "sum(d)::BIGINT AS")
+
+
 def _pii_exposure_sql():
     from kiln.plans.design import _CONS, _with
     key = sql_compare_key("table_name")
@@ -123,5 +174,8 @@ QUERIES = {
     "eu_customers": eu_customers,
     "retained_orders": retained_orders,
     "lineage_closure": lineage_closure,
+    "column_edges": column_edges,
+    "column_lineage": column_lineage,
+    "column_impact": column_impact,
     "pii_exposure": pii_exposure,
 }
