@@ -26,8 +26,9 @@ by their three nearest context bytes (at most 2**24 keys), which makes all
 trees from depth 3 on local to a task; depths 0 to 2 come from sums over those
 and are broadcast: at most one row for each pair of bytes and prefix of bits,
 in valid UTF-8 under 11 million rows of 32 bytes, in practice some megabytes.
-The probability of each key goes back to the chunks that asked for it.  No
-task sees more than a chunk or a run of such trees.
+The log probability of each key (in single precision) and the count of each
+word go back to the chunks that asked, packed.  No task sees more than a chunk
+or a run of such trees.
 
 A null text is empty; an empty text has one token, the end.  Null and repeated
 ids keep their rows (a null id is neither training nor held out).  Extra
@@ -38,10 +39,10 @@ training rows every bit has probability 1/2.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ from kiln.llm.scan import written
 
 DEPTH = 5
 TOP = 2  # contexts of up to so many bytes are broadcast
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 CHUNK_DOCS = 1 << 17
 PART_BYTES = 1 << 20
 TREE_ROWS = 1 << 20
@@ -184,7 +185,7 @@ class Trees:
                     q = np.where(known, g * p + (1 - g) * q, p)
                     known = seen
             prefix = (1 << j) | ((keys & 255) >> (8 - j))
-            q = top.mix(keys >> 32 << 8 | prefix, q, known)
+            q = top.mix(keys >> (8 * (DEPTH + 1 - TOP)) << 8 | prefix, q, known)
             out += np.log10(np.where((keys >> (7 - j)) & 1, q, 1 - q))
         return out
 
@@ -235,98 +236,105 @@ class Tops:
 # --- Spark -------------------------------------------------------------------
 
 
-def _chunks(batches):
-    """Rows with their chunk's number and their sequence."""
-    chunk, size, docs = TaskContext.get().partitionId() << 32, 0, 0
+def _chunks(limit: int, batches):
+    """One row per chunk: its documents' ids, whether they are learned from, and their sequences, compressed."""
+    first = TaskContext.get().partitionId() << 32
+    ids, train, seqs, size, n = [], [], [], 0, 0
+
+    def chunk(schema):
+        text = b"".join(seqs)
+        return pa.RecordBatch.from_arrays([
+            pa.array([first + n]), pa.array([ids], pa.list_(schema.field(0).type)), pa.array([train], pa.list_(pa.bool_())), pa.array([[len(s) for s in seqs]], pa.list_(pa.int64())),
+            pa.array([pa.compress(text, codec="zstd", asbytes=True)], pa.binary())], ["chunk", "doc_id", "train", "size", "seqs"])
+
     for b in batches:
         for at in range(0, b.num_rows, 256):
             rows = b.slice(at, 256)
-            seqs, chunks = [], []
-            for text in rows.column(2).to_pylist():
+            for i, t, text in zip(*[rows.column(k).to_pylist() for k in range(3)]):
                 s = sequence(text)
-                if docs and (size + len(s) > CHUNK_BYTES or docs >= CHUNK_DOCS):
-                    chunk, size, docs = chunk + 1, 0, 0
-                size, docs = size + len(s), docs + 1
+                if ids and (size + len(s) > limit or len(ids) >= CHUNK_DOCS):
+                    yield chunk(b.schema)
+                    ids, train, seqs, size, n = [], [], [], 0, n + 1
+                ids.append(i)
+                train.append(t)
                 seqs.append(s)
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(chunks, pa.int64()), pa.array(seqs, pa.binary())], ["doc_id", "train", "chunk", "seq"])
-
-
-class _Asked:
-    """What one chunk asks for: distinct keys and words with their training counts."""
-
-    def __init__(self, chunk: int):
-        self.chunk, self.words, self.keys, self.held = chunk, Counter(), [], 0
-        self.parts: dict[bool, list[bytes]] = {True: [], False: []}
-        self.size = 0
-
-    def add(self, train: bool, seq: bytes) -> None:
-        words = seq.split()
-        words.append(END)
-        if train:
-            self.words.update(words)
-        else:
-            self.words.update(dict.fromkeys(words, 0))
-        self.parts[train].append(seq)
-        self.size += len(seq)
-        if self.size >= PART_BYTES:
-            self.flush()
-
-    def flush(self) -> None:
-        for train, seqs in self.parts.items():
-            if seqs:
-                k, n = np.unique(keys_of(seqs)[0], return_counts=True)
-                self.keys.append((k, n if train else np.zeros(len(n), np.int64)))
-                self.held += len(k)
-        self.parts, self.size = {True: [], False: []}, 0
-        if self.held > 4 * TREE_ROWS:
-            self.merge()
-
-    def merge(self) -> None:
-        k, n = (np.concatenate(v) for v in zip(*self.keys))
-        u, back = np.unique(k, return_inverse=True)
-        self.keys = [(u, np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))]
-        self.held = len(u) // 2  # so that merges pay for themselves
-
-    def rows(self):
-        self.flush()
-        self.merge()
-        (k, n), = self.keys
-        words = list(self.words.items())
-        for at in range(0, len(k), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            yield self.batch(pa.array(k[some]), pa.nulls(len(k[some]), pa.binary()), pa.array(n[some]))
-        for at in range(0, len(words), 1 << 16):
-            some = words[at : at + (1 << 16)]
-            yield self.batch(pa.nulls(len(some), pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64()))
-
-    def batch(self, key, word, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), self.chunk)), key, word, n], ["chunk", "key", "word", "n"])
+                size += len(s)
+    if ids:
+        yield chunk(b.schema)
 
 
-def _ask(batches):
-    now = None
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            rows = b.slice(at, 256)
-            for chunk, train, seq in zip(*[rows.column(i).to_pylist() for i in range(3)]):
-                if now is None or now.chunk != chunk:
-                    if now is not None:
-                        yield from now.rows()
-                    now = _Asked(chunk)
-                now.add(train, seq)
-    if now is not None:
-        yield from now.rows()
+def _sequences(sizes: list[int], packed: bytes) -> list[bytes]:
+    text = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes).tolist()
+    return [text[e - n : e] for e, n in zip(ends, sizes)]
+
+
+def _words(seq: bytes) -> list[bytes]:
+    out = seq.split()
+    out.append(END)
+    return out
+
+
+def _parts(seqs: list[bytes]):
+    """Runs of sequences of about ``PART_BYTES``."""
+    at = 0
+    while at < len(seqs):
+        to, size = at, 0
+        while to < len(seqs) and size < PART_BYTES:
+            size += len(seqs[to])
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
+def _distinct(keys: list, counts: list):
+    u, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(back, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
 
-def _trees(batches):
+def _ask(batches):
+    """What a chunk asks for: its distinct keys, and its distinct words numbered -1, -2, ... by first appearance; with training counts."""
+    for b in batches:
+        for row in range(b.num_rows):
+            chunk, train, sizes, packed = (b.column(c)[row].as_py() for c in ("chunk", "train", "size", "seqs"))
+            seqs = _sequences(sizes, packed)
+            words, keys, counts, held = Counter(), [], [], 0
+            for part in _parts(seqs):
+                for t, s in zip(train[part], seqs[part]):
+                    words.update(_words(s) if t else dict.fromkeys(_words(s), 0))
+                for learn in (True, False):
+                    some = [s for t, s in zip(train[part], seqs[part]) if t == learn]
+                    if some:
+                        k, n = np.unique(keys_of(some)[0], return_counts=True)
+                        keys.append(k)
+                        counts.append(n if learn else np.zeros(len(n), np.int64))
+                        held += len(k)
+                if held > 4 * TREE_ROWS:
+                    keys, counts = ([v] for v in _distinct(keys, counts))
+                    held = len(keys[0]) // 2  # so that merges pay for themselves
+            k, n = _distinct(keys, counts)
+            for at in range(0, len(k), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                yield _asked(chunk, pa.array(k[some]), pa.nulls(len(k[some]), pa.binary()), pa.array(n[some]))
+            listed = list(words.items())
+            for at in range(0, len(listed), 1 << 16):
+                some = listed[at : at + (1 << 16)]
+                numbers = -1 - np.arange(at, at + len(some))
+                yield _asked(chunk, pa.array(numbers), pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64()))
+
+
+def _asked(chunk: int, key, word, n):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), key, word, n], ["chunk", "key", "word", "n"])
+
+
+def _trees(limit: int, batches):
     """Whole depth-3 trees from rows sorted by key, about ``TREE_ROWS`` rows at a time."""
     keys, counts, size = [], [], 0
     for b in batches:
         keys.append(b.column(0).to_numpy())
         counts.append(b.column(1).to_numpy())
         size += b.num_rows
-        if size >= TREE_ROWS:
+        if size >= limit:
             k, n = np.concatenate(keys), np.concatenate(counts)
             root = k >> (8 * (DEPTH - TOP))
             cut = int(np.searchsorted(root, root[-1]))
@@ -337,78 +345,117 @@ def _trees(batches):
         yield Trees(np.concatenate(keys), np.concatenate(counts))
 
 
-def _sums(batches):
-    for trees in _trees(batches):
+def _sums(limit: int, batches):
+    for trees in _trees(limit, batches):
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in trees.sums()], ["node", "n0", "n1", "below"])
 
 
-def _key_scores(shared):
+def _key_scores(shared, limit: int):
     def run(batches):
-        for trees in _trees(batches):
+        for trees in _trees(limit, batches):
             yield pa.RecordBatch.from_arrays([pa.array(trees.levels[0].rows), pa.array(trees.log10(shared.value))], ["key", "value"])
 
     return run
 
 
-def _answer(unknown: float, schema: pa.Schema):
-    """Scores of a chunk's documents from the values of its keys and words."""
+def _pack(batches):
+    """Answers (chunk, key, value) as compressed arrays by chunk, some ``TREE_ROWS`` rows at a time."""
+    held, size = [], 0
+
+    def packs():
+        chunk, key, value = (np.concatenate(v) for v in zip(*held))
+        order = np.lexsort((key, chunk))
+        chunk, key, value = chunk[order], key[order], value[order]
+        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))).tolist()
+        small = lambda x: pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+        rows = []
+        for at, to in zip(first, [*first[1:], len(chunk)]):
+            words = at + int(np.searchsorted(key[at:to], 0))
+            rows.append((int(chunk[at]), to - at, words - at, small(np.diff(key[at:to], prepend=0)), small(value[at:words].astype(np.int64)), small(value[words:to].astype(np.float32))))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["chunk", "n", "n_words", "keys", "counts", "logs"])
+
+    for b in batches:
+        held.append([b.column(c).to_numpy() for c in ("chunk", "key", "value")])
+        size += b.num_rows
+        if size >= TREE_ROWS:
+            yield packs()
+            held, size = [], 0
+    if size:
+        yield packs()
+
+
+def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, their values, the counts of the words in their order) of a chunk."""
+    keys, values, words, counts = [], [], [], []
+    get = lambda x, n, kind: np.frombuffer(pa.decompress(x, np.dtype(kind).itemsize * n, codec="zstd"), kind)
+    for n, n_words, k, c, v in zip(*[t.column(c).to_pylist() for c in ("n", "n_words", "keys", "counts", "logs")]):
+        k = np.cumsum(get(k, n, np.int64))
+        words.append(-1 - k[:n_words])
+        keys.append(k[n_words:])
+        counts.append(get(c, n_words, np.int64))
+        values.append(get(v, n - n_words, np.float32))
+    keys, values, words, counts = map(np.concatenate, (keys, values, words, counts))
+    order = np.argsort(keys)
+    by_number = np.empty(len(words), np.int64)
+    by_number[words] = counts
+    return keys[order], values[order].astype(np.float64), by_number
+
+
+def _answer(mass: float, schema: pa.Schema):
+    """Scores of a chunk's documents from the values of its keys and the counts of its words."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        is_key = pc.is_null(answers.column("word"))
-        of = answers.filter(is_key)
-        keys, values = of.column("key").to_numpy(), of.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        of = answers.filter(pc.invert(is_key))
-        base = dict(zip(of.column("word").to_pylist(), of.column("value").to_pylist()))
-        seqs = docs.column("seq").to_pylist()
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for at in range(0, len(seqs), 256):
-            some = seqs[at : at + 256]
-            k, begin = keys_of(some)
-            out["score"].append(np.add.reduceat(values[np.searchsorted(keys, k)], begin))
-            for s in some:
-                words = s.split()
-                words.append(END)
-                v = np.fromiter(map(base.__getitem__, words), float, len(words))
-                out["n_tokens"].append(len(v))
+        keys, values, counts = _unpack(answers)
+        ids, train, sizes, packed = (docs.column(c)[0].as_py() for c in ("doc_id", "train", "size", "seqs"))
+        seqs = _sequences(sizes, packed)
+        order: dict[bytes, None] = {}
+        for s in seqs:
+            order.update(dict.fromkeys(_words(s)))
+        base = dict(zip(order, np.log10((counts + 0.5) / mass).tolist()))
+        unknown = np.log10(0.5 / mass)
+        out = {"n_tokens": [], "n_known": [], "base_score": []}
+        scores = []
+        for part in _parts(seqs):
+            k, begin = keys_of(seqs[part])
+            k, back = np.unique(k, return_inverse=True)
+            scores.append(np.add.reduceat(values[np.searchsorted(keys, k)][back], begin))
+            for s in seqs[part]:
+                w = _words(s)
+                v = np.fromiter(map(base.__getitem__, w), float, len(w))
+                out["n_tokens"].append(len(w))
                 out["n_known"].append(int(np.count_nonzero(v > unknown)))
                 out["base_score"].append(float(v.sum()))
-        score = np.concatenate(out.pop("score"))
-        n_bytes = np.fromiter(map(len, seqs), np.int64, len(seqs))
-        cols = {**{k: pa.array(v) for k, v in out.items()}, "score": pa.array(score), "bits_per_byte": pa.array(-score * np.log2(10) / n_bytes)}
-        return pa.table([docs.column("doc_id"), docs.column("train"), *[cols[n] for n in schema.names[2:]]], schema=schema)
+        score = np.concatenate(scores)
+        cols = [pa.array(ids, schema.field(0).type), pa.array(train), *map(pa.array, out.values()), pa.array(score), pa.array(-score * np.log2(10) / np.array(sizes))]
+        return pa.table(cols, schema=schema)
 
     return run
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES,
+          tree_rows: int = TREE_ROWS) -> DataFrame:
     """Per document: id, ``train`` (whether it was learned from), tokens, known tokens, training tokens, the unigram base's and
     the model's log10 probability, and the model's code length in bits for each byte."""
     sc = df.sparkSession.sparkContext
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("binary").alias("text"))
-    docs = written(rows.mapInArrow(_chunks, f"doc_id {id_type}, train boolean, chunk long, seq binary"), "ctw-docs")
-    asked = written(docs.select("chunk", "train", "seq").mapInArrow(_ask, "chunk long, key long, word binary, n long"), "ctw-asked")
+    docs = written(rows.mapInArrow(partial(_chunks, chunk_bytes), f"chunk long, doc_id array<{id_type}>, train array<boolean>, size array<long>, seqs binary"), "ctw-docs")
+    asked = written(docs.drop("doc_id").mapInArrow(_ask, "chunk long, key long, word binary, n long"), "ctw-asked")
 
-    words = asked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    words = asked.where("key < 0").groupBy("word").agg(F.sum("n").alias("n"))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    mass = F.lit(total + 0.5 * (kinds + 1))
-    base = words.select("word", F.log10((F.col("n") + 0.5) / mass).alias("value"))
 
-    keys = written(asked.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "ctw-keys")
-    near = F.shiftright("key", 8 * (DEPTH + 1 - TOP - 1))
-    trees = keys.repartition(near).sortWithinPartitions("key")
-    sums = trees.mapInArrow(_sums, "node long, n0 long, n1 long, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+    keys = written(asked.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "ctw-keys")
+    trees = keys.repartition(F.shiftright("key", 8 * (DEPTH - TOP))).sortWithinPartitions("key")
+    sums = trees.mapInArrow(partial(_sums, tree_rows), "node long, n0 long, n1 long, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
     top = sums.toPandas()
     shared = sc.broadcast(Tops(*[top[c].to_numpy() for c in ("node", "n0", "n1", "below")]))
-    values = trees.mapInArrow(_key_scores(shared), "key long, value double")
+    values = trees.mapInArrow(_key_scores(shared, tree_rows), "key long, value double")
 
-    nothing = F.lit(None)
-    answers = (asked.where("key is not null").join(values, "key").select("chunk", "key", nothing.cast("binary").alias("word"), "value")
-               .unionByName(asked.where("word is not null").join(base, "word").select("chunk", nothing.cast("long").alias("key"), "word", "value")))
+    answers = (asked.where("key >= 0").select("chunk", "key").join(values, "key").select("chunk", "key", "value")
+               .unionByName(asked.where("key < 0").select("chunk", "key", "word").join(words, "word").select("chunk", "key", F.col("n").cast("double").alias("value"))))
+    packs = answers.mapInArrow(_pack, "chunk long, n long, n_words long, keys binary, counts binary, logs binary")
     out = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    unknown = float(df.sparkSession.range(1).select(F.log10(F.lit(0.5) / mass)).first()[0])
-    schema = to_arrow_schema(T.StructType.fromDDL(out))
-    scored = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_answer(unknown, schema), out)
+    scored = docs.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(_answer(total + 0.5 * (kinds + 1), to_arrow_schema(T.StructType.fromDDL(out))), out)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -19,7 +19,7 @@ from kiln.session import scratch_path
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, read back (for wide or many rows)."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
