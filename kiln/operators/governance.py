@@ -93,6 +93,8 @@ def lineage_paths(edges: DataFrame, group: str = "project_id") -> DataFrame:
     return graph.shortest_paths(edges, group)
 
 
+on_cycles = graph.on_cycles
+
 # G8 -------------------------------------------------------------------------
 def exposure(tags: DataFrame, table_grants: DataFrame, masks: DataFrame, keys=()) -> DataFrame:
     """PII-tagged columns a role can read in clear: it holds SELECT on the table

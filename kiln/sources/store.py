@@ -2,16 +2,19 @@
 
 The store is a Parquet dataset of snapshots.  An upsert never rewrites the
 path being read: it writes the merged rows to a new snapshot folder, then
-adds a one-row pointer file that names it.  Pointers are only ever added; the
-one of the highest version holds, so a reader always finds a whole snapshot.
+commits the folder's name (kiln.sources.commits).  A reader always finds a
+whole snapshot; of several writers none loses another's rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.operators.common import latest
+from kiln.sources import commits
 
 PROJECT_COLUMNS = ["id", "created_at", "user_name", "requirements", "data_profile", "architecture",
                    "schema_design", "pipeline", "governance", "ddl_sql", "documentation",
@@ -40,42 +43,50 @@ def upsert_snapshot(old: DataFrame, new: DataFrame, key, order: str, created: st
     return out.join(first, keys, "left").withColumn(created, F.coalesce("__first", created)).select(*out.columns)
 
 
+def _snapshot(df: DataFrame, base: str, version: int) -> str:
+    path = f"{base.rstrip('/')}/snapshot_{version:016d}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def _merged(now: dict | None, stream: str | None, batch: int | None) -> dict:
+    """The batches that the store holds of each stream, with this one."""
+    return {**(now or {}).get("streams", {}), **({stream: batch} if stream else {})}
+
+
 def write_snapshot(df: DataFrame, base: str, version: int | None = None, stream: str | None = None, batch: int | None = None) -> str:
-    """Write ``df`` as a new snapshot under ``base`` and point the store at it.
+    """Write ``df`` as a new snapshot under ``base`` and commit it, whatever the store held.
 
-    Without a version the next one is taken.  Writing a version again (a
-    retried batch) replaces that snapshot, which no pointer names before it
-    is complete.  The pointer also names the stream's batch that was merged.
+    With a version it becomes that one, or commits.Taken is raised.  The
+    commit also names the stream's batch that was merged.
     """
     spark = df.sparkSession
+    path = _snapshot(df, base, version or 0)
+    make = lambda now: {"path": path, "streams": _merged(now, stream, batch)}
     if version is None:
-        version = (current(spark, base) or (0, ""))[0] + 1
-    path = f"{base.rstrip('/')}/snapshot_{version:016d}"
-    df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(version, path, stream, batch)], "version long, path string, stream string, batch long").coalesce(1) \
-        .write.mode("append").parquet(f"{base.rstrip('/')}/_pointer")
+        commits.change(spark, base, make)
+    else:
+        commits.commit(spark, base, version, make(commits.state(spark, base)))
     return path
 
 
-def current(spark: SparkSession, base: str) -> tuple[int, str] | None:
-    """(version, path) of the current snapshot; None only if no pointer was ever written.
+def upsert_store(spark: SparkSession, base: str, new: DataFrame, key, order: str, created: str | None = None) -> str:
+    """B12 on a kept store: ``new`` merged into its newest snapshot (see upsert_snapshot); safe beside other writers."""
+    def make(now):
+        old = spark.read.parquet(now["path"]) if now else new.limit(0)
+        return {"path": _snapshot(upsert_snapshot(old, new, key, order, created), base, (now["version"] if now else 0) + 1), "streams": _merged(now, None, None)}
+    return commits.change(spark, base, make)["path"]
 
-    Whatever else keeps the pointer from being read is raised: an unreadable
-    store is not an empty one.
-    """
-    pointer = f"{base.rstrip('/')}/_pointer"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pointer)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    row = spark.read.parquet(pointer).orderBy(F.col("version").desc()).first()
-    return (row["version"], row["path"]) if row else None
+
+def current(spark: SparkSession, base: str) -> tuple[int, str] | None:
+    """(version, path) of the current snapshot; None only if nothing was ever committed."""
+    now = commits.state(spark, base)
+    return (now["version"], now["path"]) if now else None
 
 
 def merged_batch(spark: SparkSession, base: str, stream: str) -> int:
     """The last batch of ``stream`` that was merged into the store; -1 if none was."""
-    rows = spark.read.schema("stream string, batch long").parquet(f"{base.rstrip('/')}/_pointer")  # older pointers name none
-    last = rows.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
-    return -1 if last is None else last
+    return ((commits.state(spark, base) or {}).get("streams") or {}).get(stream, -1)
 
 
 def read_store(spark: SparkSession, base: str) -> DataFrame:

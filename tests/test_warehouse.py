@@ -1,6 +1,7 @@
 """Star, vault, governance, store and response operators on small literal inputs."""
 
 import hashlib
+import os
 import uuid
 
 import pytest
@@ -13,6 +14,7 @@ from kiln.operators import responses as R
 from kiln.operators import vault as V
 from kiln.operators import warehouse as W
 from kiln.session import scratch_path
+from kiln.sources import commits
 from kiln.sources import store as S
 
 
@@ -231,12 +233,15 @@ def test_upsert_stream_goes_on_and_never_loses_the_store(spark):
     put([(3, 2, "b"), (20, 1, "c")])
     run()
     run()  # nothing new
-    got = {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store", parts=4).collect()}
+    got = {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store").collect()}
     assert got == {**{i: "a" for i in range(15)}, 3: "b", 20: "c"}
-    # a pointer that can't be read is an error, never an empty store
-    hit = next(k for k in range(4) if S.current(spark, f"{base}/store/part_{k:04d}"))
-    pointer = f"{base}/store/part_{hit:04d}/_pointer"
-    spark.range(1).select(F.lit("not a pointer").alias("other")).write.mode("overwrite").parquet(pointer)
+    # a commit that can't be read is an error, never an empty store
+    last = max(os.listdir(f"{base}/store/{commits.FOLDER}"))
+    with open(f"{base}/store/{commits.FOLDER}/{last}", "w") as f:
+        f.write("not a commit")
+    crc = f"{base}/store/{commits.FOLDER}/.{last}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
     put([(i, 3, "d") for i in range(15)])
     with pytest.raises(Exception):
         run()
@@ -249,7 +254,7 @@ def test_upsert_stream_of_a_second_checkpoint(spark):
     kind = "user_id long, ts int, v string"
     put = lambda name, rows: spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{base}/{name}")
     run = lambda name, progress: ST.upsert_stream(ST.read_events(spark, f"{base}/{name}", spark.createDataFrame([], kind).schema), f"{base}/store", "user_id", "ts", f"{base}/{progress}", parts=1)
-    got = lambda: {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store", parts=1).collect()}
+    got = lambda: {r["user_id"]: r["v"] for r in ST.read_upserted(spark, f"{base}/store").collect()}
     put("one", [(1, 1, "a"), (2, 1, "a")])
     run("one", "progress1")
     put("one", [(3, 1, "a")])
@@ -260,11 +265,46 @@ def test_upsert_stream_of_a_second_checkpoint(spark):
     put("one", [(5, 1, "c")])
     run("one", "lost")  # a new progress folder: all files again
     assert got() == {1: "b", 2: "a", 3: "a", 4: "b", 5: "c"}
-    folder = f"{base}/store/part_0000"
-    at = S.current(spark, folder)
+    at = commits.state(spark, f"{base}/store")
     run("one", "lost")  # nothing new
-    names = {r["stream"]: S.merged_batch(spark, folder, r["stream"]) for r in spark.read.parquet(f"{folder}/_pointer").collect()}
-    assert S.current(spark, folder) == at and sorted(names.values()) == [0, 0, 1] and S.merged_batch(spark, folder, "other") == -1
+    assert commits.state(spark, f"{base}/store") == at and sorted(at["streams"].values()) == [0, 0, 1] and S.merged_batch(spark, f"{base}/store", "other") == -1
+
+
+def test_a_store_grows_by_splitting_parts(spark):
+    from kiln.streaming import events as ST
+    base = scratch_path(spark, f"test-parts-{uuid.uuid4().hex}")
+    rows = lambda lo, hi, v: spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    ST.upsert_parts(spark, base, rows(0, 200, 1), "k", "v", parts=32)
+    assert ST.read_upserted(spark, base).count() == 200 and len(commits.state(spark, base)["parts"]) == 32
+    ST.upsert_parts(spark, base, rows(100, 900, 2), "k", "v", parts=4, part_rows=20)  # the store knows its parts
+    now = commits.state(spark, base)
+    assert len(now["parts"]) > 40 and sum(p["rows"] for p in now["parts"]) == 900
+    got = {r["k"]: r["v"] for r in ST.read_upserted(spark, base).collect()}
+    assert got == {k: 1 if k < 100 else 2 for k in range(900)}
+    before = {p["path"] for p in now["parts"]}
+    ST.upsert_parts(spark, base, rows(5, 6, 3), "k", "v", part_rows=20)
+    after = {p["path"] for p in commits.state(spark, base)["parts"]}
+    assert len(before - after) == 1  # one part rewritten
+    ST.upsert_parts(spark, base, rows(0, 0, 3), "k", "v")
+    assert ST.read_upserted(spark, base).count() == 900
+    with pytest.raises(ValueError):
+        ST.upsert_parts(spark, base, rows(0, 1, 1), "v", "k")
+
+
+def test_two_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kiln.streaming import events as ST
+    base = scratch_path(spark, f"test-writers-{uuid.uuid4().hex}")
+    row = lambda k: spark.createDataFrame([(f"p{k}", k)], "id string, v int")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: S.upsert_store(spark, f"{base}/a", row(k), "id", "v"), range(8)))
+        list(pool.map(lambda k: ST.upsert_parts(spark, f"{base}/b", row(k), "id", "v", parts=2), range(6)))
+    assert sorted(r["id"] for r in S.read_store(spark, f"{base}/a").collect()) == [f"p{k}" for k in range(8)] and S.current(spark, f"{base}/a")[0] == 8
+    assert sorted(r["id"] for r in ST.read_upserted(spark, f"{base}/b").collect()) == [f"p{k}" for k in range(6)]
+    with pytest.raises(commits.Taken):
+        S.write_snapshot(row(9), f"{base}/a", version=3)
+    assert S.read_store(spark, f"{base}/a").count() == 8
 
 
 def test_checkpoint_folder_is_asked_for_on_a_cluster(spark):
