@@ -3,7 +3,7 @@
 ``Encoder`` gives the ids of whole texts exactly as the ``tokenizers``
 library does.  Word boundaries follow the tokenizer's published split
 pattern; each distinct pre-token is encoded once by the library's own model
-and then kept in a bounded worker cache.  Texts that hold a special string,
+and then kept, with its code points, in a bounded worker cache.  Texts that hold a special string,
 or a character whose normal form is not one code point, go through the
 library whole.
 """
@@ -102,9 +102,9 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.table = X.HashTable()
+        self.known_words = X.Words()
         self.at, self.n_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.words, self.used = np.zeros(4096, np.uint32), 0, 0
+        self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def word_ids(self, word: str) -> list[int]:
         mapped = "".join(self.chars[b] for b in word.encode("utf-8", "surrogatepass"))
@@ -127,43 +127,40 @@ class Encoder:
         return (block.codes, *spaced_starts(block.codes, cls))
 
     def _learn(self, c, h, start, end) -> None:
-        """Encode the distinct pre-tokens that the cache lacks."""
+        """Encode the distinct pre-tokens whose hash the cache lacks."""
         h, first = np.unique(h, return_index=True)
-        if self.words + len(h) > self.cache_words:
+        lacks = self.known_words.table.get(h) < 0
+        h, first = h[lacks], first[lacks]
+        if not len(h):
+            return
+        if self.known_words.n + len(h) > self.cache_words:
             self.reset()
-        ids = [self.word_ids(c[s:e].tobytes().decode("utf-32-le", "surrogatepass")) for s, e in zip(start[first].tolist(), end[first].tolist())]
+        start, end = start[first], end[first]
+        ids = [self.word_ids(c[s:e].tobytes().decode("utf-32-le", "surrogatepass")) for s, e in zip(start.tolist(), end.tolist())]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for w in ids for x in w), np.uint32, int(n.sum()))
-        self.at, self.n_ids = _room(self.at, self.words + len(n)), _room(self.n_ids, self.words + len(n))
-        self.pool = _room(self.pool, self.used + len(flat))
-        self.at[self.words : self.words + len(n)] = self.used + np.cumsum(n) - n
-        self.n_ids[self.words : self.words + len(n)] = n
+        new = self.known_words.add(c, start, end, h)
+        self.at, self.n_ids, self.pool = X.room(self.at, self.known_words.n), X.room(self.n_ids, self.known_words.n), X.room(self.pool, self.used + len(flat))
+        self.at[new], self.n_ids[new] = self.used + np.cumsum(n) - n, n
         self.pool[self.used : self.used + len(flat)] = flat
-        self.table.put(h, np.arange(self.words, self.words + len(n), dtype=np.int64))
-        self.words, self.used = self.words + len(n), self.used + len(flat)
+        self.used += len(flat)
 
     def lookup(self, c, start, end, h=None) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """Cache index of every span (``h``: their hashes); spans over LONG code points come back beside it, encoded."""
-        h = X.span_hash(X.prefix_hash(c), start, end) if h is None else h.copy()
-        long = np.flatnonzero(end - start > X.LONG)
-        apart = {int(i): self.word_ids(c[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")) for i in long}
-        h[long] = 0
-        got = self.table.get(h)
-        miss = got < 0
-        miss[long] = False
-        if miss.any():
-            before = self.words
+        """Cache index of every span (``h``: their hashes); spans over LONG code points, and those whose hash belongs to
+        another word, come back beside it, encoded."""
+        h = X.span_hash(X.prefix_hash(c), start, end) if h is None else h
+        short = np.flatnonzero(end - start <= X.LONG)
+        got = np.full(len(start), -1, np.int64)
+        got[short] = self.known_words.find(c, start[short], end[short], h[short])
+        for _ in range(2):  # once more if learning emptied the cache
+            miss = short[got[short] < 0]
+            if not len(miss):
+                break
+            before = self.known_words
             self._learn(c, h[miss], start[miss], end[miss])
-            if self.words < before or before == 0:  # the cache was emptied: look up all again
-                got = self.table.get(h)
-                miss = got < 0
-                miss[long] = False
-                if miss.any():
-                    self._learn(c, h[miss], start[miss], end[miss])
-                    got = self.table.get(h)
-            else:
-                got[miss] = self.table.get(h[miss])
-        got[long] = -1
+            again = miss if self.known_words is before else short
+            got[again] = self.known_words.find(c, start[again], end[again], h[again])
+        apart = {int(i): self.word_ids(c[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")) for i in np.flatnonzero(got < 0)}
         return got, apart
 
     def encode(self, texts: list[str]):
@@ -191,7 +188,7 @@ class Encoder:
             for i, ids in apart.items():
                 n[i] = len(ids)
             to = np.cumsum(n)
-            flat = self.pool[np.repeat(at - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)] if not apart else self._flat(n, at, to, apart)
+            flat = self.pool[X.spread(at, n)] if not apart else self._flat(n, at, to, apart)
             first = np.searchsorted(start, block.begin)
             last = np.searchsorted(start, block.end)
             ends = np.concatenate(([0], to))
@@ -208,14 +205,6 @@ class Encoder:
         return flat
 
 
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    if len(a) >= n:
-        return a
-    out = np.zeros(max(n, 2 * len(a)), a.dtype)
-    out[: len(a)] = a
-    return out
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -4,8 +4,9 @@ Python's regular expressions cost about a microsecond per word.  Here a
 block of texts becomes one ``uint32`` array; boundaries are comparisons of
 neighbouring character classes, and the hash of any span is the difference
 of two prefix sums (a polynomial hash modulo 2**64 over a random value per
-code point).  Two different words share a hash with a chance of 2**-64 per
-pair; spans over ``LONG`` code points are not looked up by hash at all.
+code point).  Such a hash is quick but weak, so it only finds a word's place:
+``Words`` compares the code points too.  Spans over ``LONG`` code points are
+not kept at all.
 """
 
 from __future__ import annotations
@@ -200,3 +201,66 @@ class HashTable:
             placed = (self.keys[slot] == h) & (self.vals[slot] == v)
             h, v, slot = h[~placed], v[~placed], slot[~placed]
             slot = (slot + 1) & ((1 << self.bits) - 1)
+
+
+def room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, longer if need be, with space for n values."""
+    if len(a) >= n:
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of some spans, one after the other."""
+    to = np.cumsum(size)
+    return np.repeat(start - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
+
+
+class Words:
+    """Distinct words, numbered from 0: found by hash, held against their code points."""
+
+    def __init__(self):
+        self.table, self.n, self.used = HashTable(), 0, 0
+        self.at, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def find(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Number of each span's word; -1 where there is none, or another word has its hash."""
+        got = self.table.get(h)
+        size = end - start
+        got[(got >= 0) & (self.size[got] != size)] = -1
+        on = np.flatnonzero(got >= 0)
+        if len(on):
+            n = size[on]
+            here = spread(start[on], n)
+            there = here + np.repeat(self.at[got[on]] - start[on], n)
+            wrong = np.flatnonzero(c[here] != self.pool[there])
+            if len(wrong):
+                got[on[np.searchsorted(np.cumsum(n), wrong, "right")]] = -1
+        return got
+
+    def add(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Add words of distinct hashes that the table lacks; their numbers."""
+        size = end - start
+        new = np.arange(self.n, self.n + len(h), dtype=np.int64)
+        flat = c[spread(start, size)]
+        self.at, self.size, self.pool = room(self.at, self.n + len(h)), room(self.size, self.n + len(h)), room(self.pool, self.used + len(flat))
+        self.at[new], self.size[new] = self.used + np.cumsum(size) - size, size
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.table.put(h, new)
+        self.n, self.used = self.n + len(h), self.used + len(flat)
+        return new
+
+    def text(self, k: int) -> str:
+        return self.pool[self.at[k] : self.at[k] + self.size[k]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def words_of(texts: list[str]) -> tuple[Words, np.ndarray]:
+    """A table of distinct texts and the number of each in it (-1: another text has its hash)."""
+    words = Words()
+    block = Block(texts, list(range(len(texts))))
+    h = span_hash(prefix_hash(block.codes), block.begin, block.end)
+    _, first = np.unique(h, return_index=True)
+    words.add(block.codes, block.begin[first], block.end[first], h[first])
+    return words, words.find(block.codes, block.begin, block.end, h)

@@ -1,21 +1,26 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table (64-bit hash of a pre-token, its number of
-tokens) of the most frequent pre-tokens, broadcast to every worker; its size
-is bounded by ``FREQUENT`` entries.  Tier two is each worker's own cache,
-filled by the tokenizer's model for pre-tokens that tier one lacks.  No
-pre-token is ever shuffled: the job is a map over the documents.
+Tier one is a compact table (the code points of a pre-token, its number of
+tokens) of the most frequent pre-tokens, broadcast to every worker; it has at
+most ``FREQUENT`` entries of at most textcodes.LONG code points, under 70 MB
+if all are that long, about 2 MB in practice.  Tier two is each worker's own
+cache, filled by the tokenizer's model for pre-tokens that tier one lacks.
 
-Which pre-tokens tier one holds decides how fast the job runs, never what it
-returns, so its frequencies come from a bounded sample of documents
-(``SAMPLE_DOCS``, picked by a hash of the row).
+Frequencies are counted over all documents: every task counts its pre-tokens
+and hands on its most frequent ones, ``TASK_TOP`` at most, which Spark adds up
+by pre-token.  These lists are all that is shuffled; which pre-tokens tier one
+holds (ties: by text) decides how fast the job runs, never what it returns.
 
 Nulls: a null text has 0 bytes and 0 tokens; an empty text too.  Null and
 repeated ids are kept, one row out per row in.  Other columns are ignored.
+Very long texts are counted in pieces cut where a pre-token ends.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,61 +30,65 @@ from kiln.llm import pretoken as PT
 from kiln.llm import textcodes as X
 
 FREQUENT = 1 << 16
-SAMPLE_DOCS = 4000
+TASK_TOP = 1 << 15
+TASK_WORDS = 1 << 20
 
 
 def _frequencies(path: str, top: int):
-    """Map step of the sample: the ``top`` most frequent pre-tokens of this task."""
+    """The ``top`` most frequent pre-tokens of each run of about ``TASK_WORDS`` distinct ones of a task."""
 
     def run(batches):
-        enc, h_all, n_all, k_all = PT.encoder(path), [], [], []
+        enc, words, count = PT.encoder(path), X.Words(), np.zeros(1024, np.int64)
+
+        def best():
+            some = np.argsort(-count[: words.n], kind="stable")[:top]
+            return pa.RecordBatch.from_arrays([pa.array([words.text(k) for k in some.tolist()], pa.string()), pa.array(count[some])], ["word", "k"])
+
         for b in X.slices(batches):
             for block in X.blocks([t for t in b.column(0).to_pylist() if t and enc.plain(t)]):
                 c, start, end = enc.spans(block)
                 h = X.span_hash(X.prefix_hash(c), start, end)
                 short = end - start <= X.LONG
-                c_start, c_end, h = start[short], end[short], h[short]
-                got, _ = enc.lookup(c, c_start, c_end, h)
-                u, first, count = np.unique(h, return_index=True, return_counts=True)
-                h_all.append(u)
-                n_all.append(enc.n_ids[got[first]])
-                k_all.append(count)
-        if h_all:
-            h, n, k = map(np.concatenate, (h_all, n_all, k_all))
-            u, first, back = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=k).astype(np.int64)
-            best = np.argsort(-total, kind="stable")[:top]
-            yield pa.RecordBatch.from_arrays([pa.array(u[best].view(np.int64)), pa.array(n[first][best]), pa.array(total[best])], ["h", "n", "k"])
+                u, first, n = np.unique(h[short], return_index=True, return_counts=True)
+                start, end = start[short][first], end[short][first]
+                new = words.table.get(u) < 0
+                words.add(c, start[new], end[new], u[new])
+                count = X.room(count, words.n)
+                got = words.find(c, start, end, u)
+                np.add.at(count, got[got >= 0], n[got >= 0])
+                if words.n > TASK_WORDS:
+                    yield best()
+                    words, count = X.Words(), np.zeros(1024, np.int64)
+        if words.n:
+            yield best()
 
     return run
 
 
-def frequent_lengths(df: DataFrame, path: str, text: str = "text", entries: int = FREQUENT,
-                     sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, token counts) of the most frequent pre-tokens of a bounded sample of documents."""
+def frequent_words(df: DataFrame, path: str, text: str = "text", entries: int = FREQUENT) -> list[str]:
+    """The most frequent pre-tokens of all documents."""
     rows = df.select(F.col(text).alias("t")).where("t is not null")
-    n = rows.count()
-    part = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(n, 1)) * (1 << 30)))
-    top = (part.mapInArrow(_frequencies(path, entries), "h long, n long, k long")
-           .groupBy("h").agg(F.max("n").alias("n"), F.sum("k").alias("k"))
-           .orderBy(F.desc("k"), "h").limit(entries).select("h", "n").toPandas())
-    return top["h"].to_numpy(np.int64).view(np.uint64).copy(), top["n"].to_numpy(np.int64).copy()
+    top = rows.mapInArrow(_frequencies(path, TASK_TOP), "word string, k long").groupBy("word").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "word").limit(entries)
+    return [r["word"] for r in top.select("word").collect()]
 
 
-_TIER_ONE: dict[int, X.HashTable] = {}
+_TIER_ONE: dict[str, tuple] = {}
 
 
-def _tier_one(shared) -> X.HashTable:
-    if shared.value[0] not in _TIER_ONE:
+def _tier_one(shared) -> tuple[X.Words, np.ndarray]:
+    """The broadcast pre-tokens as a table, with their numbers of tokens."""
+    name, texts, n = shared.value
+    if name not in _TIER_ONE:
         _TIER_ONE.clear()
-        _, h, n = shared.value
-        table = X.HashTable()
-        table.put(h, n)
-        _TIER_ONE[shared.value[0]] = table
-    return _TIER_ONE[shared.value[0]]
+        words, number = X.words_of(texts) if texts else (X.Words(), np.zeros(0, np.int64))
+        lengths = np.zeros(max(words.n, 1), np.int64)
+        lengths[number[number >= 0]] = np.asarray(n, np.int64)[number >= 0]
+        _TIER_ONE[name] = (words, lengths)
+    return _TIER_ONE[name]
 
 
-def _counts(texts: list, enc: PT.Encoder, frequent: X.HashTable) -> np.ndarray:
+def _counts(texts: list, enc: PT.Encoder, frequent: tuple[X.Words, np.ndarray]) -> np.ndarray:
+    words, lengths = frequent
     out = np.zeros(len(texts), np.int64)
     plain = []
     for i, t in enumerate(texts):
@@ -90,8 +99,9 @@ def _counts(texts: list, enc: PT.Encoder, frequent: X.HashTable) -> np.ndarray:
     for block in X.blocks([texts[i] for i in plain]):
         c, start, end = enc.spans(block)
         h = X.span_hash(X.prefix_hash(c), start, end)
-        n = frequent.get(h)
-        rare = np.flatnonzero((n < 0) | (end - start > X.LONG))
+        got = words.find(c, start, end, h)
+        n = lengths[got]
+        rare = np.flatnonzero(got < 0)
         if len(rare):
             got, apart = enc.lookup(c, start[rare], end[rare], h[rare])
             n[rare] = enc.n_ids[got]
@@ -104,11 +114,11 @@ def _counts(texts: list, enc: PT.Encoder, frequent: X.HashTable) -> np.ndarray:
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 512,
-                 entries: int = FREQUENT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+                 entries: int = FREQUENT) -> DataFrame:
     """Per document: id, bytes, tokens under the tokenizer file ``path``, and whether it exceeds ``limit``."""
     sc = df.sparkSession.sparkContext
-    h, n = frequent_lengths(df, path, text, entries, sample_docs)
-    shared = sc.broadcast((int(h.sum(dtype=np.uint64)) ^ len(h), h, n))
+    enc, texts = PT.encoder(path), frequent_words(df, path, text, entries)
+    shared = sc.broadcast((uuid.uuid4().hex, texts, [len(enc.word_ids(t)) for t in texts]))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -51,6 +51,37 @@ def test_hash_table():
     assert (table.get(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
 
+def thue_morse(a, b, n=256):
+    word = "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    return [word, word.translate({ord(a): b, ord(b): a})]
+
+
+COLLIDING = [w for a, b in ("榶縄", "泛余") for w in thue_morse(a, b)]
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    block = textcodes.Block(COLLIDING, list(range(4)))
+    h = textcodes.span_hash(textcodes.prefix_hash(block.codes), block.begin, block.end)
+    assert h[0] == h[1] and h[2] == h[3]  # the case this test is about
+    for path in (BYTES, WORDS):
+        for order in (COLLIDING, COLLIDING[::-1], COLLIDING + COLLIDING):
+            enc = pretoken.Encoder(path)
+            assert [ids.tolist() for _, ids in enc.encode(order)] == [ids_of(path, t) for t in order]
+    df = spark.createDataFrame(list(enumerate(COLLIDING + COLLIDING[:2])), "doc_id long, text string").coalesce(1)
+    for entries in (1, 2, 100):
+        got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(df, BYTES, entries=entries).collect()}
+        assert got == {i: len(ids_of(BYTES, t)) for i, t in enumerate(COLLIDING + COLLIDING[:2])}
+    words, number = textcodes.words_of(["ab", *COLLIDING, "cd", "ab"])
+    assert sorted(number.tolist()).count(-1) == 2 and words.text(int(number[0])) == "ab"
+    check_pack([(i, t) for i, t in enumerate(COLLIDING)], packing.pack(df.where("doc_id < 4"), WORDS).collect())
+
+
+def test_frequent_words_are_counted_over_all_documents(spark):
+    texts = [" rare", " the cat", " the dog", " the the", " cat"] * 3 + [" b a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert tokencount.frequent_words(df, BYTES, entries=3) == [" the", " cat", " dog"]  # ties by text
+
+
 def test_count_tokens(spark):
     rows = [(i, t, "x", "y") for i, t in enumerate(ODD)] + [(None, "no id", None, None), (7, None, None, None), (7, ODD[7], "x", "y")]
     df = spark.createDataFrame(rows, TABLE).repartition(3)
