@@ -11,6 +11,7 @@ Fitting takes at most about ``PER_LANG`` labelled rows of each language, by
 hash of the row.  The score is the family's probability times that of the
 language within it.
 
+Equal margins go to the family or language that comes first in the model.  Very long texts are read in pieces that overlap by two characters.
 A text that is null or has no letter is ``und`` with score 0.  Without any
 labelled row every text is ``und``.  Null and repeated ids keep their rows;
 extra columns are ignored; an empty table gives no rows.
@@ -75,13 +76,16 @@ def ngrams(block: X.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = block.end - 1
     any2[at[at >= block.begin]] = False
     two[~any2], three[~any3] = _NONE, _NONE
-    return two, three, letter[:-2]
+    letter = letter[:-2]
+    for end, n in zip(block.end[block.ahead > 0].tolist(), block.ahead[block.ahead > 0].tolist()):  # counted with the next piece
+        two[end - n : end], three[end - n : end], letter[end - n : end] = _NONE, _NONE, False
+    return two, three, letter
 
 
 def _profiles(texts: list[str]):
     """Counts of the n-gram buckets of each text."""
     out = [np.zeros(_NONE + 1, np.float32) for _ in texts]
-    for block in X.blocks(texts):
+    for block in X.blocks(texts, ahead=2):
         two, three, _ = ngrams(block)
         for who, s, e in zip(block.owner.tolist(), block.begin.tolist(), block.end.tolist()):
             out[who] += np.bincount(two[s:e], minlength=_NONE + 1) + np.bincount(three[s:e], minlength=_NONE + 1)
@@ -173,7 +177,7 @@ class Model:
         """Margins of each whole text and whether it has a letter."""
         total = np.zeros((len(texts), self.table.shape[1]))
         n, letters = np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for block in X.blocks(texts):
+        for block in X.blocks(texts, ahead=2):
             two, three, letter = ngrams(block)
             s = self.table[two] + self.table[three]
             counted = (two != _NONE).astype(np.int32) + (three != _NONE)

@@ -7,15 +7,16 @@ kept; all later ones are covered: the lines that at least one of them covers
 are removed and the rest is joined again.  Overlapping windows of a longer
 repeated passage cover it whole.
 
-Shape: windows are hashed inside the document's row (96 bits), counted with
-map-side combining, and only windows that occur more than once are kept as a
+Shape: windows are hashed inside the document's row (every line twice, with
+different seeds: 128 bits), counted with map-side combining, and only windows that occur more than once are kept as a
 table.  Its join with all windows is between two fresh exchanges, so the
 adaptive planner splits a window that a third of the documents share.  What
 comes back is one list of window starts per document.
 
 Texts with fewer than three lines have no window and stay as they are, as do
 null and empty texts (no lines: 0; an empty text has one).  Rows with equal id and
-text are treated alike.  Extra columns are ignored.
+text are treated alike.  Texts of any length are one row.  Extra columns are
+ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ LINES = 3
 def _windows(df: DataFrame) -> DataFrame:
     """``doc_id, th, pos, k1, k2``: one row per window."""
     lines = F.split("text", "\n")
-    hashed = df.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(x) != "").alias("full"))).alias("l"))
+    hashed = df.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("again"), x).alias("g"), (F.trim(x) != "").alias("full"))).alias("l"))
     hashed = hashed.where(F.size("l") >= LINES)
 
     def window(i):
         part = [F.get("l", i + k) for k in range(LINES)]
-        h = [p["h"] for p in part]
+        h, g = [p["h"] for p in part], [p["g"] for p in part]
         full = part[0]["full"] | part[1]["full"] | part[2]["full"]
-        return F.struct(i.alias("pos"), F.xxhash64(*h).alias("k1"), F.hash(*h).alias("k2"), full.alias("full"))
+        return F.struct(i.alias("pos"), F.xxhash64(*h).alias("k1"), F.xxhash64(*g).alias("k2"), full.alias("full"))
 
     each = F.transform(F.sequence(F.lit(0), F.size("l") - LINES), window)
     return hashed.select("doc_id", "th", F.inline(each)).where("full").drop("full")

@@ -12,7 +12,9 @@ Output and mean are linear, so for scoring each vector is reduced to its
 share of the two classes' margin: one number per bucket, added over all
 n-grams of the whole text.
 
-A null or empty text has no feature and gets the score of the bias.  Label
+Very long texts are read in pieces that overlap by three characters and know
+the word in front.  A score of just 0.5 has no side; equal documents have equal
+scores.  A null or empty text has no feature and gets the score of the bias.  Label
 rows with a null id or label, or ids labelled both ways, teach nothing.
 Without labelled rows every score is 0.5.  Null and repeated ids keep their
 rows; extra columns are ignored; an empty table gives no rows.
@@ -61,16 +63,19 @@ def features(block: X.Block) -> list[tuple[np.ndarray, np.ndarray]]:
     word = X.span_hash(X.prefix_hash(c), start, end)
     out.append((start, ((word * np.uint64(0xA0761D6478BD642F)) >> shift).astype(np.int64)))
     same = np.flatnonzero(word[1:] == word[:-1]) + 1
-    first = np.searchsorted(start, block.begin)  # the first word of a text repeats nothing
-    same = np.setdiff1d(same, first)
+    first = np.searchsorted(start, block.begin)  # the first word of a text repeats nothing, that of a later piece perhaps the word in front
+    again = [k for k, w in zip(first.tolist(), block.before) if w and k < len(start) and X.codes(w).tolist() == c[start[k] : end[k]].tolist()]
+    same = np.union1d(np.setdiff1d(same, first), np.asarray(again, np.int64))
     out.append((start[same], np.full(len(same), _REPEAT)))
+    for end, n in zip(block.end[block.ahead > 0].tolist(), block.ahead[block.ahead > 0].tolist()):  # counted with the next piece
+        out = [(np.delete(at, slice(*np.searchsorted(at, (end - n, end)))), np.delete(b, slice(*np.searchsorted(at, (end - n, end))))) for at, b in out]
     return out
 
 
 def _sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of a table's values over each text's features, and their number."""
     total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for block in X.blocks(texts):
+    for block in X.blocks(texts, ahead=3):
         for at, bucket in features(block):
             run = np.concatenate(([0.0], np.cumsum(table[bucket], dtype=np.float64)))
             s, e = np.searchsorted(at, block.begin), np.searchsorted(at, block.end)
@@ -84,7 +89,7 @@ def _bags(batches):
     for b in X.slices(batches):
         for i, t in enumerate(b.column(0).to_pylist()):
             bag = np.zeros(_NONE, np.int64)
-            for block in X.blocks([t]):
+            for block in X.blocks([t], ahead=3):
                 for _, bucket in features(block):
                     bag += np.bincount(bucket, minlength=_NONE)
             on = np.flatnonzero(bag)

@@ -106,8 +106,10 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 class Block:
     """Some whole texts (or parts of very long ones) as one array with a separator after each."""
 
-    def __init__(self, texts: list[str], owner: list[int]):
+    def __init__(self, texts: list[str], owner: list[int], ahead: list[int] | None = None, before: list[str] | None = None):
         self.owner = np.asarray(owner, np.int64)
+        self.ahead = np.asarray(ahead if ahead else [0] * len(texts), np.int64)  # characters at a piece's end that the next piece begins with
+        self.before = before if before else [""] * len(texts)  # the word in front of a piece that is no beginning
         self.codes = codes("\n".join(texts) + "\n")
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         self.begin = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
@@ -130,27 +132,32 @@ def _cut(text: str, at: int) -> int:
         at += 1
 
 
-def blocks(texts, limit: int = BLOCK_CHARS) -> Iterator[Block]:
-    """Blocks of about ``limit`` characters; longer texts are cut between words."""
+def blocks(texts, limit: int = BLOCK_CHARS, ahead: int = 0) -> Iterator[Block]:
+    """Blocks of about ``limit`` characters; longer texts are cut between words, each piece with ``ahead`` characters of the next."""
     part: list[str] = []
     owner: list[int] = []
+    extra: list[int] = []
+    before: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         at = 0
         while True:
             to = len(text) if len(text) - at <= 2 * limit else _cut(text, at + limit)
-            piece = text[at:to] if at or to < len(text) else text
+            more = min(ahead, len(text) - to)
+            piece = text[at : to + more] if at or to + more < len(text) else text
             if part and size + len(piece) > limit:
-                yield Block(part, owner)
-                part, owner, size = [], [], 0
+                yield Block(part, owner, extra, before)
+                part, owner, extra, before, size = [], [], [], [], 0
             part.append(piece)
             owner.append(i)
+            extra.append(more)
+            before.append(text[text.rfind(" ", 0, at) + 1 : at].split()[-1] if at else "")
             size += len(piece) + 1
             at = to
             if at >= len(text):
                 break
     if part:
-        yield Block(part, owner)
+        yield Block(part, owner, extra, before)
 
 
 class HashTable:
