@@ -12,13 +12,19 @@ plus the bounds left is still competitive.  A shard's first rows are scored
 whole, which gives the others a bar.  Each shard returns its k best rows of
 every query, and those lists are merged.
 
-Queries are dealt into blocks, and every block meets every shard through an
-equi-join on the shard number: memory is bounded by a shard and a block.
-
-Rows take part if their id is not null and their vector has only finite
-components; shorter vectors count as ending in zeros.  Ties go to the
-smaller id.  A query's own id is never among its results; repeated rows
-are.  Extra columns are ignored; an empty table gives no rows.
+Shards and blocks of queries meet in a grid: a cell holds up to about
+``CELL_SHARDS`` shards and ``CELL_BLOCKS`` blocks, every shard goes to the cells
+of one row and every block to those of one column.  Weights travel in the
+smallest integers that hold them.  Memory is bounded by a cell, and nothing is
+copied more often than there are groups on the other side.
+
+Rows take part if their id is not null, their vector has only finite
+components, and no weight is beyond 2**31 / sqrt(width): all scores then fit
+into 64 bits.  Shorter vectors count as ending in zeros.  Every query row has a
+list of its own, a repeated one too; an id that holds several vectors has a
+list for each of its query rows.  Rows with the query's id are never among its
+results, whatever their vector; other repeated rows are, each for itself.  Ties
+go to the smaller id.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 512
 FIRST_ROWS = 256
 TERMS_AT_ONCE = 8
+CELL_SHARDS, CELL_BLOCKS = 64, 256
 SCALE = 256
 
 
@@ -43,6 +50,17 @@ def _weights(column, scale: int, width: int | None = None) -> np.ndarray:
     return np.floor(scale * matrix(column, width)).astype(np.int64)
 
 
+def _small(w: np.ndarray) -> tuple[int, bytes]:
+    """Bytes a weight, and the weights as integers of that size."""
+    most = int(np.abs(w).max(initial=0))
+    size = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return size, np.ascontiguousarray(w.T).astype(f"i{size}").tobytes()
+
+
+def _large(size: int, raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{size}").reshape(width, -1).astype(np.int64)
+
+
 def _blocks(rows: int, scale: int, width: int):
     """Rows of a split as blocks: ``block`` number, ids and integer weights (one row per term)."""
 
@@ -51,8 +69,8 @@ def _blocks(rows: int, scale: int, width: int):
         ids, weights, held = [], [], 0
 
         def out():
-            w = np.concatenate(weights)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(w.T).tobytes()], pa.binary())], ["block", "ids", "weights"])
+            size, raw = _small(np.concatenate(weights))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([raw], pa.binary())], ["block", "size", "ids", "weights"])
 
         for b in batches:
             for at in range(0, b.num_rows, rows):
@@ -60,7 +78,7 @@ def _blocks(rows: int, scale: int, width: int):
                 if held + part.num_rows > rows:
                     yield from out()
                     ids, weights, held, number = [], [], 0, number + 1
-                ids.append(part.column(0).to_numpy())
+                ids.append(part.column(0).to_numpy() if pa.types.is_integer(part.column(0).type) else part.column(0).flatten().to_numpy())
                 weights.append(_weights(part.column(1), scale, width))
                 held += part.num_rows
         if held:
@@ -127,47 +145,60 @@ class Shard:
 
 
 def _search(k: int, width: int):
-    def run(batches):
-        for b in batches:
-            for ids, weights, q_ids, q_weights in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                w = np.frombuffer(weights, np.int64).reshape(width, len(ids))
-                q = np.frombuffer(q_weights, np.int64).reshape(width, len(q_ids)).T
+    def run(shards: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = []
+        asked = [(np.frombuffer(ids, np.int64).reshape(-1, 2), _large(size, raw, width).T) for size, ids, raw in zip(*[blocks.column(c).to_pylist() for c in ("size", "ids", "weights")])]
+        for size, ids, raw in zip(*[shards.column(c).to_pylist() for c in ("size", "ids", "weights")]):
+            w = _large(size, raw, width)
+            for q_ids, q in asked:
                 kind = _exact_type(w, q)
-                shard = Shard(ids, w.astype(kind))
-                got = [shard.search(int(i), x, k) for i, x in zip(q_ids, q.astype(kind))]
-                n = [len(g[0]) for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))], ["query_id", "vec_id", "score"])
+                shard = Shard(np.frombuffer(ids, np.int64), w.astype(kind))
+                for (row, own), x in zip(q_ids.tolist(), q.astype(kind)):
+                    found, score = shard.search(own, x, k)
+                    out.append((np.full(len(found), row), np.full(len(found), own), found, score.astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _fitting(df: DataFrame, scale: int, width: int) -> DataFrame:
+    """The rows whose weights are small enough for scores of 64 bits."""
+    most = 2.0**31 / width**0.5
+    return df.where(F.forall("v", lambda x: F.abs(x) * scale <= most))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of highest integer inner product for every query row."""
     data, asked = usable(rows, id_col, vector), usable(queries, id_col, vector)
     width = max(1, data.agg(F.max(F.size("v"))).first()[0] or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
-    fields = "block long, ids binary, weights binary"
-    shards = saved(data.mapInArrow(_blocks(SHARD_ROWS, scale, width), fields))
-    numbers = shards.select(F.col("block").alias("shard"))
+    fields = "block long, size long, ids binary, weights binary"
+    shards = saved(_fitting(data, scale, width).mapInArrow(_blocks(SHARD_ROWS, scale, width), fields))
+    asked = saved(_fitting(asked, scale, width)).withColumn("row", F.monotonically_increasing_id())  # tells repeated query rows apart
+    asked = asked.select(F.array("row", "vec_id").alias("vec_id"), "v")
     blocks = saved(asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "vec_id").mapInArrow(_blocks(QUERY_ROWS, scale, width), fields))
-    # every block of the query set meets every shard: the shard numbers go to the blocks as one list per block
-    listed = numbers.agg(F.collect_list("shard").alias("all"))  # 8 bytes for each SHARD_ROWS rows
-    meets = (blocks.select("ids", "weights", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one")
-             .select(F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"), F.explode("all").alias("block")))
-    found = (shards.join(meets, "block").select("ids", "weights", "q_ids", "q_weights")
-             .mapInArrow(_search(k, width), "query_id long, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    groups = lambda n, most: -(-n // min(most, max(1, round(n**0.5))))
+    across, down = groups(shards.count(), CELL_SHARDS), groups(blocks.count(), CELL_BLOCKS)
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(max(n, 1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    left = shards.select(place(across).alias("x"), every(down).alias("y"), "size", "ids", "weights")
+    right = blocks.select(every(across).alias("x"), place(down).alias("y"), "size", "ids", "weights")
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda a, b: _search(k, width)(a, b), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WITH f AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-t AS (SELECT vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS w FROM v),
+v AS (
+  SELECT row, vec_id, list_transform(e, lambda x: x::BIGINT) AS e FROM f, (SELECT 2147483648 / sqrt(greatest(1, max(len(e)))) AS most FROM f)
+  WHERE len(e) = 0 OR greatest(list_max(e), -list_min(e)) <= most),
+t AS (SELECT row, vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS w FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, sum(q.w * r.w)::BIGINT AS score
-  FROM t q JOIN t r ON q.i = r.i AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.row AS q_row, q.vec_id AS query_id, r.row AS r_row, r.vec_id AS vec_id, sum(q.w * r.w)::BIGINT AS score
+  FROM t q JOIN t r ON q.i = r.i AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """

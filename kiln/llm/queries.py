@@ -90,6 +90,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_top_k": maxscore.ORACLE,
+    "op3_ego_join": egojoin.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
     "op12_source_divergence": divergence.ORACLE,

@@ -72,6 +72,26 @@ def test_top_k_sql(spark):
     assert sorted(con.sql(maxscore.ORACLE).fetchall()) == sorted(map(tuple, maxscore.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()))
 
 
+def test_top_k_of_repeated_ids_and_huge_values(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [-1.0, 1.0]), (3, [1e300, 0.0]), (100, [1e300, 1.0]), (4, [0.25, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, maxscore.top_k(df, df.where("vec_id % 50 = 0"), 3).collect()))
+    one = [(1, 1, 128 * 256), (2, 1, 128 * 256), (3, 4, 64 * 256)]
+    other = [(1, 2, 256 * 256), (2, 4, 128 * 256), (3, 1, 64 * 256)]
+    assert got == sorted((50, *x) for x in one + one + other)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    five = sorted(map(tuple, maxscore.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()))
+    assert sorted(con.sql(maxscore.ORACLE).fetchall()) == five
+
+
+def test_near_duplicates_of_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0]), (0, [-1.0, 0.0]), (0, [0.0, 2.0]), (9, [-1.0, 0.01])]
+    got = sorted(map(tuple, egojoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == sorted([(1, 1, 1, True), (1, 3, 0, False), (2, 1, 1, False), (3, 3, 0, False), (4, 3, 0, False), (0, 1, 0, True), (0, 3, 0, True), (9, 1, 0, False)])
+
+
 def components_by_hand(known, threshold):
     ids = [i for i, _ in known]
     unit = np.array([v / np.linalg.norm(v) for _, v in known])
