@@ -3,19 +3,31 @@
 1. *Score.*  Each page's containers are scored by the text of the blocks
    below them; a block counts less for containers further up, more in
    elements that are made for main text, and nothing inside boilerplate.
-   The best one is widened to those further out that add text, so that the
-   fade chooses between containers but drops no lead or closing paragraph.
+   The best one (of equal ones the outermost, then the first) is widened to
+   those further out that add text, so that the fade chooses between
+   containers but drops no lead or closing paragraph.
 2. *Vote.*  A container's path is generalised: tags with their class words,
    digits replaced by ``#``, no ids that number things.  Each page votes for
    its best container's path with that container's share of the page's
-   text.  Spark adds the votes of a host and keeps the winning path.
+   text, and names its hinted boxes (below) by a hash of their text.  Spark
+   adds the votes of a host and keeps the winning path, of equal ones the
+   last in order of text, and the boxes that most of its pages have.
 3. *Extract again.*  Every page is read again with its host's winning path:
    the containers on that path give the text.  A page without such a
    container, or without a host, uses its own best container.
 
-Only votes (host, path, weight) are shuffled, combined on the map side; the
-winners, one row per host, are broadcast if there are at most
-``BROADCAST_HOSTS`` of them and joined through an exchange beyond that.
+What is boilerplate: elements made for it, roles, hidden elements; and boxes
+whose class or id says so in full, that is in words of ``SKIPPED_WORDS`` and
+``STRUCTURE`` alone.  Any other box with such a word, and any list or table,
+is only hinted at: it goes if most of its text is in links or if most pages of
+the host have the same.  In an article or main element a box of prose stays
+too, unless it is named for adverts, notices or comments.  Headings,
+paragraphs, cells, list items and inline elements go only if a class names
+them an advert; ids of headings and sections say nothing.
+
+Only votes (host, path or box, weight) are shuffled, combined on the map side.
+The winners, one row per host, are joined as the adaptive planner sees fit;
+pages without a host meet nothing and are spread by their own hash.
 
 A page whose html is null, empty or without text has an empty text.  Null
 and repeated ids keep their rows; a null or odd url has no host.  Extra
@@ -24,6 +36,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
@@ -34,7 +47,7 @@ from pyspark.sql import functions as F
 from kiln.llm.components import saved
 from kiln.llm.textcodes import slices
 
-BROADCAST_HOSTS = 50_000
+REPEATS = 3  # a hinted box counts as a host's from so many pages on
 
 # Element names of HTML by their part in a page.
 RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"]
@@ -46,6 +59,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "annotation", "annotation-xml"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption", "caption", "td", "th", "tr",
         "thead", "tbody", "tfoot", "table", "ul", "ol", "dl", "address", "hr", "summary", "figure", "center"}
+LISTS = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "center", "address"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SKIPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "input", "fieldset", "video", "audio", "object", "canvas"}
 MAIN = {"article", "main"}
@@ -57,10 +71,22 @@ SKIPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "sidenav", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead",
                  "topbar", "comment", "comments", "commentlist", "reply", "replies", "respond", "responses", "discussion", "disqus", "widget", "widgets", "toolbar",
                  "copyright", "search", "skip", "teaser", "outbrain", "taboola", "print", "hidden", "form"}
+# Words that say where a box stands or what it holds, not that it is main text.
+STRUCTURE = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "col", "column", "container", "content", "entry", "grid", "group",
+             "holder", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "article", "articles",
+             "primary", "region", "right", "row", "secondary", "section", "site", "slot", "stories", "story", "text", "title", "top", "unit", "wrap", "wrapper", "zone",
+             "app", "css", "js", "mw", "td", "vc", "wp"}
+# A name with one of these speaks of what is not there.
+DENIALS = {"no", "not", "non", "has", "have", "with", "without"}
+# Classes that name any element an advert.
+AD_CLASSES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsored"}
+PROSE = 140  # characters outside of links that make a box in an article prose
 # Of these, the ones that page builders also give to boxes of main text.
 WEAK_WORDS = {"widget", "widgets", "print", "form", "skip"}
 # Those that mark readers' comments, and those of boxes that can be longer than a short article.
 TALK_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "responses", "discussion", "disqus"}
+# Of these, the ones that an article's own section may have as its name.
+TOPIC_WORDS = {"reply", "replies", "respond", "responses", "discussion"}
 BOX_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "banner", "sponsor", "sponsored", "promo", "promotion",
              "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
              "subscription", "signup", "signin", "login", "paywall", "outbrain", "taboola"}
@@ -80,30 +106,50 @@ ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BLANKS = re.compile(r"\s+")
 FADE = 0.95
-PATH_STEPS = 40
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "step", "mark", "score", "holds_main")
+    __slots__ = ("tag", "parent", "depth", "step", "mark", "score", "holds_main", "path_length")
 
     def __init__(self, tag, parent, step, mark):
         self.tag, self.parent, self.step, self.mark = tag, parent, step, mark
         self.depth = parent.depth + 1 if parent else 0
+        self.path_length = parent.path_length + (len(step) + 1 if self.on_path() else 0) if parent else 0
         self.score, self.holds_main = 0.0, False
 
+    def on_path(self) -> bool:
+        return self.tag not in LEAF and self.tag not in INLINE
+
     def path(self) -> str:
-        """The generalised path: the innermost ``PATH_STEPS`` elements that can hold blocks."""
+        """The generalised path: all elements around it that can hold blocks."""
         steps, n = [], self
-        while n.parent is not None and len(steps) < PATH_STEPS:
-            if n.tag not in LEAF and n.tag not in INLINE:
+        while n.parent is not None:
+            if n.on_path():
                 steps.append(n.step)
             n = n.parent
         return ">".join(reversed(steps))
 
 
+def _name_mark(name: str) -> str:
+    """How a class or an id marks a box: "talk", "box", "word" or "weak" if all its words say so, "hint" if some do, or ""."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    found = words & SKIPPED_WORDS
+    if not found or words & DENIALS:
+        return ""
+    if words - found - STRUCTURE:
+        return "hint"
+    for mark, those in (("talk", TALK_WORDS), ("box", BOX_WORDS), ("word", SKIPPED_WORDS - WEAK_WORDS)):
+        if found & those:
+            return "topic" if mark == "talk" and found <= TOPIC_WORDS else mark
+    return "weak"
+
+
+_ORDER = ("talk", "box", "word", "topic", "weak", "hint")
+
+
 def _described(tag: str, attrs: str) -> tuple[str, str]:
-    """(the element's step in a generalised path, how its attributes mark boilerplate: "shut" by a role or as hidden,
-    "talk", "box", "word" or "weak" by its words, or "" not at all)."""
+    """(the element's step in a generalised path, how its attributes mark boilerplate: "shut" by a role or as hidden, or
+    by its names, see _name_mark)."""
     if "=" not in attrs and "hidden" not in attrs:
         return tag, ""
     got = {}
@@ -116,15 +162,16 @@ def _described(tag: str, attrs: str) -> tuple[str, str]:
     step = ".".join([tag, *kept])
     if tag in ("html", "body") or tag in MAIN and not any("comment" in n.lower() for n in names):
         return step, ""
-    words = {w.lower() for n in [*names, got.get("id", "")] for w in WORDS.findall(n)}
     style = got.get("style", "").replace(" ", "").lower()
-    found = words & SKIPPED_WORDS
     if got.get("role", "").lower() in SKIPPED_ROLES or "hidden" in got or "display:none" in style:
         return step, "shut"
-    for mark, those in (("talk", TALK_WORDS), ("box", BOX_WORDS), ("word", SKIPPED_WORDS - WEAK_WORDS)):
-        if found & those:
-            return step, mark
-    return step, "weak" if found else ""
+    if tag in LEAF and tag not in LISTS or tag in INLINE:
+        return step, "box" if {n.lower() for n in names} & AD_CLASSES else ""
+    if tag != "section" and "id" in got:
+        names = [*names, got["id"]]
+    marks = {_name_mark(n) for n in names}
+    mark = next((m for m in _ORDER if m in marks), "")
+    return step, "hint" if mark and tag in LISTS and mark not in ("talk", "box") else mark
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -167,7 +214,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             step, marked = _described(tag, m["attrs"]) if m["attrs"] and not m["end"] else (tag, "")
             if marked and not m["void"]:  # a hidden or advert span is a box of its own
                 flush()
-                node = Node(tag, stack[-1], step, "word" if marked == "weak" else marked)
+                node = Node(tag, stack[-1], step, marked)
                 stack.append(node)
                 nodes.append(node)
             elif m["end"] and stack[-1].tag == tag:
@@ -265,7 +312,61 @@ def _wrappers(blocks, titled: set[int]) -> set[int]:
     return {k for k, (v, mark) in size.items() if (10 * v > 9 * total if mark == "box" else 2 * v > total)}
 
 
-def _skipped(node: Node, titled: set[int], seen: dict[int, bool]) -> bool:
+class _Boxes:
+    """Text and links below every marked element, for those that a name alone does not settle."""
+
+    def __init__(self, blocks):
+        self.size: dict[int, int] = {}
+        self.links: dict[int, int] = {}
+        self.texts: dict[int, list[str]] = {}
+        self.talk: set[int] = set()
+        for node, text, links in blocks:
+            n, talk = node, False
+            while n is not None:
+                if n.mark:
+                    self.size[id(n)] = self.size.get(id(n), 0) + len(text)
+                    self.links[id(n)] = self.links.get(id(n), 0) + links
+                    if n.mark == "hint":
+                        self.texts.setdefault(id(n), []).append(text)
+                    if talk:
+                        self.talk.add(id(n))
+                    talk |= n.mark in ("talk", "topic") or n.tag == "form"
+                n = n.parent
+
+    def linked(self, n: Node) -> bool:
+        return 2 * self.links.get(id(n), 0) > self.size.get(id(n), 0)
+
+    def prose(self, n: Node) -> bool:
+        size, links = self.size.get(id(n), 0), self.links.get(id(n), 0)
+        return size - links >= PROSE and 10 * links < 3 * size
+
+    def name(self, n: Node) -> str:
+        """A hash of a hinted box's text."""
+        return hashlib.blake2b("\n".join(self.texts.get(id(n), [])).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _in_main(n: Node) -> bool:
+    while n is not None:
+        if n.tag in MAIN:
+            return True
+        n = n.parent
+    return False
+
+
+def _shuts(n: Node, wrapper: bool, boxes: _Boxes, repeated) -> bool:
+    """True if the marked element is boilerplate."""
+    if n.mark == "tag":
+        return not wrapper if n.tag == "form" else True
+    if n.mark == "hint":
+        return boxes.linked(n) or bool(repeated) and boxes.name(n) in repeated
+    if n.mark == "topic" and not wrapper and id(n) not in boxes.talk and not boxes.linked(n) and _in_main(n.parent):
+        return False
+    if n.mark in ("word", "weak") and not wrapper and _in_main(n.parent) and boxes.prose(n):
+        return False
+    return not wrapper
+
+
+def _skipped(node: Node, titled: set[int], seen: dict[int, bool], boxes: _Boxes, repeated=()) -> bool:
     """True inside boilerplate."""
     chain = []
     n = node
@@ -275,8 +376,7 @@ def _skipped(node: Node, titled: set[int], seen: dict[int, bool]) -> bool:
     out = seen[id(n)] if n is not None else False
     for n in reversed(chain):
         if not out and n.mark:
-            wrapper = n.holds_main or id(n) in titled
-            out = not wrapper if n.tag == "form" or n.mark != "tag" else True
+            out = _shuts(n, n.holds_main or id(n) in titled, boxes, repeated)
         seen[id(n)] = out
     return out
 
@@ -289,7 +389,7 @@ def _heading_of_article(node: Node) -> bool:
         heading |= n.tag in HEADINGS
         if n.tag in MAIN:
             return heading and header
-        if n.mark:
+        if n.mark and n.mark != "hint":
             if n.tag == "header" or n.mark != "tag" and n.tag == "div":
                 header = n.tag == "header"
                 if not header:
@@ -303,10 +403,11 @@ def _heading_of_article(node: Node) -> bool:
 class Page:
     """A parsed page: its clean blocks in order and the scores of their containers."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, repeated=()):
         nodes, blocks = parse(html)
-        titled, seen = _titled(nodes, blocks), {}
-        self.blocks = [(n, t, k) for n, t, k in blocks if not _skipped(n, titled, seen) or _heading_of_article(n)]
+        titled, seen, boxes = _titled(nodes, blocks), {}, _Boxes(blocks)
+        self.blocks = [(n, t, k) for n, t, k in blocks if not _skipped(n, titled, seen, boxes, repeated) or _heading_of_article(n)]
+        self.hinted = sorted({boxes.name(n) for n in nodes if n.mark == "hint" and id(n) in boxes.texts and not seen.get(id(n), True)})
         self.scored: dict[int, Node] = {}
         self.total = 0
         for node, text, links in self.blocks:
@@ -362,7 +463,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Text of the containers on ``path``, widened if they hold the page's top one; of the page's best container if there is none."""
-        chosen = {id(n) for n in self.scored.values() if n.path() == path} if path else set()
+        chosen = {id(n) for n in self.scored.values() if n.path_length == len(path) + 1 and n.path() == path} if path else set()
         n = self.top()
         if n is None:
             return "\n".join(t for _, t, _ in self.blocks)
@@ -388,38 +489,44 @@ def host_of(url: str):
 
 
 def _votes(batches):
+    """Each page's vote for a path, and its hinted boxes (kind 1)."""
     for b in slices(batches):
-        hosts, paths, weights = [], [], []
+        out = []
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             page = Page(html)
             best = page.best()
             if best is not None and page.total:
-                hosts.append(host)
-                paths.append(best.path())
-                weights.append(round(1000 * min(1.0, best.score / page.total)))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.int64())], ["host", "path", "weight"])
+                out.append((host, 0, best.path(), round(1000 * min(1.0, best.score / page.total))))
+                out += [(host, 1, name, 1) for name in page.hinted]
+        hosts, kinds, paths, weights = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(paths, pa.string()), pa.array(weights, pa.int64())], ["host", "kind", "path", "weight"])
 
 
 def _texts(batches):
     for b in slices(batches):
-        out = [Page(h).text(p) if h else "" for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        out = [Page(h, frozenset(r or ())).text(p) if h else "" for h, p, r in zip(*[b.column(i).to_pylist() for i in (2, 3, 4)])]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(3)], ["page_id", "url", "text", "path"])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, path``: the container path that a host's pages agree on."""
+    """``host, path, repeated``: the container path that a host's pages agree on, and the hinted boxes that most of them have."""
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where("host is not null and html is not null")
-    return (rows.mapInArrow(_votes, "host string, path string, weight long")
-            .groupBy("host", "path").agg(F.sum("weight").alias("weight"))
-            .groupBy("host").agg(F.max(F.struct("weight", "path")).alias("top")).select("host", F.col("top.path").alias("path")))
+    votes = saved(rows.mapInArrow(_votes, "host string, kind int, path string, weight long")
+                  .groupBy("host", "kind", "path").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
+    top = votes.where("kind = 0").groupBy("host").agg(F.max(F.struct("weight", "path")).alias("top"), F.sum("n").alias("pages"))
+    common = (votes.where(f"kind = 1 and weight >= {REPEATS}").join(top, "host").where(F.col("weight") * 2 > F.col("pages"))
+              .groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("repeated")))  # most pages have each: no more than twice a page's boxes
+    return top.join(common, "host", "left").select("host", F.col("top.path").alias("path"), "repeated")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: id, url, main text (empty if none), its code points, and the host's path."""
     paths = saved(host_paths(pages, url, html))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    joined = rows.join(F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths, "host", "left")
+    host = host_of(url)
+    key = F.coalesce(host, F.concat(F.lit("?"), F.xxhash64(id_col, html).cast("string")))  # pages without a host are no group
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), key.alias("host"))
+    joined = rows.join(paths, "host", "left")
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url].dataType.simpleString()
-    return (joined.select("page_id", "url", "html", "path")
+    return (joined.select("page_id", "url", "html", "path", "repeated")
             .mapInArrow(_texts, f"page_id {id_type}, url {url_type}, text string, path string")
             .select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path"))

@@ -46,6 +46,22 @@ CASES = {
                        f"{LONG.strip()}\nTwo\nShort."),
     "lead in the body": (f"<body><h1>T</h1><p>The lead.</p><div class=text><p>{LONG}</p></div></body>", f"T\nThe lead.\n{LONG.strip()}"),
     "lead without a body": (f"<p>The lead.</p><div class=text><p>{LONG}</p></div>", f"The lead.\n{LONG.strip()}"),
+    **{f"named {tag} {attrs}": (f"<body><nav>n</nav><article><h1>T</h1><p>{LONG}</p><{tag} {attrs}>{inner}</{tag.split()[0]}><p>End.</p></article><div class=comments><p>{LONG}</p></div></body>",
+                                f"T\n{LONG.strip()}\n{want}\nEnd.")
+       for tag, attrs, inner, want in [
+           ("h2", 'id="related-work"', "Related work", "Related work"), ("h2", 'id="search-and-navigation"', "Search", "Search"), ("h2", "id=form", "Form", "Form"),
+           ("h3", "id=share", "Share", "Share"), ("p", 'class="first print"', "In print.", "In print."), ("ul", 'class="popular-songs"', "<li>One<li class=menu-item>Two", "One\nTwo"),
+           ("dl", "", "<dt id=print>Print</dt><dd class=reply>Said</dd>", "Print\nSaid"), ("table", "class=search", "<tr><td class=social>a</td><td id=menu>b</td></tr>", "a\nb"),
+           ("div", 'class="form-factor"', "<p>The form factor.</p>", "The form factor."), ("section", 'id="discussion"', f"<h2>Discussion</h2><p>{LONG}</p>", f"Discussion\n{LONG.strip()}"),
+           ("div", 'class="survey-responses"', "<p>Ten people answered.</p>", "Ten people answered."), ("div", "class=discussion", f"<p>{LONG}</p>", LONG.strip()),
+           ("div", "class=related", f"<h2>Related work</h2><p>{LONG}</p>", f"Related work\n{LONG.strip()}"),
+           ("p", "", 'An <span class="ad-hoc">ad hoc</span> <em class=reply>reply</em> and <a class=social href=x>a word</a> of it.', "An ad hoc reply and a word of it.")]},
+    **{f"boilerplate {attrs} in an article": (f"<article><h1>T</h1><p>{LONG}</p><{tag} {attrs}>{inner}</{tag}><p>End.</p></article>", f"T\n{LONG.strip()}\nEnd.")
+       for tag, attrs, inner in [
+           ("div", "class=share-buttons", "Share this"), ("ul", 'class="popular-songs"', "<li><a href=x>One song</a><li><a href=y>Two songs</a>"), ("div", "class=related", "<a href=x>Another story</a>"),
+           ("div", 'class="cookie-notice"', f"<p>{LONG}</p>"), ("div", "id=comments", f"<div class=comment><p>{LONG}</p></div>"), ("div", "class=discussion", f"<div class=reply><p>{LONG}</p></div>"),
+           ("section", "class=responses", f"<p>{LONG}</p><form><p>Yours</p></form>"), ("p", "class=advertisement", "Buy!"), ("div", "class='newsletter-signup'", "<p>Your mail?</p>"), ("div", 'class="wp-block-search"', "Find")]},
+    "a path of many steps": ("<body>" + "<div class=a><div class=b>" * 25 + f"<p>{LONG}</p>" + "</div></div>" * 25 + "</body>", LONG.strip()),
     "empty": ("", ""), "null": (None, ""), "nothing but a menu": ("<nav><a href=x>a</a></nav>", ""),
 }
 
@@ -85,10 +101,34 @@ def test_host_consensus_keeps_leads(spark):
     assert got == {i: ("The lead.\n" if i < 2 else "") + LONG.strip() for i in range(6)}
 
 
-def test_many_hosts_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(htmltext, "BROADCAST_HOSTS", 0)
-    df = spark.createDataFrame([(i, f"http://h{i}/", "<article><p>t</p></article>") for i in range(5)], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in htmltext.extract(df).collect()) == ["t"] * 5
+def test_boxes_that_a_host_repeats(spark):
+    """A box whose name only hints goes if most pages of its host have it, and stays where it is a page's own."""
+    page = lambda i, box: f"<article><p>{i} {LONG}</p><div class='promo-strip'><p>{box}</p></div></article>"
+    rows = [(i, "http://a.example/", page(i, "Read our magazine." if i else "Of this page alone.")) for i in range(5)]
+    rows += [(10 + i, "http://b.example/", page(i, f"Text number {i}.")) for i in range(5)] + [(20 + i, None, page(i, "Read our magazine.")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"{i} {LONG}".strip()
+    assert got == {**{i: text(i) + ("" if i else "\nOf this page alone.") for i in range(5)}, **{10 + i: f"{text(i)}\nText number {i}." for i in range(5)},
+                   **{20 + i: f"{text(i)}\nRead our magazine." for i in range(4)}}
+
+
+def test_votes_by_hand(spark):
+    """Scores and votes written out for pages of one host; of equal votes the last path in order."""
+    def page(**sizes):
+        return "<body>" + "".join(f"<div class={k}><div class=in><p>{'x' * n}</p></div></div>" for k, n in sizes.items()) + "</body>"
+
+    sizes = [{"a": 900, "b": 100}, {"a": 100, "b": 800}, {"b": 500, "c": 500}, {"c": 1}]
+    votes = {}
+    for s in sizes:
+        scores = {f"body>div.{k}>div.in": float(n) for k, n in s.items()}
+        scores |= {f"body>div.{k}": n * 0.95 for k, n in s.items()} | {"body": sum(s.values()) * 0.95**2}
+        best = max(scores, key=lambda p: (scores[p], -p.count(">")))
+        votes[best] = votes.get(best, 0) + round(1000 * min(1.0, scores[best] / sum(s.values())))
+    rows = [(i, "http://h.example/", page(**s)) for i, s in enumerate(sizes)]
+    got = htmltext.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got["path"] == max(votes, key=lambda p: (votes[p], p)) and got["repeated"] is None
+    tie = [(0, "http://t.example/", page(a=9)), (1, "http://t.example/", page(b=9))]
+    assert htmltext.host_paths(spark.createDataFrame(tie, "page_id long, url string, html string")).first()["path"] == "body>div.b>div.in"
 
 
 def test_deep_and_long_pages():
