@@ -87,6 +87,27 @@ def retain(df: DataFrame, ts: str, depth: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {{d}} WHERE `{ts}` >= (SELECT max(`{ts}`) FROM {{d}}) - INTERVAL {interval}", d=df)
 
 
+def write_by_date(df: DataFrame, ts: str, path: str, unit: str = "day") -> str:
+    """A table laid out by the day, month or year of ``ts`` (folders ``_date``)."""
+    df.withColumn("_date", F.to_date(F.date_trunc(unit, F.col(ts)))).repartition("_date").write.partitionBy("_date").parquet(path)
+    return path
+
+
+def retain_by_date(spark, path: str, ts: str, depth: str, unit: str = "day") -> DataFrame:
+    """G5 on a table laid out by date: rows no older than ``depth`` before the newest ``ts``.
+
+    The newest folder comes from the folder names alone, the newest time from
+    that folder's rows; both are scalar subqueries, so at run time the scan
+    leaves out the folders of older dates.  Rows without a time are not retained.
+    """
+    rows = spark.read.parquet(path)
+    interval = RETENTION[depth]
+    if interval is None:
+        return rows.drop("_date")
+    oldest = f"(SELECT max(`{ts}`) - INTERVAL {interval} FROM {{d}} WHERE _date = (SELECT max(_date) FROM {{d}}))"
+    return spark.sql(f"SELECT * EXCEPT (_date) FROM {{d}} WHERE _date >= to_date(date_trunc('{unit}', {oldest})) AND `{ts}` >= {oldest}", d=rows)
+
+
 # G7 / J5 ----------------------------------------------------------------------
 def lineage_paths(edges: DataFrame, group: str = "project_id") -> DataFrame:
     """Reachability closure ``(group, src, dst, depth)`` with the shortest depth, to the fixpoint (see graph.shortest_paths)."""

@@ -2,7 +2,10 @@
 
 One scan per table: row count and a distinct count of every column come
 out of a single aggregate (partial aggregation on every task, one small
-final merge).  What needs names and types only reads the schemas.
+final merge).  The exact counts deal every row's values out as (column number,
+value as 128 bits) and aggregate those twice over one exchange: no row is
+copied whole, long texts travel as hashes.  What needs names and types only
+reads the schemas.
 """
 
 from __future__ import annotations
@@ -27,14 +30,48 @@ def schema_columns(tables: dict) -> DataFrame:
         is_key_name("column_name").alias("is_key"), is_pii_name("column_name").alias("is_pii"))
 
 
+_WHOLE = {"boolean", "tinyint", "smallint", "int", "bigint", "date", "timestamp", "timestamp_ntz"}  # fit a long as they are
+
+
+def _value(name: str, kind: str):
+    """A column's value as two longs, NULL for NULL: itself where it fits one, else two hashes with different seeds (of texts
+    for nested values, whose own hashes skip NULLs)."""
+    c = F.col(f"`{name}`")
+    if kind == "date":
+        pair = F.struct(F.unix_date(c).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    elif kind.startswith("timestamp"):
+        pair = F.struct(F.unix_micros(c.cast("timestamp")).alias("a"), F.lit(0).cast("long").alias("b"))
+    elif kind in _WHOLE:
+        pair = F.struct(c.cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    else:
+        v = c + F.lit(0).cast(kind) if kind in ("double", "float") else c  # one zero
+        if kind.startswith(("array", "struct")):
+            v = v.cast("string")
+        pair = F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit("again"), v).alias("b"))
+    return F.when(c.isNotNull(), pair)
+
+
+def exact_counts(df: DataFrame) -> tuple[int, list[int]]:
+    """(rows, distinct values of each column), without NULLs."""
+    cells = [F.struct(F.lit(i).alias("c"), _value(f.name, f.dataType.simpleString()).alias("v")) for i, f in enumerate(df.schema.fields)]
+    none = F.struct(F.lit(-1).alias("c"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("v"))  # one cell of each row
+    each = df.select(F.explode(F.array(none, *cells)).alias("x")).where("x.v is not null").select("x.c", "x.v.a", "x.v.b")
+    got = each.groupBy("c", "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"))
+    by = {r["c"]: r for r in got.collect()}  # a row per column
+    return by[-1]["n"] if by else 0, [by[i]["d"] if i in by else 0 for i in range(len(cells))]
+
+
 def _profile_one(name: str, source, exact: bool):
-    """(row count, [(column fields)], error) of one table: one aggregate over one scan, one row back."""
+    """(row count, [(column fields)], error) of one table: one aggregate over one scan."""
     try:
         df = source() if callable(source) else source
-        count = F.count_distinct if exact else F.approx_count_distinct
-        aggs = [count(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(df.schema.fields)]
-        got = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-        return got["n"], [(name, i, f.name, f.dataType.simpleString(), f.nullable, got[f"d{i}"]) for i, f in enumerate(df.schema.fields)], None
+        fields = df.schema.fields
+        if exact:
+            n, distinct = exact_counts(df)
+        else:
+            got = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(fields)]).first()
+            n, distinct = got["n"], [got[f"d{i}"] for i in range(len(fields))]
+        return n, [(name, i, f.name, f.dataType.simpleString(), f.nullable, distinct[i]) for i, f in enumerate(fields)], None
     except Exception as e:  # whatever is wrong with one table must not stop the others
         return None, [], f"{type(e).__name__}: {e}"
 
@@ -112,3 +149,26 @@ def row_share(tables: DataFrame) -> DataFrame:
         "table_name", "row_count",
         (F.col("row_count") / F.sum("row_count").over(w)).cast("decimal(9,6)").alias("row_share"),
         F.rank().over(Window.orderBy(F.col("row_count").desc())).cast("long").alias("size_rank"))
+
+
+# P8 -------------------------------------------------------------------------
+# Tables and columns that a lean profile shows, by level of detail.
+LEAN_TABLES = {"macro": 100, "meso": 50, "micro": 50}
+LEAN_COLUMNS = {"meso": 8, "micro": 12}
+
+
+def lean_profile(tables: DataFrame, columns: DataFrame, mode: str = "meso", order: str = "table_name") -> DataFrame:
+    """One line of text per profiled table: its name (macro); its row count and first columns with their flags (meso); its
+    first columns with their types (micro).  Only the first tables by ``order`` are shown, fewer the more is said of each."""
+    shown = tables.filter(F.col("row_count").isNotNull()).orderBy(order).limit(LEAN_TABLES[mode])
+    if mode == "macro":
+        return shown.select("table_name", F.concat(F.lit("- "), "table_name").alias("line"))
+    if mode == "meso":
+        text = F.concat("column_name", F.when(F.col("is_key"), "KEY").otherwise(""), F.when(F.col("is_pii"), "PII").otherwise(""))
+    else:
+        text = F.concat("column_name", F.lit("("), "data_type", F.lit(")"))
+    first = (columns.filter(F.col("ordinal") < LEAN_COLUMNS[mode]).groupBy("table_name")
+             .agg(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("text")))).alias("c")))
+    listed = F.concat(F.lit("["), F.array_join(F.coalesce(F.transform("c", lambda x: x["text"]), F.array().cast("array<string>")), ", "), F.lit("]"))
+    rows = F.concat(F.lit(" ("), F.col("row_count").cast("string"), F.lit(" rows)")) if mode == "meso" else F.lit("")
+    return shown.join(first, "table_name", "left").select("table_name", F.concat(F.lit("- "), "table_name", rows, F.lit(": "), listed).alias("line"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions import surrogate_key
 from kiln.operators.common import latest
+from kiln.session import saved
 
 
 def _cols(x) -> list:
@@ -54,23 +55,56 @@ def link(df: DataFrame, name: str, parts: list, load_ts: str, source: str,
 
 
 # W5 -------------------------------------------------------------------------
-def changes(df: DataFrame, key: str, ts: str, diff: str, bucket: Column | None = None) -> DataFrame:
+HEAVY_ROWS = 1_000_000  # of one key in one bucket; more are cut further
+MANY_HEAVY = 50_000
+
+
+def _cuts(x: DataFrame, key: str, ts: str, heavy_rows: int) -> DataFrame | None:
+    """``key, __b, __cuts``: times that cut heavy (key, bucket) groups into parts of about ``heavy_rows``; None if none is heavy."""
+    heavy = saved(x.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows))
+    n = heavy.count()
+    if not n:
+        return None
+    most = heavy.agg(F.max("n")).first()[0]
+    parts = -(-most // heavy_rows)
+    side = F.broadcast(heavy) if n <= MANY_HEAVY else heavy  # otherwise joined through an exchange
+    kind = dict(x.dtypes)[ts]
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(ts)
+    rows = x.select(key, "__b", micros.alias("__t")).join(side.select(key, "__b"), [key, "__b"], "left_semi")
+    cuts = F.percentile_approx("__t", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000))
+    return saved(rows.groupBy(key, "__b").agg(F.array_distinct(cuts).alias("__cuts")))
+
+
+def changes(df: DataFrame, key: str, ts: str, diff: str, bucket: Column | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Rows whose ``diff`` differs from the previous row of the same key (by ``ts``, then ``diff``).
 
     Two levels, so a key with a third of all rows is not sorted in one task:
     ``lag`` runs inside (key, time bucket) partitions; the first row of a
     bucket compares with the last row of the key's previous bucket, found
     from one summary row per (key, bucket).  Default bucket: the day of ``ts``.
+    A bucket of over ``heavy_rows`` rows of one key is cut at quantiles of its
+    times; rows of one time stay together.
     """
     b = bucket if bucket is not None else F.to_date(F.col(ts))
     x = df.withColumn("__b", b)
-    w_in = Window.partitionBy(key, "__b").orderBy(ts, diff)
+    cuts = _cuts(x, key, ts, heavy_rows)
+    if cuts is None:
+        x = x.withColumn("__p", F.lit(0))
+    else:
+        kind = dict(df.dtypes)[ts]
+        at = F.unix_micros(F.col(ts).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(ts)
+        side = cuts.select(F.col(key).alias("__k"), F.col("__b").alias("__kb"), "__cuts")
+        side = F.broadcast(side) if side.count() <= MANY_HEAVY else side
+        x = x.join(side, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__kb")), "left")
+        x = x.withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda c: c < at)), F.lit(0))).drop("__k", "__kb", "__cuts")
+        x = x.withColumn("__p", F.greatest("__p", F.lit(0)))  # size of a null list is -1 or null
+    w_in = Window.partitionBy(key, "__b", "__p").orderBy(ts, diff)
     x = x.withColumn("__prev", F.lag(diff).over(w_in))
-    last = x.groupBy(key, "__b").agg(F.max(F.struct(F.col(ts).alias("t"), F.col(diff).alias("d"))).alias("__l"))
-    prev_b = last.select(key, "__b", F.lag("__l.d").over(Window.partitionBy(key).orderBy("__b")).alias("__pb"))
-    x = x.join(prev_b, [key, "__b"], "left")
+    last = x.groupBy(key, "__b", "__p").agg(F.max(F.struct(F.col(ts).alias("t"), F.col(diff).alias("d"))).alias("__l"))
+    prev_b = last.select(key, "__b", "__p", F.lag("__l.d").over(Window.partitionBy(key).orderBy("__b", "__p")).alias("__pb"))
+    x = x.join(prev_b, [key, "__b", "__p"], "left")
     prev = F.when(F.col("__prev").isNull(), F.col("__pb")).otherwise(F.col("__prev"))
-    return x.filter(prev.isNull() | (prev != F.col(diff))).drop("__b", "__prev", "__pb")
+    return x.filter(prev.isNull() | (prev != F.col(diff))).drop("__b", "__p", "__prev", "__pb")
 
 
 # B9 -------------------------------------------------------------------------

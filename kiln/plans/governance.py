@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kiln.functions import is_key_name, is_pii_name, sql_compare_key, sql_is_pii_name
@@ -11,6 +13,7 @@ from kiln.operators import model as M
 from kiln.operators.profile import tag
 from kiln.plans.fixture_schema import SCHEMAS
 from kiln.plans.fleet import duck_ctes, spark_fleet
+from kiln.session import scratch_path
 from kiln.sources.tables import describe, load
 
 ROLE = "ANALYST"
@@ -48,6 +51,11 @@ def retained_orders(spark, sf):
     return G.retain(load(spark, sf, "orders"), "o_orderdate", "1 year")
 
 
+def retained_by_date(spark, sf):
+    path = G.write_by_date(load(spark, sf, "orders"), "o_orderdate", scratch_path(spark, f"orders-by-month-{uuid.uuid4().hex}"), "month")
+    return G.retain_by_date(spark, path, "o_orderdate", "6 months", "month")
+
+
 def lineage_closure(spark, sf):
     t = spark_fleet(spark, sf)["tasks"]
     return G.lineage_paths(t.select("project_id", F.col("source").alias("src"), F.col("target").alias("dst")))
@@ -107,6 +115,7 @@ ORACLES = {
     "eu_customers": """SELECT * FROM customer WHERE c_nationkey IN (
         SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('EUROPE'))""",
     "retained_orders": """SELECT * FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 YEAR""",
+    "retained_by_date": """SELECT * FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 6 MONTH""",
     "lineage_closure": duck_ctes().replace("WITH ", "WITH RECURSIVE ", 1) + """,
 E AS (SELECT DISTINCT project_id, source AS src, target AS dst FROM f_tasks WHERE source <> target),
 N AS (SELECT project_id, count(DISTINCT src) + 1 AS n FROM E GROUP BY project_id),
@@ -173,6 +182,7 @@ QUERIES = {
     "row_filtered_orders": row_filtered_orders,
     "eu_customers": eu_customers,
     "retained_orders": retained_orders,
+    "retained_by_date": retained_by_date,
     "lineage_closure": lineage_closure,
     "column_edges": column_edges,
     "column_lineage": column_lineage,

@@ -57,6 +57,16 @@ def column_tags(spark, sf_dir):
     return P.tag(P.schema_columns(load_all(spark, sf_dir)), TAG_WORDS)
 
 
+def _lean(mode):
+    def run(spark, sf_dir):
+        tables, columns = P.profile(spark, load_all(spark, sf_dir))
+        return P.lean_profile(tables, columns, mode)
+    return run
+
+
+lean_profile_macro, lean_profile_meso, lean_profile_micro = map(_lean, ("macro", "meso", "micro"))
+
+
 # ---- oracles ----------------------------------------------------------------
 def _sql_columns() -> str:
     parts = []
@@ -93,7 +103,20 @@ ORACLES = {
     + f"END AS tag FROM ({_sql_columns()})) WHERE tag IS NOT NULL",
 }
 
+_LINES = """
+WITH c AS ({columns}), t AS ({tables}),
+f AS (SELECT table_name, string_agg(CASE WHEN '{mode}' = 'meso' THEN column_name || CASE WHEN is_key THEN 'KEY' ELSE '' END || CASE WHEN is_pii THEN 'PII' ELSE '' END
+             ELSE column_name || '(' || data_type || ')' END, ', ' ORDER BY ordinal) AS listed FROM c WHERE ordinal < {n} GROUP BY table_name)
+SELECT t.table_name, '- ' || t.table_name || CASE WHEN '{mode}' = 'meso' THEN ' (' || row_count || ' rows)' ELSE '' END || ': [' || listed || ']' AS line
+FROM t JOIN f ON f.table_name = t.table_name"""
+ORACLES["lean_profile_macro"] = f"SELECT table_name, '- ' || table_name AS line FROM ({_sql_tables()})"
+ORACLES["lean_profile_meso"] = _LINES.format(columns=_sql_columns(), tables=_sql_tables(), mode="meso", n=8)
+ORACLES["lean_profile_micro"] = _LINES.format(columns=_sql_columns(), tables=_sql_tables(), mode="micro", n=12)
+
 QUERIES = {
+    "lean_profile_macro": lean_profile_macro,
+    "lean_profile_meso": lean_profile_meso,
+    "lean_profile_micro": lean_profile_micro,
     "profile_columns_exact": profile_columns_exact,
     "profile_columns_approx": profile_columns_approx,
     "profile_sketch_error": profile_sketch_error,

@@ -333,3 +333,46 @@ def test_store_keeps_variants(spark):
     back = S.read_store(spark, path)
     assert dict(back.dtypes)["requirements"] == "variant"
     assert back.select(F.variant_get("requirements", "$.a[1]", "int"), F.to_json("history")).first() == (2, "{}")
+
+
+def test_changes_of_a_key_hot_inside_one_day(spark):
+    import random
+    rng = random.Random(1)
+    rows = [("hot", f"2024-01-01 10:{i // 60:02d}:{i % 60:02d}", rng.choice("ab")) for i in range(600)] + [("hot", "2024-01-02 00:00:00", "a")] + [(f"k{i % 9}", f"2024-01-0{1 + i % 3} 11:00:{i:02d}", rng.choice("ab")) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t string, d string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    plain = sorted(map(tuple, V.changes(df, "k", "t", "d").collect()))
+    cut = V.changes(df, "k", "t", "d", heavy_rows=50)
+    assert sorted(map(tuple, cut.collect())) == plain
+    want, last = [], {}
+    for k, t, d in sorted(rows):
+        if last.get(k) != d:
+            want.append((k, t, d))
+        last[k] = d
+    assert [(k, str(t), d) for k, t, d in plain] == want
+    cuts = V._cuts(df.withColumn("__b", F.to_date("t")), "k", "t", 50).collect()
+    assert [r["k"] for r in cuts] == ["hot"] and len(cuts[0]["__cuts"]) == 11
+    assert V._cuts(df.withColumn("__b", F.to_date("t")), "k", "t", 1000) is None
+
+
+def test_retention_leaves_out_old_folders(spark):
+    path = scratch_path(spark, f"test-retention-{uuid.uuid4().hex}")
+    df = spark.range(1, 900).select(F.col("id"), (F.lit("2024-06-30 12:00:00").cast("timestamp_ntz") - F.make_dt_interval(F.col("id").cast("int"))).alias("t"))
+    G.write_by_date(df, "t", path, "month")
+    kept = G.retain_by_date(spark, path, "t", "6 months", "month")
+    assert sorted(r["id"] for r in kept.collect()) == sorted(r["id"] for r in G.retain(df, "t", "6 months").collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_date" in plan and "_date" in plan.split("PartitionFilters")[1]
+    assert G.retain_by_date(spark, path, "t", "Unlimited").count() == 899
+
+
+def test_exact_counts_of_all_types(spark):
+    from kiln.operators.profile import exact_counts
+    rows = spark.sql("""SELECT * FROM VALUES
+        (1L, 'a', 1.5D, DATE'2024-01-01', TIMESTAMP_NTZ'2024-01-01 00:00:00', true, array(1, null), CAST(1.10 AS DECIMAL(9,2)), float('nan'), X'00'),
+        (1L, 'a', -0.0D, DATE'2024-01-02', TIMESTAMP_NTZ'2024-01-01 00:00:01', false, array(1), CAST(1.1 AS DECIMAL(9,2)), float('nan'), X'0000'),
+        (NULL, '', 0.0D, NULL, NULL, NULL, array(null, 1), NULL, 1.0F, X'00'), (2L, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+        AS t(l, s, d, dt, ts, b, arr, dec, f, bin)""")
+    want = rows.agg(*[F.count_distinct(c).alias(c) for c in rows.columns]).first()
+    n, got = exact_counts(rows)
+    assert n == 4 and got == [want[c] for c in rows.columns]
+    assert exact_counts(rows.limit(0)) == (0, [0] * 10)
