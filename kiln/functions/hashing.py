@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["surrogate_key", "unknown_key", "content_hash", "model_prompt_hash", "money",
-           "day_string", "iso_day", "to_json_text", "sql_surrogate_key", "sql_content_hash",
+           "day_string", "iso_day", "or_now", "to_json_text", "sql_surrogate_key", "sql_content_hash",
            "sql_money", "UNKNOWN_MEMBER"]
 
 # Business key of the unknown member every dimension carries.
@@ -72,6 +72,12 @@ def iso_day(c) -> Column:
     return F.left(_c(c).cast("string"), F.lit(10))
 
 
+def or_now(c) -> Column:
+    """The time, or the time of the query where there is none."""
+    return F.coalesce(_c(c), F.localtimestamp())
+
+
 # F17 ------------------------------------------------------------------------
 def to_json_text(c) -> Column:
-    return F.to_json(_c(c))
+    """A struct, array or map as JSON text: dates and times in ISO form, other values as JSON or text, NULL fields kept."""
+    return F.to_json(_c(c), {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"})

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import content_hash, is_identifier, layer_to_schema_name, load_rank
+from kiln.sources import commits
 from kiln.sources.store import log_run
 
 
@@ -32,7 +33,8 @@ MISSING = {"TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "SCHEMA_NOT_FOUND"}
 
 
 def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
-                log_path: str | None = None, project_id: str = "N/A", location: str | None = None) -> DataFrame:
+                log_path: str | None = None, project_id: str = "N/A", location: str | None = None,
+                journal: str | None = None, run_id: str = "run") -> DataFrame:
     """Write each layer's tables as ``<database>_<SCHEMA>.<table>`` in load order.
 
     ``tables`` maps table name -> DataFrame or function giving one; ``layers``
@@ -41,7 +43,13 @@ def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
     other error ends the run as failed, is logged whole and raised.  With
     ``location`` the tables are external, under ``location/<schema>/<table>``.
     One log row per run, with the schemas written to.
+
+    With ``journal`` every table is noted there when it is started and when it
+    is done, as commits.  A run of the same ``run_id`` that follows a broken one
+    goes on behind the last table done; a table that was started only is
+    written again.  Tables done before count as run.
     """
+    before = _noted(spark, journal, run_id) if journal else {}
     names = spark.createDataFrame([(n, layers.get(n) or "") for n in tables], "name string, label string")
     plan = names.select("name", layer_to_schema_name("label").alias("schema"), load_rank("name").alias("rank"),
                         (is_identifier("name") & is_identifier(F.concat(F.lit(database + "_"), layer_to_schema_name("label")))).alias("ok"))
@@ -54,10 +62,16 @@ def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
                 raise ValueError(f"invalid identifier {db}.{name}")
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
             schemas.append(schema)
-            if _written(spark, tables[name], db, name, location):
-                run += 1
+            step = f"{db}.{name}"
+            if before.get(step) in ("done", "skipped"):
+                done = before[step] == "done"
             else:
-                skipped += 1
+                if journal:
+                    _note(spark, journal, run_id, step, "started")
+                done = _written(spark, tables[name], db, name, location, again=before.get(step) == "started")
+                if journal:
+                    _note(spark, journal, run_id, step, "done" if done else "skipped")
+            run, skipped = run + done, skipped + (not done)
     except Exception as e:
         failure = e  # logged as failed, then raised
     log = (log_run(spark, log_path, project_id, database, ",".join(sorted(set(schemas))), run, skipped,
@@ -68,14 +82,29 @@ def materialise(spark: SparkSession, tables: dict, layers: dict, database: str,
     return log
 
 
-def _written(spark: SparkSession, source, db: str, name: str, location: str | None) -> bool:
-    """Write one table unless it is there; False if its source object does not exist."""
+def _noted(spark: SparkSession, journal: str, run_id: str) -> dict:
+    """What the journal says of a run's tables: started, done or skipped."""
+    return (commits.state(spark, journal) or {}).get("runs", {}).get(run_id, {})
+
+
+def _note(spark: SparkSession, journal: str, run_id: str, step: str, what: str) -> None:
+    def make(now):
+        runs = dict((now or {}).get("runs", {}))
+        runs[run_id] = {**runs.get(run_id, {}), step: what}
+        return {"runs": runs}
+    commits.change(spark, journal, make)
+
+
+def _written(spark: SparkSession, source, db: str, name: str, location: str | None, again: bool = False) -> bool:
+    """Write one table unless it is there; False if its source object does not exist.  ``again``: over what a broken run left."""
     try:
         df = source() if callable(source) else source
         if df is None:
             return False
         if not spark.catalog.tableExists(f"{db}.{name}"):
             w = df.write.option("path", f"{location.rstrip('/')}/{db}/{name}") if location else df.write
+            if again:
+                w = w.mode("overwrite")
             w.saveAsTable(f"`{db}`.`{name}`")
         return True
     except AnalysisException as e:

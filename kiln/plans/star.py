@@ -133,6 +133,18 @@ def drill_across_facts(spark, sf):
     return W.drill_across([(o, {"n_orders": F.count(F.lit(1))}), (li, {"n_lines": F.count(F.lit(1))})], "priority")
 
 
+def galaxy_customers(spark, sf):
+    """Two facts over the conformed customer dimension, aggregated and joined on its surrogate key."""
+    dim = dim_customer(spark, sf)
+    orders = fact_orders(spark, sf)
+    o = load(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey", "o_custkey")  # lines of open orders have no customer
+    li = load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    lines = W.fact(li, [("o_custkey", dim, "c_custkey", "customer_sk")], [money("l_quantity").alias("quantity")])
+    both = W.drill_across([(orders, {"n_orders": F.count(F.lit(1)), "total": F.sum("total_price").cast("decimal(38,2)")}),
+                           (lines, {"n_lines": F.count(F.lit(1)), "quantity": F.sum("quantity").cast("decimal(38,2)")})], "customer_sk")
+    return both.join(dim, "customer_sk", "left").select("c_custkey", "n_name", "n_orders", "total", "n_lines", "quantity")
+
+
 def sample_lineitem(spark, sf):
     from kiln.sources.tables import sample
     return sample(load(spark, sf, "lineitem"),
@@ -224,6 +236,12 @@ WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderp
      b AS (SELECT priority, count(*) AS n_lines FROM lineitem LEFT JOIN o ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT coalesce(a.priority, b.priority) AS priority, n_orders, n_lines FROM a FULL JOIN b ON a.priority IS NOT DISTINCT FROM b.priority""",
     "event_stream": "SELECT *, CAST(ts AS DATE) AS event_date FROM events",
+    "galaxy_customers": """
+WITH a AS (SELECT o_custkey AS k, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM orders GROUP BY 1),
+     b AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS k, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS quantity
+           FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS c_custkey, n_name, n_orders, total, n_lines, quantity
+FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k LEFT JOIN customer ON c_custkey = coalesce(a.k, b.k) LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "sample_lineitem": """SELECT * FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 10""",
 }
@@ -247,5 +265,6 @@ QUERIES = {
     "mart_order_average": mart_order_average,
     "drill_across_facts": drill_across_facts,
     "event_stream": event_stream,
+    "galaxy_customers": galaxy_customers,
     "sample_lineitem": sample_lineitem,
 }

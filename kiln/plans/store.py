@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kiln.functions import content_hash, sql_content_hash, sql_is_identifier, sql_load_rank
+from kiln.functions import content_hash, day_string, iso_day, or_now, sql_content_hash, sql_is_identifier, sql_load_rank, to_json_text
 from kiln.operators import deploy as D
 from kiln.operators import model as M
 from kiln.operators.common import latest
@@ -71,6 +71,17 @@ def _runs(spark, sf):
                     F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status")))
 
 
+def project_documents(spark, sf):
+    """Projects as they are written (F16, F17): JSON text with ISO times, read back; a save without a time is dated now."""
+    o = load(spark, sf, "orders")
+    made = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate"))
+    doc = to_json_text(F.struct(F.col("o_orderdate").alias("saved"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"),
+                                F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("note")))
+    return o.select(F.col("o_orderkey").alias("id"), day_string("o_orderdate").alias("day"), F.when(made.isNotNull(), iso_day(or_now(made))).alias("created_day"),
+                    (or_now(made) > F.lit("2020-01-01").cast("timestamp_ntz")).alias("made_now"),
+                    F.get_json_object(doc, "$.saved").alias("saved"), F.get_json_object(doc, "$.day").alias("json_day"), F.contains(doc, F.lit('"note":null')).alias("no_note"))
+
+
 def deploy_audit(spark, sf):
     return D.audit(_runs(spark, sf))
 
@@ -137,6 +148,10 @@ ORACLES = {
        CASE WHEN json_valid(requirements) THEN requirements->>'$.priority' END AS priority,
        CASE WHEN json_valid(requirements) THEN requirements->>'$.segment' END AS segment FROM store""",
     "projects_newest_first": f"WITH {_SAVES} SELECT id, created_at, user_name, status FROM store",
+    "project_documents": """
+SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderpriority <> '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d') END AS created_day,
+       o_orderpriority = '5-LOW' OR o_orderdate > TIMESTAMP '2020-01-01' AS made_now, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS saved,
+       strftime(o_orderdate, '%Y-%m-%d') AS json_day, o_orderstatus = 'P' AS no_note FROM orders""",
     "deploy_audit": """
 WITH st AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
 runs AS (SELECT md5(CAST(o_custkey AS VARCHAR)) AS project_id, 'DWH_' || n_name AS target_db,
@@ -156,6 +171,7 @@ QUERIES = {
     "project_store_upsert": project_store_upsert,
     "project_lookup": project_lookup,
     "projects_newest_first": projects_newest_first,
+    "project_documents": project_documents,
     "deploy_audit": deploy_audit,
     "only_new_work": only_new_work,
     "deploy_plan": deploy_plan,

@@ -376,3 +376,26 @@ def test_exact_counts_of_all_types(spark):
     n, got = exact_counts(rows)
     assert n == 4 and got == [want[c] for c in rows.columns]
     assert exact_counts(rows.limit(0)) == (0, [0] * 10)
+
+
+def test_a_broken_run_goes_on_where_it_stopped(spark):
+    from kiln.operators import deploy as D
+    tag = uuid.uuid4().hex[:8]
+    loc, journal = scratch_path(spark, f"test-go-on-{tag}"), scratch_path(spark, f"test-journal-{tag}")
+    made = []
+
+    def table(name, broken=False):
+        def make():
+            made.append(name)
+            return spark.range(2).select(F.raise_error(F.lit("damaged")).alias("x")) if broken else spark.range(3).withColumnRenamed("id", "k")
+        return make
+
+    layers = {"DIM_A": "Gold", "DIM_B": "Gold", "FACT_C": "Gold"}
+    with pytest.raises(Exception):
+        D.materialise(spark, {"DIM_A": table("A"), "DIM_B": table("B", broken=True), "FACT_C": table("C")}, layers, f"gx{tag}", location=loc, journal=journal, run_id="r1")
+    assert made == ["A", "B"] and commits.state(spark, journal)["runs"]["r1"] == {f"gx{tag}_gold.DIM_A": "done", f"gx{tag}_gold.DIM_B": "started"}
+    log = D.materialise(spark, {"DIM_A": table("A"), "DIM_B": table("B"), "FACT_C": table("C"), "STG_D": None}, layers, f"gx{tag}", location=loc, journal=journal, run_id="r1", log_path=f"{loc}-log").first()
+    assert made == ["A", "B", "B", "C"] and (log["statements_run"], log["statements_skipped"], log["status"]) == (3, 1, "success")
+    assert all(spark.table(f"gx{tag}_gold.{t}").count() == 3 for t in ("DIM_A", "DIM_B", "FACT_C"))
+    D.materialise(spark, {"DIM_A": table("A")}, layers, f"gx{tag}", location=loc, journal=journal, run_id="r2")  # another run: it is there already
+    assert spark.table(f"gx{tag}_gold.DIM_A").count() == 3
