@@ -7,12 +7,16 @@ leaves nobody above is found in one pass: in order of ``limit / weight``, a
 source is at its limit as long as its limit is below its share of what the
 sources before it left over.
 
-Rows get a hash-random key (MD5 of seed, id and size).  Keys are dealt into
-about ``sqrt(n)`` ranges: rows are sorted within (source, range), range sums
-are summed up per source, and the two together are the prefix sum of words.
-No task sorts a whole source.  A source's budget is its rounded target: whole
+Rows get a hash-random key (MD5 of seed, id and size).  They are range-sorted
+by source and key over the whole table, equal rows told apart by a number, so
+neither a source nor a group of equal rows is one task's.  Words are summed
+inside a range, range sums are summed up per source, and the two together are
+the prefix sum of words.  A source's budget is its rounded target: whole
 epochs, then documents in key order up to the budget, the last one in part.
 
+Rows travel without their texts; ``apply_mix`` numbers the rows it keeps and
+joins the decisions back by number.
+
 Nulls: a null text has size 0; the null source is a source of its own; null
 ids are kept.  Rows equal in id, source and size are interchangeable.  Extra
 columns are ignored.  An empty table gives no rows.
@@ -20,11 +24,10 @@ columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.llm import scan
 from kiln.llm.components import saved
 
 WEIGHTS = (5, 2, 1)
@@ -57,32 +60,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        epochs: int = EPOCHS, seed: int = SEED, carry: bool = False) -> DataFrame:
+        epochs: int = EPOCHS, seed: int = SEED, number: str | None = None) -> DataFrame:
     """Per document: id, size, its source's size and target, and the words that the mix takes (repeats counted).
 
-    With ``carry``, ``row`` holds all columns of the input row; the words are then counted twice instead of
-    keeping whole rows in the checkpoint folder.
+    ``number`` names a column that tells rows apart; it is kept.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
-    rest = [F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []
+    rest = [F.col(number).alias("number")] if number else []
     rows = (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("no_src"),
                       F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *rest)
             .withColumn("key", F.conv(F.substring(key, 1, 13), 16, 10).cast("long")))
-    rows = rows if carry else saved(rows)
-    ranges = max(1, math.isqrt(df.count()))
-    rows = rows.withColumn("part", F.floor(F.col("key") / F.lit((1 << 52) / ranges)).cast("int"))
+    rows = scan.written(rows if number else rows.withColumn("number", F.monotonically_increasing_id()), "sizes")
     place = ["src", "no_src"]
-    parts = saved(rows.groupBy(*place, "part").agg(F.sum("size").alias("words")))
-    goal = targets(parts.groupBy(*place).agg(F.sum("words").alias("source_size")), weights, epochs)
+    laid = scan.ordered(rows, *place, "key", "doc_id", "size", "number")
+    summed = scan.running(laid, place, {"sofar": F.col("size")})
+    goal = targets(rows.groupBy(*place).agg(F.sum("size").alias("source_size")), weights, epochs)
     budget = F.floor(F.col("target") + 0.5)
     goal = (goal.withColumn("laps", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
             .withColumn("rest", budget.cast("long") - F.col("laps") * F.col("source_size")))
-    sofar = Window.partitionBy(*place).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = saved(parts.withColumn("offset", F.coalesce(F.sum("words").over(sofar), F.lit(0))).join(goal, place))
-    inside = Window.partitionBy(*place, "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, [*place, "part"])
-    last = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("offset") - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("laps") * F.col("size") + last).alias("taken"), *(["row"] if carry else []))
+    out = summed.join(saved(goal), place)
+    last = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - (F.col("sofar") - F.col("size"))))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("laps") * F.col("size") + last).alias("taken"), *(["number"] if number else []))
 
 
 def leading_words(text, n):
@@ -94,7 +92,10 @@ def leading_words(text, n):
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
               epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed rows: each document as often as it is taken whole, and the beginning of one that is taken in part."""
-    mixed = mix(df, id_col, text, source, weights, epochs, seed, carry=True).where("taken > 0")
+    names = {c: f"_{i}" for i, c in enumerate(df.columns)}
+    kept = scan.written(df.withColumnsRenamed(names).withColumn("number", F.monotonically_increasing_id()), "to-mix")
+    taken = mix(kept, names[id_col], names[text], names[source], weights, epochs, seed, "number").where("taken > 0").select("number", "size", "taken")
+    mixed = kept.join(taken, "number").select("size", "taken", F.struct(*[F.col(v).alias(k) for k, v in names.items()]).alias("row"))
     part = F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
                       F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))

@@ -24,12 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ordered(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """The rows range-partitioned and sorted by the keys, kept, with ``range_no`` and the row's place ``at`` in the table's order.
+    """The rows range-partitioned and sorted by the keys, kept as a table, with ``range_no`` and the row's place ``at`` in the
+    table's order.
 
     Rows equal in all keys stay in one range: add a key that tells them apart where they may be many.
     """
-    out = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    return out.withColumn("range_no", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(out.withColumn("range_no", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
 
 
 def _before(rows: DataFrame, segment: list[str], sums: dict[str, Column]) -> DataFrame:

@@ -57,6 +57,23 @@ def test_mix(spark, n, seed):
     assert sorted(con.sql(mixing.ORACLE).fetchall()) == sorted(map(tuple, got))
 
 
+def test_equal_rows_and_many_sources(spark):
+    """Rows that are equal in every column, and more sources than weights by far."""
+    rows = [(None, "a b c", "s0")] * 300 + [(7, "", "s1")] * 50 + [(i, "w " * (i % 9), f"t{i % 60:02d}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = target_by_hand(sizes)
+    assert len(got) == len(rows) and sum(r["taken"] for r in got if r["doc_id"] is None) == int(want["s0"] + 0.5)
+    assert [r["target"] for r in got if r["doc_id"] in (1, 61)] == pytest.approx([want["t01"]] * 2)
+    whole, part = divmod(int(want["s0"] + 0.5) % 900, 3)
+    laps = int(want["s0"] + 0.5) // 900
+    assert sorted(r["taken"] for r in got if r["doc_id"] is None) == sorted([3 * laps + 3] * whole + [3 * laps + part] * (part > 0) + [3 * laps] * (300 - whole - (part > 0)))
+    assert sum(r["size"] * 0 + 1 for r in mixing.apply_mix(df).withColumn("size", mixing.F.lit(1)).collect()) == sum(-(-r["taken"] // r["size"]) for r in got if r["taken"])
+
+
 def test_mixed_rows(spark):
     rows = rows_of(200, 3)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
