@@ -48,7 +48,7 @@ def consolidated_columns(spark, sf):
 
 
 def fk_reconciled(spark, sf):
-    return M.reconcile_fk(_consolidated(spark, sf)[2])
+    return M.reconcile_fk(_consolidated(spark, sf)[2]).select("project_id", "table_name", "column_name", "is_pk", "ref", "ref_fixed")
 
 
 def relationships(spark, sf):
@@ -372,7 +372,7 @@ LA AS (SELECT *, bool_or(n_tables > 0) OVER (PARTITION BY project_id) AS anyu FR
     f"FROM LA WHERE n_tables > 0 OR NOT anyu",
     "consolidated_tables": _with(_CONS) + f" SELECT {_CT_COLS} FROM CTABLES",
     "consolidated_columns": _with(_CONS) + f" SELECT {_CC_COLS} FROM CCOLS",
-    "fk_reconciled": _with(_CONS, _RECON) + f" SELECT {_CC_COLS}, ref_fixed FROM RECON",
+    "fk_reconciled": _with(_CONS, _RECON) + " SELECT project_id, table_name, column_name, is_pk, ref, ref_fixed FROM RECON",
     "relationships": _with(_CONS, _RECON, _U3) + " SELECT * FROM RELS",
     "inferred_relationships": _with(_CONS, f"""
 ENTS AS (SELECT DISTINCT project_id, {sql_entity_id('table_name')} AS cand FROM CTABLES),
