@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kiln.functions import content_hash, day_string, iso_day, or_now, sql_content_hash, sql_is_identifier, sql_load_rank, to_json_text
@@ -9,6 +11,7 @@ from kiln.operators import deploy as D
 from kiln.operators import model as M
 from kiln.operators.common import latest
 from kiln.plans.fleet import spark_fleet
+from kiln.session import scratch_path
 from kiln.sources import store as S
 from kiln.sources.tables import load
 
@@ -86,6 +89,15 @@ def deploy_audit(spark, sf):
     return D.audit(_runs(spark, sf))
 
 
+def deploy_log_audited(spark, sf):
+    """The runs appended to a log in two jobs, then audited from it."""
+    path = scratch_path(spark, f"deploy-log-{uuid.uuid4().hex}")
+    runs = _runs(spark, sf)
+    for part in (F.col("status") == "failed", F.col("status") != "failed"):
+        S.log_runs(runs.filter(part), path)
+    return D.audit(spark.read.parquet(path))
+
+
 def only_new_work(spark, sf):
     t = spark_fleet(spark, sf)["tables"].select(
         "project_id", "seq", "table_name", "layer", "batch_status",
@@ -166,6 +178,8 @@ FROM runs GROUP BY project_id, target_db, target_schema, status""",
     "deploy_plan": _deploy_plan_sql(),
 }
 
+ORACLES["deploy_log_audited"] = ORACLES["deploy_audit"]
+
 QUERIES = {
     "project_requirements": project_requirements,
     "project_store_upsert": project_store_upsert,
@@ -173,6 +187,7 @@ QUERIES = {
     "projects_newest_first": projects_newest_first,
     "project_documents": project_documents,
     "deploy_audit": deploy_audit,
+    "deploy_log_audited": deploy_log_audited,
     "only_new_work": only_new_work,
     "deploy_plan": deploy_plan,
 }

@@ -121,6 +121,21 @@ def list_projects(store: DataFrame) -> DataFrame:
 
 
 # S9 -------------------------------------------------------------------------
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Append any number of runs to the log at ``path``, in one job; ids and times are given where they lack.
+
+    A run of a status other than success or failed ends the job.
+    """
+    wanted = ["project_id", "target_db", "target_schema", "statements_run", "statements_skipped", "status", "errors"]
+    kinds = {"statements_run": "long", "statements_skipped": "long"}
+    given = {c: F.col(c) if c in runs.columns else F.lit(0 if c in kinds else None) for c in wanted}
+    checked = F.when(given["status"].isin("success", "failed"), given["status"]).otherwise(F.raise_error(F.lit("status must be success or failed")))
+    has = lambda c, default: F.coalesce(F.col(c), default) if c in runs.columns else default
+    rows = runs.select(has("id", F.uuid()).alias("id"), given["project_id"].cast("string").alias("project_id"), has("deployed_at", F.localtimestamp()).alias("deployed_at"),
+                       *[(checked if c == "status" else v.cast(kinds.get(c, "string"))).alias(c) for c, v in given.items() if c != "project_id"])
+    rows.write.mode("append").parquet(path)
+
+
 def log_run(spark: SparkSession, path: str, project_id: str, target_db: str, target_schema: str,
             statements_run: int, statements_skipped: int, status: str, errors: str | None = None) -> DataFrame:
     """Append one deployment row to the log dataset at ``path``."""

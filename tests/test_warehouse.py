@@ -399,3 +399,15 @@ def test_a_broken_run_goes_on_where_it_stopped(spark):
     assert all(spark.table(f"gx{tag}_gold.{t}").count() == 3 for t in ("DIM_A", "DIM_B", "FACT_C"))
     D.materialise(spark, {"DIM_A": table("A")}, layers, f"gx{tag}", location=loc, journal=journal, run_id="r2")  # another run: it is there already
     assert spark.table(f"gx{tag}_gold.DIM_A").count() == 3
+
+
+def test_runs_are_logged_in_one_job(spark):
+    path = scratch_path(spark, f"test-log-{uuid.uuid4().hex}")
+    runs = spark.createDataFrame([("p1", 3, "success"), ("p2", 0, "failed")], "project_id string, statements_run int, status string")
+    S.log_runs(runs, path)
+    S.log_runs(runs.withColumn("id", F.lit("mine")), path)
+    got = spark.read.parquet(path)
+    assert got.columns == [c.split()[0] for c in S.LOG_SCHEMA.split(", ")] and got.count() == 4 and got.select("id").distinct().count() == 3
+    assert got.where("deployed_at is null or statements_skipped <> 0").count() == 0
+    with pytest.raises(Exception, match="status must be"):
+        S.log_runs(runs.withColumn("status", F.lit("odd")), path)
