@@ -56,7 +56,9 @@ TOP = 2  # contexts of up to so many bytes are broadcast
 CHUNK_BYTES = 32 << 20
 CHUNK_DOCS = 1 << 17
 PART_BYTES = 1 << 20
-TREE_ROWS = 1 << 20
+TREE_ROWS = 1 << 18  # keys of a run of trees, about 500 bytes each while it is worked on
+ASK_ROWS = 1 << 21  # keys of a chunk's parts before they are merged
+PACK_ROWS = 1 << 20
 END = b"\n"
 _TABLE = 1 << 16
 
@@ -309,7 +311,7 @@ def _ask(batches):
                         keys.append(k)
                         counts.append(n if learn else np.zeros(len(n), np.int64))
                         held += len(k)
-                if held > 4 * TREE_ROWS:
+                if held > ASK_ROWS:
                     keys, counts = ([v] for v in _distinct(keys, counts))
                     held = len(keys[0]) // 2  # so that merges pay for themselves
             k, n = _distinct(keys, counts)
@@ -359,7 +361,7 @@ def _key_scores(shared, limit: int):
 
 
 def _pack(batches):
-    """Answers (chunk, key, value) as compressed arrays by chunk, some ``TREE_ROWS`` rows at a time."""
+    """Answers (chunk, key, value) as compressed arrays by chunk, some ``PACK_ROWS`` rows at a time."""
     held, size = [], 0
 
     def packs():
@@ -378,7 +380,7 @@ def _pack(batches):
     for b in batches:
         held.append([b.column(c).to_numpy() for c in ("chunk", "key", "value")])
         size += b.num_rows
-        if size >= TREE_ROWS:
+        if size >= PACK_ROWS:
             yield packs()
             held, size = [], 0
     if size:
@@ -409,10 +411,11 @@ def _answer(mass: float, schema: pa.Schema):
         keys, values, counts = _unpack(answers)
         ids, train, sizes, packed = (docs.column(c)[0].as_py() for c in ("doc_id", "train", "size", "seqs"))
         seqs = _sequences(sizes, packed)
-        order: dict[bytes, None] = {}
+        base: dict[bytes, float] = {}
         for s in seqs:
-            order.update(dict.fromkeys(_words(s)))
-        base = dict(zip(order, np.log10((counts + 0.5) / mass).tolist()))
+            base.update(dict.fromkeys(_words(s), 0.0))
+        for w, v in zip(base, np.log10((counts + 0.5) / mass).tolist()):  # words in the order of their numbers
+            base[w] = v
         unknown = np.log10(0.5 / mass)
         out = {"n_tokens": [], "n_known": [], "base_score": []}
         scores = []
