@@ -102,11 +102,13 @@ def flow_weight(c) -> Column:
     """Weight of the first listed substring found in lower(name); -1 if none.
 
     The list is one literal array: generated code stays small wherever the
-    weight is used more than once.
+    weight is used more than once.  The name is lower-cased once a row.
     """
-    n = F.lower(_c(c))
-    listed = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("weight")) for w, k in FLOW_WEIGHTS])
-    return F.coalesce(F.get(F.filter(listed, lambda x: n.contains(x["word"])), F.lit(0))["weight"], F.lit(-1))
+    words = F.array(*[F.lit(w) for w, _ in FLOW_WEIGHTS])
+    weights = F.array(*[F.lit(k) for _, k in FLOW_WEIGHTS])
+    place = lambda n: F.array_position(F.transform(words, n.contains), F.lit(True))
+    found = F.get(F.transform(F.array(F.lower(_c(c))), place), F.lit(0))
+    return F.coalesce(F.get(weights, found.cast("int") - 1), F.lit(-1))
 
 
 def sql_flow_weight(x: str) -> str:
