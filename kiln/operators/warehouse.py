@@ -84,12 +84,21 @@ def resolve_keys(fact: DataFrame, fk, dim: DataFrame, dim_nk, sk_name: str) -> D
     strategy.  A small dimension is broadcast by size at run time, a large one
     is joined through exchanges, where hot keys are split.
     """
+    marked = _mark_known(fact, fk, dim, dim_nk, "__known")
+    return marked.select(*[F.col(c) for c in fact.columns], _resolved(fk, "__known").alias(sk_name))
+
+
+def _mark_known(fact: DataFrame, fk, dim: DataFrame, dim_nk, flag: str) -> DataFrame:
+    """Whether the dimension has the row's key, as the column ``flag``."""
     fk, dim_nk = _cols(fk), _cols(dim_nk)
     keys = dim.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(dim_nk)]).dropna().distinct()
     same = reduce(lambda a, b: a & b, [F.col(a) == F.col(f"__k{i}") for i, a in enumerate(fk)])
-    known = F.col("__k0").isNotNull()
     joined = fact.join(keys, same, "left")
-    return joined.select(*[F.col(c) for c in fact.columns], F.when(known, surrogate_key(*fk)).otherwise(unknown_key()).alias(sk_name))
+    return joined.select(*[F.col(c) for c in fact.columns], F.col("__k0").isNotNull().alias(flag))
+
+
+def _resolved(fk, flag: str) -> Column:
+    return F.when(F.col(flag), surrogate_key(*_cols(fk))).otherwise(unknown_key())
 
 
 # B4 -------------------------------------------------------------------------
@@ -101,13 +110,15 @@ def fact(df: DataFrame, dims: list, measures, degenerate=()) -> DataFrame:
     (for generated dimensions such as dates).
     """
     out = df
-    sks = []
-    for fk, ddf, dnk, sk in dims:
+    sks = {}
+    for i, (fk, ddf, dnk, sk) in enumerate(dims):
         if ddf is None:
-            out = out.withColumn(sk, surrogate_key(*_cols(fk)))
+            sks[sk] = surrogate_key(*_cols(fk))
         else:
-            out = resolve_keys(out, fk, ddf, dnk, sk)
-        sks.append(sk)
+            out = _mark_known(out, fk, ddf, dnk, f"__known{i}")
+            sks[sk] = _resolved(fk, f"__known{i}")
+    # hashed after the last join: the exchanges carry a flag a dimension, not its hash
+    out = out.withColumns(sks)
     meas = [m if isinstance(m, Column) else F.col(m) for m in _cols(measures)]
     return out.select(*sks, *[F.col(d) for d in degenerate], *meas)
 
