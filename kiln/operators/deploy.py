@@ -16,15 +16,12 @@ def deploy_plan(assigned: DataFrame, key: str = "project_id") -> DataFrame:
     """Per project: one schema per populated layer, tables in load order
     (dimensions first, facts last, then by name), statement number, and
     whether the names pass the identifier guard."""
-    t = assigned.select(key, "schema_name", "table_name").distinct().withColumn("load_rank", load_rank("table_name"))
-    # numbered within (project, rank), offset by the lower ranks: no task sorts a whole project
-    counts = t.groupBy(key, "load_rank").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy(key).orderBy("load_rank").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(key).alias("__k"), F.col("load_rank").alias("__r"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("__off"))
-    w = Window.partitionBy(key, "load_rank").orderBy("table_name", "schema_name")
-    numbered = t.withColumn("__n", F.row_number().over(w)).join(offsets, F.col(key).eqNullSafe(F.col("__k")) & (F.col("load_rank") == F.col("__r")))
-    return numbered.select(*t.columns, (F.col("__off") + F.col("__n")).cast("long").alias("statement_no"),
-                           (is_identifier("table_name") & is_identifier("schema_name")).alias("valid_name"))
+    t = assigned.select(key, "schema_name", "table_name").withColumn("load_rank", load_rank("table_name"))
+    # one sort numbers a project's tables and finds the copies: a row that is not the first of its equals has a larger number than rank
+    w = Window.partitionBy(key).orderBy("load_rank", "table_name", "schema_name")
+    numbered = t.select("*", F.dense_rank().over(w).cast("long").alias("statement_no"), F.rank().over(w).alias("__rank"), F.row_number().over(w).alias("__n"))
+    return numbered.filter(F.col("__rank") == F.col("__n")).select(
+        *t.columns, "statement_no", (is_identifier("table_name") & is_identifier("schema_name")).alias("valid_name"))
 
 
 # B13 ------------------------------------------------------------------------
