@@ -11,8 +11,10 @@ so both engines see identical metadata.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kiln.operators.model import consolidate_designs
 from kiln.sources.tables import load
 
 # Layer lists by market segment (architecture of the project).
@@ -46,22 +48,44 @@ def _layers_values() -> str:
     return ", ".join(rows)
 
 
-def _base(ymd: str) -> str:
+def _prefix(flags: str) -> str:
+    return _case(flags, PREFIX)
+
+
+def _table_name(flags: str, large: str) -> str:
+    return f"{_prefix(flags)} || upper(split_part(p_name, ' ', 2)) || (CASE WHEN {large} THEN 'S' ELSE '' END)"
+
+
+def _base(ymd: str, project: str = "o_custkey", flags: str = "l_returnflag || l_linestatus", large: str = "l_quantity > 25", more: str = "",
+          source: str = "{lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey") -> str:
     """One row per line item with the derived design attributes."""
-    prefix = _case("l_returnflag || l_linestatus", PREFIX)
     return f"""
-SELECT o_custkey AS project_id,
+SELECT {project} AS project_id,
        o_orderkey AS batch_id,
        lpad(CAST(o_orderkey AS STRING), 13, '0') || lpad(CAST(l_linenumber AS STRING), 2, '0') ||
        lpad(CAST(l_partkey AS STRING), 11, '0') || lpad(CAST(l_suppkey AS STRING), 9, '0') || {ymd} AS seq,
        o_orderstatus AS batch_status,
-       {prefix} AS prefix,
+       {_prefix(flags)} AS prefix,
        lower(split_part(p_name, ' ', 1)) AS adj,
        lower(split_part(p_name, ' ', 2)) AS core,
-       {prefix} || upper(split_part(p_name, ' ', 2)) || (CASE WHEN l_quantity > 25 THEN 'S' ELSE '' END) AS table_name,
+       {_table_name(flags, large)} AS table_name,
        {_case('o_orderpriority', PRIORITY_LAYER, "''")} AS layer,
-       p_type, p_size, l_discount, l_tax, l_linestatus
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey"""
+       p_type, p_size, l_discount, l_tax, l_linestatus{more}
+FROM {source}"""
+
+
+# What an engine with exchanges joins: only what a design is made of, each as short as it can be.
+_LINES = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS l_day, l_returnflag || l_linestatus AS l_flags,
+       l_quantity > 25 AS l_large, l_discount < 0.02 AS l_small, l_discount, l_tax, l_linestatus FROM {lineitem})"""
+_PARTS = "(SELECT p_partkey, substring_index(p_name, ' ', 2) AS p_name, p_type, p_size FROM {part})"
+_ORDERS_JOIN, _PARTS_JOIN = "JOIN {orders} ON l_orderkey = o_orderkey", f"JOIN {_PARTS} ON l_partkey = p_partkey"
+
+
+def _joined(*joins: str) -> str:
+    return f"""
+SELECT o_custkey AS project_id, o_orderkey, o_orderstatus, o_orderpriority, l_linenumber, l_partkey, l_suppkey, l_day, l_flags, l_large, l_small,
+       l_discount, l_tax, l_linestatus, p_name, p_type, p_size
+FROM {_LINES} {' '.join(joins)}"""
 
 
 def sql_texts(engine: str) -> dict:
@@ -73,6 +97,7 @@ def sql_texts(engine: str) -> dict:
 FROM {base} b"""
     # one row per line item, multiplied by the three column numbers: the base is read once
     three = "explode(array(0, 1, 2))" if engine == "spark" else "unnest([0, 1, 2])"
+    small = "l_small" if engine == "spark" else "l_discount < 0.02"
     columns = f"""
 SELECT project_id, batch_id, seq, table_name, ordinal,
        CASE ordinal WHEN 0 THEN core || '_sk'
@@ -83,7 +108,7 @@ SELECT project_id, batch_id, seq, table_name, ordinal,
        CASE ordinal WHEN 0 THEN 'NUMBER(38,0)' WHEN 1 THEN 'VARCHAR(' || CAST(p_size AS STRING) || ')'
          ELSE CASE WHEN p_size > 25 THEN 'NUMBER(12,2)' ELSE 'Double Precision' END END AS data_type,
        ordinal = 0 AND prefix IN ('DIM_', 'dim ', 'HUB_') AS is_pk, ordinal = 1 AS is_fk,
-       CASE WHEN ordinal = 1 THEN CASE WHEN l_discount < 0.02 THEN 'DIM_' || upper(adj)
+       CASE WHEN ordinal = 1 THEN CASE WHEN {small} THEN 'DIM_' || upper(adj)
             ELSE 'DIM_' || upper(core) || '.' || adj || '_id' END END AS ref
 FROM (SELECT b.*, {three} AS ordinal FROM {base} b) c"""
     rels = f"""
@@ -112,7 +137,8 @@ FROM {{customer}} JOIN (VALUES {_layers_values()}) AS m(segment, ordinal, layer_
 SELECT DISTINCT project_id, table_name, 'customer_email' AS column_name, 'hash' AS mask_type,
        'ANALYST_F' AS exempt_role
 FROM {base} b WHERE p_size <= 3"""
-    return {"base": _base(ymd), "tables": tables, "columns": columns, "rels": rels, "tasks": tasks,
+    made = _base("CAST(l_day AS STRING)", "project_id", "l_flags", "l_large", ", l_small", "{joined}") if engine == "spark" else _base(ymd)
+    return {"base": made, "tables": tables, "columns": columns, "rels": rels, "tasks": tasks,
             "grants": grants, "layers": layers, "masks": masks}
 
 
@@ -127,20 +153,39 @@ def spark_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """
     srcs = {t: load(spark, sf_dir, t, spread=(t == "lineitem")) for t in FLEET_TABLES}
     texts = sql_texts("spark")
-    base = spark.sql(texts.pop("base"), **srcs)
-    out = {"designs": base}
+    texts.pop("base")
+    joined = spark.sql(_joined(_ORDERS_JOIN, _PARTS_JOIN), **srcs)
+    base = design_versions(joined)
+    # masks are made of a few parts' lines: those meet their part before their order
+    few = design_versions(spark.sql(_joined(_PARTS_JOIN, _ORDERS_JOIN), **srcs))
+    out = {"designs": joined}
     for k, v in texts.items():
-        out[k] = spark.sql(v, b=base, customer=srcs["customer"]) if "{customer}" in v else spark.sql(v, b=base)
+        out[k] = spark.sql(v, b=few if k == "masks" else base, **({"customer": srcs["customer"]} if "{customer}" in v else {}))
     return out
 
 
-def design_columns(designs: DataFrame) -> DataFrame:
-    """The columns of rows of ``designs``, with whatever else the rows hold under other names."""
+def design_versions(designs: DataFrame) -> DataFrame:
+    """The table versions that rows of ``designs`` stand for: their texts are made here, after the joins."""
+    return designs.sparkSession.sql(sql_texts("spark")["base"], joined=designs)
+
+
+def design_name() -> Column:
+    """The table name of a row of ``designs``, as in ``design_versions``."""
+    return F.expr(_table_name("l_flags", "l_large"))
+
+
+def design_columns(versions: DataFrame) -> DataFrame:
+    """The columns of table versions, with whatever else the rows hold under other names."""
     text = sql_texts("spark")["columns"]
-    more = [c for c in designs.columns if c in ("table_key", "__cn")]
+    more = [c for c in versions.columns if c in ("table_key", "__cn")]
     head = "SELECT project_id,"
     assert text.strip().startswith(head)
-    return designs.sparkSession.sql(text.replace(head, f"SELECT {', '.join(more + ['project_id'])},", 1), b=designs)
+    return versions.sparkSession.sql(text.replace(head, f"SELECT {', '.join(more + ['project_id'])},", 1), b=versions)
+
+
+def fleet_columns(designs: DataFrame, only=None) -> DataFrame:
+    """U2's consolidated columns of the fleet (those whose upper-case name passes ``only``)."""
+    return consolidate_designs(designs, design_columns, versions=(design_name(), design_versions), only=only)
 
 
 def duck_ctes() -> str:
