@@ -131,15 +131,16 @@ def exposure(tags: DataFrame, table_grants: DataFrame, masks: DataFrame, keys=()
     pii = keyed(tags.filter(F.col("tag") == "PII"), "table_name", "column_name").groupBy(*k, "__t", "__c").agg(
         F.min("table_name").alias("table_name"), F.min("column_name").alias("column_name"))
     readers = table_grants.filter(F.upper("privilege") == "SELECT")
-    by_table = (readers.filter(F.upper(F.trim("table_name")) != "ALL")
-                .select(*k, compare_key("table_name").alias("__t"), "role_name").distinct())
-    on_all = readers.filter(F.upper(F.trim("table_name")) == "ALL").select(*k, "role_name").distinct()
-    cols = [*k, "__t", "__c", "table_name", "column_name", "role_name"]
-    cand = pii.join(by_table, [*k, "__t"]).select(*cols)
-    every = pii.join(on_all, k) if k else pii.join(on_all.withColumn("__one", F.lit(1)), F.col("__one") == 1)
-    cand = cand.unionByName(every.select(*cols)).distinct()
-    masked = keyed(masks).distinct()
-    unmasked = cand.join(masked, [*k, "__t", "__c"], "left_anti").withColumn("reason", F.lit("no_mask"))
-    exempt = (cand.join(keyed(masks, F.col("exempt_role").alias("role_name")).distinct(), [*k, "__t", "__c", "role_name"], "left_semi")
-              .withColumn("reason", F.lit("exempt_role")))
-    return unmasked.unionByName(exempt.select(*unmasked.columns)).drop("__t", "__c")
+    # a column is looked up under its table and under all tables, in one join
+    every, table = F.lit("*"), F.concat(F.lit("="), F.col("__t"))
+    on_all = F.upper(F.trim("table_name")) == "ALL"
+    readers = (readers.filter(on_all.isNotNull()).select(*k, F.when(on_all, every).otherwise(F.concat(F.lit("="), compare_key("table_name"))).alias("__at"), "role_name")
+               .distinct())
+    pii = pii.withColumn("__at", F.explode(F.array(table, every)))
+    cand = pii.join(readers, [*k, "__at"]).select(*k, "__t", "__c", "table_name", "column_name", "role_name")
+    # the roles that a column's masks exempt, without a row where it has none
+    exempt = keyed(masks, "exempt_role").groupBy(*k, "__t", "__c").agg(F.collect_set("exempt_role").alias("__x"))
+    reason = F.when(F.col("__x").isNull(), "no_mask").when(F.array_contains("__x", F.col("role_name")), "exempt_role")
+    found = cand.join(exempt, [*k, "__t", "__c"], "left").withColumn("reason", reason)
+    # a role that reads a column in both ways is dropped where the masks were met
+    return found.filter(F.col("reason").isNotNull()).drop("__x").distinct().drop("__t", "__c")
