@@ -38,6 +38,16 @@ def test_components(spark):
     assert C.components(df.limit(0)).collect() == []
 
 
+def test_components_estimate_stays_small(spark):
+    """Every join of a round squared the planner's estimate before; at some size it no longer fitted."""
+    nodes = [int(x) for x in np.random.default_rng(4).permutation(600)]
+    df = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    out = C.components(df)
+    assert {r["root"] for r in out.collect()} == {0} and out.count() == 600
+    estimate = out._jdf.queryExecution().optimizedPlan().stats().toString()
+    assert len(estimate) < 200
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
